@@ -728,3 +728,45 @@ register(
     """SELECT fold, variable, cell, clustid, ROUND(corr, 6) AS corr, 7 AS timeagg, lag, lag + 7 AS separation
         FROM cluster_fields WHERE timeagg = 7 AND lag <> 0""",
 )
+
+# --- distances and clustering --------------------------------------------------------
+register(
+    "jaccard", "nation_field",
+    """SELECT i, j, ROUND(1 - COUNT(*) FILTER (a AND b)::DOUBLE / (MAX(na) + MAX(nb) - COUNT(*) FILTER (a AND b)), 9) AS dist FROM (
+        SELECT x.cell AS i, y.cell AS j, x.y AS a, y.y AS b, x.k AS na, y.k AS nb FROM k x JOIN k y ON x.time = y.time AND x.cell < y.cell)
+        GROUP BY i, j""",
+    m=f"SELECT *, value > quantile_cont(value, 0.75) OVER (PARTITION BY cell) AS y FROM nation_field WHERE {JJA}",
+    k="SELECT *, COUNT(*) FILTER (y) OVER (PARTITION BY cell) AS k FROM m",
+)
+register(
+    "max_correlation", "nation_field",
+    "SELECT i, j, ROUND(1 - MAX(num / sqrt(sa * sb)), 6) AS dist FROM r GROUP BY i, j",
+    moved="""SELECT cell, lag, CAST(time - lag AS DATE) AS time, value FROM nation_field CROSS JOIN (SELECT unnest([-5, 0, 5]) AS lag)
+        WHERE time - lag IN (SELECT time FROM nation_field)""",
+    dev="SELECT *, value - AVG(value) OVER (PARTITION BY cell, lag) AS d FROM moved",
+    s="SELECT *, SUM(d * d) OVER (PARTITION BY cell, lag) AS ss FROM dev",
+    r="""SELECT a.cell AS i, b.cell AS j, b.lag, SUM(a.d * b.d) AS num, MAX(a.ss) AS sa, MAX(b.ss) AS sb FROM s a JOIN s b
+        ON b.time = a.time AND a.lag = 0 AND a.cell < b.cell GROUP BY 1, 2, 3""",
+)
+HAVERSINE = """2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(a.lat) - radians(b.lat)) / 2), 2)
+    + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(a.lon) - radians(b.lon)) / 2), 2)))"""
+for name, column, limit in (("haversine_neighbours", "km", 700), ("haversine_matrix", "dist", 500)):
+    register(
+        name, "supplier_points",
+        f"""SELECT i, j, ROUND(km, 3) AS {column} FROM (SELECT a.cell AS i, b.cell AS j, {HAVERSINE} AS km
+            FROM supplier_points a JOIN supplier_points b ON a.cell < b.cell) WHERE km <= {limit}""",
+    )
+ORACLE["dbscan"] = (
+    "WITH RECURSIVE " + using(
+        "supplier_field supplier_points", "",
+        pts="""SELECT * FROM supplier_points WHERE cell IN (SELECT cell FROM supplier_field GROUP BY cell HAVING COUNT(value) >= 550)""",
+        near=f"SELECT a.cell AS i, b.cell AS j FROM pts a JOIN pts b ON {HAVERSINE} <= 260",
+        core="SELECT i AS cell FROM near GROUP BY i HAVING COUNT(*) >= 4",
+        links="SELECT i, j FROM near WHERE i IN (FROM core) AND j IN (FROM core)",
+        reach="SELECT cell AS i, cell AS j FROM core UNION SELECT r.i, l.j FROM reach r JOIN links l ON l.i = r.j",
+        rooted="SELECT i AS cell, MIN(j) AS root FROM reach GROUP BY i",
+        numbered="SELECT cell, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INT) AS clustid FROM rooted",
+    )[5:]
+    + """SELECT p.cell, COALESCE(n.clustid, (SELECT MIN(m.clustid) FROM near JOIN numbered m ON m.cell = near.j WHERE near.i = p.cell)) AS clustid
+        FROM pts p LEFT JOIN numbered n ON n.cell = p.cell"""
+)

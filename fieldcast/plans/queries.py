@@ -14,7 +14,7 @@ from fieldcast.functions.keys import collapse, restore
 from fieldcast.functions.ranks import exact_quantile
 from fieldcast.functions.stats import detrend
 from fieldcast.operators import association as assoc
-from fieldcast.operators import climate, folds, inspection, models, reduction, shapley, temporal, verification
+from fieldcast.operators import climate, clustering, distances, folds, inspection, models, reduction, shapley, temporal, verification
 from fieldcast.sources import adapters as src
 from fieldcast.sources import fields, ingest
 
@@ -688,7 +688,7 @@ def model_rows(spark, d, n_folds: int = 4) -> DataFrame:
     features = lagged.select("time", named.alias("feature"), "value")
     target = src.response(spark, d).select(F.lit(0).alias("cell"), "time", F.col("y").alias("value"))
     weekly = temporal.season_filter(temporal.rolling(target, 7), "JJA").drop("cell")
-    events = verification.exceedance(weekly, 0.666).select("time", F.col("y").cast("int").alias("y"))
+    events = verification.exceedance(weekly, 0.666, bounded=True).select("time", F.col("y").cast("int").alias("y"))
     return models.training_frame(features, events, FEATURE_NAMES, n_folds)
 
 
@@ -732,3 +732,49 @@ def permutation_importance(spark, d):
 @query
 def shap_values(spark, d):
     return shapley.compute_shaps(models.Hybrid(**FOREST), model_rows(spark, d, 2), FEATURE_NAMES, 2)
+
+
+# --- distances and clustering --------------------------------------------------------
+
+
+def _marked(spark, d):
+    field = temporal.season_filter(src.nation_field(spark, d), "JJA")
+    return verification.exceedance(field, 0.75, keys=["cell"], bounded=True)
+
+
+@query
+def jaccard(spark, d):
+    return _rounded(distances.jaccard_distances(_marked(spark, d)), "dist", digits=9)
+
+
+@query
+def max_correlation(spark, d):
+    return _rounded(distances.max_correlation_distances(src.nation_field(spark, d), [-5, 0, 5]), "dist")
+
+
+@query
+def haversine_neighbours(spark, d):
+    return _rounded(distances.neighbours(src.supplier_points(spark, d), 700.0), "km", digits=3)
+
+
+@query
+def haversine_matrix(spark, d):
+    return _rounded(distances.haversine_matrix(src.supplier_points(spark, d), 500.0), "dist", digits=3)
+
+
+@query
+def dbscan(spark, d):
+    busy = fields.drop_empty_cells(src.supplier_field(spark, d), 550).select("cell").distinct()
+    return clustering.dbscan(src.supplier_points(spark, d).join(busy, "cell", "left_semi"), 260.0, 4)
+
+
+@query
+def linkage_merges(spark, d):
+    return _rounded(clustering.average_linkage(distances.jaccard_distances(_marked(spark, d))), "height", digits=9)
+
+
+@query
+def linkage_clusters(spark, d):
+    marked = _marked(spark, d)
+    merges = clustering.average_linkage(distances.jaccard_distances(marked))
+    return clustering.cut_tree(merges, marked.select("cell").distinct(), n_clusters=8)
