@@ -770,3 +770,19 @@ ORACLE["dbscan"] = (
     + """SELECT p.cell, COALESCE(n.clustid, (SELECT MIN(m.clustid) FROM near JOIN numbered m ON m.cell = near.j WHERE near.i = p.cell)) AS clustid
         FROM pts p LEFT JOIN numbered n ON n.cell = p.cell"""
 )
+
+# --- streaming -----------------------------------------------------------------------
+register(
+    "stream_daily_mean", "hourly",
+    "SELECT cell, CAST(ts AS DATE) AS time, SUM(value) / COUNT(value) AS value FROM hourly GROUP BY 1, 2",
+)
+register(
+    "stream_closed_days", "hourly",
+    """SELECT cell, CAST(ts AS DATE) AS time, MAX(value) AS value FROM hourly WHERE ts < TIMESTAMP '2024-01-28' GROUP BY 1, 2""",
+)
+register("stream_hour_slice", "hourly", "SELECT cell, CAST(ts AS DATE) AS time, value FROM hourly WHERE hour(ts) = 12")
+register(
+    "stream_ordered_days", "hourly",
+    """SELECT cell, time, 1.0::DOUBLE AS value FROM (SELECT DISTINCT cell, CAST(ts AS DATE) AS time FROM hourly)
+        QUALIFY time - MIN(time) OVER (PARTITION BY cell) = row_number() OVER (PARTITION BY cell ORDER BY time) - 1""",
+)

@@ -14,9 +14,10 @@ from fieldcast.functions.keys import collapse, restore
 from fieldcast.functions.ranks import exact_quantile
 from fieldcast.functions.stats import detrend
 from fieldcast.operators import association as assoc
-from fieldcast.operators import climate, clustering, distances, folds, inspection, models, reduction, shapley, temporal, verification
+from fieldcast.operators import climate, clustering, distances, folds, hierarchy, inspection, models, reduction, shapley, temporal, verification
 from fieldcast.sources import adapters as src
 from fieldcast.sources import fields, ingest
+from fieldcast.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -778,3 +779,44 @@ def linkage_clusters(spark, d):
     marked = _marked(spark, d)
     merges = clustering.average_linkage(distances.jaccard_distances(marked))
     return clustering.cut_tree(merges, marked.select("cell").distinct(), n_clusters=8)
+
+
+# --- streaming -----------------------------------------------------------------------
+
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _event_stream(spark, d):
+    raw = streams.raw_stream(spark, d, EVENT_SCHEMA, "events.parquet")
+    rows = raw.select(F.col("event_type").alias("cell"), "ts", src.cents("value").alias("value"))
+    return streams.event_time(rows)
+
+
+@query
+def stream_daily_mean(spark, d):
+    return streams.materialise(streams.daily_stream(_event_stream(spark, d)), "complete").drop("complete")
+
+
+@query
+def stream_closed_days(spark, d):
+    """Days already behind the watermark; the last ones stay open in state."""
+    closed = streams.materialise(streams.daily_stream(_event_stream(spark, d), "max")).drop("complete")
+    return closed.where(F.col("time") < dt.date(2024, 1, 28))
+
+
+@query
+def stream_hour_slice(spark, d):
+    return streams.materialise(streams.slice_stream(_event_stream(spark, d), 12)).select("cell", "time", "value")
+
+
+@query
+def stream_ordered_days(spark, d):
+    days = streams.unique_days(_event_stream(spark, d)).withColumn("value", F.lit(1))
+    return streams.materialise(streams.consecutive_days(days))
+
+
+@query
+def hdbscan(spark, d):
+    found = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7 and fold < 2 and corr is not null")
+    cells = found.select("lag", "fold", "cell").join(src.supplier_points(spark, d), "cell")
+    return hierarchy.hdbscan(cells, 4, 6, ["lag", "fold"], epsilon_rad=0.06, min_points=20)

@@ -12,6 +12,11 @@ from fieldcast.catalog import ARCHIVE, NEXT_DAY_VARIABLES, Region
 DAILY = {"mean": lambda c: F.sum(c) / F.count(c), "min": F.min, "max": F.max}
 
 
+def hours_seen(ts: str) -> Column:
+    """Number of different hours of the day, as the bits of one combining integer."""
+    return F.bit_count(F.bit_or(F.expr(f"shiftleft(1, hour({ts}))")))
+
+
 def to_daily(hourly: DataFrame, operation: str = "mean", value: str = "value") -> DataFrame:
     """Daily field from ``(cell, ts, value)`` by ``mean``, ``min``, ``max`` or ``hhUTC``.
 
@@ -25,7 +30,7 @@ def to_daily(hourly: DataFrame, operation: str = "mean", value: str = "value") -
         return rows.groupBy("cell", day.alias("time")).agg(DAILY["mean"](value).alias(value))
     return (
         hourly.groupBy("cell", F.to_date("ts").alias("time"))
-        .agg(DAILY[operation](value).alias(value), F.count_distinct(F.hour("ts")).alias("_hours"))
+        .agg(DAILY[operation](value).alias(value), hours_seen("ts").alias("_hours"))
         .select("cell", "time", value, (F.col("_hours") == 24).alias("complete"))
     )
 
