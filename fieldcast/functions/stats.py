@@ -31,7 +31,9 @@ def detrend(df: DataFrame, keys: list[str], *values: str, order: str = "time") -
 def residual_through_origin(df: DataFrame, keys: list[str], value: str, past: str, out: str) -> DataFrame:
     """Part of ``value`` not explained by its own past, by least squares without intercept."""
     group = Window.partitionBy(*keys)
-    beta = F.sum(F.col(value) * F.col(past)).over(group) / F.sum(F.col(past) * F.col(past)).over(group)
+    beta = F.try_divide(
+        F.sum(F.col(value) * F.col(past)).over(group), F.sum(F.col(past) * F.col(past)).over(group)
+    )
     return df.withColumn(out, F.col(value) - beta * F.col(past))
 
 

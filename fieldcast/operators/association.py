@@ -60,7 +60,10 @@ def lag_pairs(field: DataFrame, response: DataFrame, lags: Sequence[int], n_fold
     and aggregations keyed by cell reuse that partitioning.
     """
     rows = field.where(F.col("value").isNotNull()).repartition("cell")
-    rows = rows.withColumn("value", F.col("value").cast("double"))
+    # A constant cell has no correlation; without values its result is NULL, not noise.
+    whole = Window.partitionBy("cell")
+    varies = F.min("value").over(whole) < F.max("value").over(whole)
+    rows = rows.withColumn("value", F.when(varies, F.col("value").cast("double")))
     values = ["x"]
     if partial:
         rows = past_value(rows, partial, "past").where(F.col("past").isNotNull())
@@ -77,8 +80,10 @@ def lag_pairs(field: DataFrame, response: DataFrame, lags: Sequence[int], n_fold
 
 
 def _correlate(pairs: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
-    out = pairs.groupBy(*keys).agg(finite(F.corr(x, y)).alias("corr"), F.count(F.lit(1)).alias("n"))
-    return out.withColumn("corr", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr"))))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    out = pairs.groupBy(*keys).agg(r.alias("corr"), F.count(F.lit(1)).alias("n"))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr")))  # both skip NULL, hence the guard
+    return out.withColumn("corr", F.when(F.col("corr").isNotNull(), bounded))
 
 
 def pearson(pairs: DataFrame, keys: Sequence[str] = tuple(GROUP)) -> DataFrame:

@@ -170,30 +170,40 @@ class _Tree:
                 i = up[i]
             return i
 
-        for a, b, w in edges:
-            a, b, lam = find(a), find(b), 1.0 / max(w, 1e-300)
-            ca, cb = cluster.get(a), cluster.get(b)
-            up[b] = a
-            if ca is not None and cb is not None:
-                top = self.new([ca, cb])
-                for c in (ca, cb):
-                    self.parent[c], self.birth[c] = top, lam
-                    self.size[top] += self.size[c]
-                    self.mass[top] += self.size[c] * lam
-                cluster[a] = top
-            elif ca is not None or cb is not None:
-                kept = ca if ca is not None else cb
-                self.leave(kept, members.pop(b if ca is not None else a), lam)
-                cluster[a] = kept
-            else:
-                small, large = sorted((members.pop(a), members.pop(b)), key=len)
-                large.extend(small)
-                if len(large) >= self.min_size:
-                    cluster[a] = self.new([])
-                    self.leave(cluster[a], large, lam)
+        start = 0
+        while start < len(edges):
+            # Edges of one weight act at once, so the result does not depend on which of
+            # several equally light spanning trees was found.
+            w, stop = edges[start][2], start
+            groups: dict[int, list[int]] = {}
+            while stop < len(edges) and edges[stop][2] == w:
+                a, b = find(edges[stop][0]), find(edges[stop][1])
+                up[b] = a
+                groups[a] = groups.pop(a, [a]) + groups.pop(b, [b])
+                stop += 1
+            start, lam = stop, 1.0 / max(w, 1e-300)
+            for head, parts in groups.items():
+                big = [cluster.pop(x) for x in parts if x in cluster]
+                loose = sorted((members.pop(x) for x in parts if x in members), key=len)
+                fallen = loose.pop() if loose else []
+                for more in loose:
+                    fallen.extend(more)
+                if len(big) > 1:
+                    top = self.new(big)
+                    for c in big:
+                        self.parent[c], self.birth[c] = top, lam
+                        self.size[top] += self.size[c]
+                        self.mass[top] += self.size[c] * lam
+                    self.leave(top, fallen, lam)
+                    cluster[head] = top
+                elif big:
+                    self.leave(big[0], fallen, lam)
+                    cluster[head] = big[0]
+                elif len(fallen) >= self.min_size:
+                    cluster[head] = self.new([])
+                    self.leave(cluster[head], fallen, lam)
                 else:
-                    members[a] = large
-            cluster.pop(b, None)
+                    members[head] = fallen
         return len(self.parent) - 1
 
     def stability(self, c: int) -> float:

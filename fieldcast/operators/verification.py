@@ -29,7 +29,7 @@ def scores() -> dict[str, Column]:
         "brier": F.avg((p - y) * (p - y)),
         "mse": F.avg((p - y) * (p - y)),
         "mae": F.avg(F.abs(p - y)),
-        "r2": 1 - F.sum((p - y) * (p - y)) / (F.var_pop(y) * F.count(y)),
+        "r2": 1 - F.try_divide(F.sum((p - y) * (p - y)), F.var_pop(y) * F.count(y)),
         "logloss": -F.avg(y * F.ln(clipped) + (1 - y) * F.ln(1 - clipped)),
         "bias": F.avg(p - y),
     }
@@ -50,7 +50,7 @@ def brier_climatology(p: Column | float) -> Column:
 
 
 def skill(reference: Column, model: Column, perfect: float = 0.0) -> Column:
-    return (reference - model) / (reference - F.lit(perfect))
+    return F.try_divide(reference - model, reference - F.lit(perfect))
 
 
 def brier_skill(predictions: DataFrame, keys: Sequence[str] = (), reference: str | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ def auc(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.sum("n").alias("_n"),
     )
     negatives = F.col("_n") - F.col("_p")
-    area = (F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * negatives)
+    area = F.try_divide(F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2, F.col("_p") * negatives)
     return sums.select(*keys, area.alias("auc"))
 
 
@@ -104,7 +104,7 @@ def kuipers(predictions: DataFrame, keys: Sequence[str] = (), clim: float | None
     """Largest attainable economic value: hit rate minus false-alarm rate at the base rate."""
     table = contingency(_with_frequency(predictions, keys, clim), F.col("clim"), keys)
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
-    return table.select(*keys, ((tp * tn - fp * fn) / ((fn + tp) * (fp + tn))).alias("kuipers"))
+    return table.select(*keys, F.try_divide(tp * tn - fp * fn, (fn + tp) * (fp + tn)).alias("kuipers"))
 
 
 def economic_value(predictions: DataFrame, thresholds: Sequence[float], cost_loss: Sequence[float],
@@ -136,14 +136,14 @@ def economic_value(predictions: DataFrame, thresholds: Sequence[float], cost_los
     table = table.withColumns(
         {
             "_c": base,
-            "_h": F.col("tp") / F.col("_pos"),
-            "_f": F.col("fp") / (F.col("_all") - F.col("_pos")),
+            "_h": F.try_divide("tp", "_pos"),
+            "_f": F.try_divide(F.col("fp"), F.col("_all") - F.col("_pos")),
         }
     )
     fixed = F.least("cl", "_c")
     gain = fixed - F.col("_f") * F.col("cl") * (1 - F.col("_c")) + F.col("_h") * F.col("_c") * (1 - F.col("cl")) - F.col("_c")
-    value = gain / (fixed - F.col("_c") * F.col("cl"))
-    return table.select(*keys, "p_thresh", "cl", (F.greatest(value, F.lit(0.0)) if cap_negative else value).alias("pev"))
+    value = F.try_divide(gain, fixed - F.col("_c") * F.col("cl"))
+    return table.select(*keys, "p_thresh", "cl", (F.when(value < 0, F.lit(0.0)).otherwise(value) if cap_negative else value).alias("pev"))
 
 
 def best_value(predictions: DataFrame, thresholds: Sequence[float], cost_loss: Sequence[float],
@@ -182,7 +182,7 @@ def val_train_ratio(validation: DataFrame, training: DataFrame, scores: Sequence
     """Score on unseen data over score on seen data."""
     seen = training.select(*keys, *[F.col(s).alias(f"_{s}") for s in scores])
     joined = validation.join(seen, list(keys))
-    return joined.select(*keys, *[(F.col(s) / F.col(f"_{s}")).alias(f"{s}_val/train") for s in scores])
+    return joined.select(*keys, *[F.try_divide(s, f"_{s}").alias(f"{s}_val/train") for s in scores])
 
 
 def _packed(series: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str = "time") -> DataFrame:
@@ -273,6 +273,11 @@ def bootstrapped_skill(predictions: DataFrame, blocksizes: Sequence[int | None]
     return out
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation, NULL for a constant series; both columns NULL on the same rows."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def series_properties(series: DataFrame, keys: Sequence[str] = ("cell",), months: Sequence[int] | None = None,
                       auto_corr_at: Sequence[int] = (1, 5), scale: bool = False, value: str = "value") -> DataFrame:
     """Mean, spread, length, missing count, yearly trend and autocorrelation at day lags.
@@ -298,7 +303,7 @@ def series_properties(series: DataFrame, keys: Sequence[str] = ("cell",), months
         F.regr_slope("_v", "_year").alias("trend"),
         F.regr_intercept("_v", "_year").alias("intercept"),
         *[
-            F.corr(F.when(F.col(f"_a{k}").isNotNull(), F.col("_v")), F.col(f"_a{k}")).alias(f"auto{k}")
+            _correlation(F.when(F.col(f"_a{k}").isNotNull(), F.col("_v")), F.col(f"_a{k}")).alias(f"auto{k}")
             for k in auto_corr_at
         ],
     )
