@@ -26,8 +26,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     needs a logarithmic number of rounds on long chains too.  Minima are combined on the map
     side before any shuffle, so a hub with most of the edges is no hot spot.
     """
-    state = cut(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct())
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    given = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    state = given.where("a <> b")
     previous = None
     while True:
         # Large star: larger neighbours of a node hook to the least node around it.
@@ -45,9 +46,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == previous:
             break
         previous = now
-    return nodes.join(state.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root")
-    )
+    hooked = nodes.join(state.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    return cut(hooked.select("node", F.coalesce("root", "node").alias("root")))
 
 
 def dbscan(points: DataFrame, eps_km: float, min_samples: int) -> DataFrame:
@@ -93,7 +93,7 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int) -> DataFrame:
     own = core.select(F.col("cube").alias("a"), F.col("cube").alias("b"))
     parts = connected_components(bridges.unionByName(own).distinct())
     rooted = core.join(parts.withColumnRenamed("node", "cube"), "cube")
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first_core"))
+    firsts = cut(rooted.groupBy("root").agg(F.min("first").alias("first_core")))
     numbers = rank_counts(firsts, [], "first_core").select("first_core", (F.col("n_upto") - 1).cast("int").alias("clustid"))
     clusters = firsts.join(numbers, "first_core").select("root", "clustid")
     core_labels = cut(rooted.join(clusters, "root").select("lat", "lon", "cube", "clustid"))
@@ -175,7 +175,7 @@ def cut_tree(merges: DataFrame, cells: DataFrame, n_clusters: int | None = None,
         kept = merges.where(F.col("height") <= height)
     own = cells.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
     parts = connected_components(kept.select("a", "b").unionByName(own))
-    roots = parts.select("root").distinct()
+    roots = cut(parts.select("root").distinct())
     numbers = rank_counts(roots, [], "root").select("root", (F.col("n_upto") - 1).cast("int").alias("clustid"))
     return parts.join(numbers, "root").select(F.col("node").alias("cell"), "clustid")
 

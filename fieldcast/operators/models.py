@@ -7,11 +7,14 @@ folds and parameter combinations, both given lists.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -179,9 +182,20 @@ def _fit(model, train: DataFrame, val: DataFrame, how: str | None):
     return model.fit(rows, train.unionByName(val)) if model.greedy_base else model.fit(rows)
 
 
-def _folds(data: DataFrame, n_folds: int):
-    for k in range(n_folds):
-        yield k, data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+def each_fold(data: DataFrame, n_folds: int, work: Callable[[int, DataFrame, DataFrame], DataFrame],
+              parallelism: int = 4) -> DataFrame:
+    """Union of ``work(fold, training rows, validation rows)``; fits of different folds overlap.
+
+    The driver's threads only submit jobs, as cross-validation in ``pyspark.ml`` does.
+    """
+    data = cached(data)
+
+    def one(k: int) -> DataFrame:
+        return work(k, data.where(F.col("fold") != k), data.where(F.col("fold") == k))
+
+    with ThreadPool(min(parallelism, n_folds)) as pool:
+        parts = pool.map(inheritable_thread_target(data.sparkSession)(one), range(n_folds))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def cached(data: DataFrame) -> DataFrame:
@@ -191,15 +205,12 @@ def cached(data: DataFrame) -> DataFrame:
 
 def fit_predict(model, data: DataFrame, n_folds: int, balance_training: str | None = None) -> DataFrame:
     """Out-of-fold predictions ``(fold, time, y, base, p)`` of every row."""
-    data = cached(data)
-    parts = [
-        _fit(model, train, val, balance_training).predict(val) for _, train, val in _folds(data, n_folds)
-    ]
-    keep = [c for c in ("fold", "time", "y", "base", "p") if c in parts[0].columns]
-    out = parts[0].select(*keep)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*keep))
-    return out
+
+    def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
+        out = _fit(model, train, val, balance_training).predict(val)
+        return out.select(*[c for c in ("fold", "time", "y", "base", "p") if c in out.columns])
+
+    return each_fold(data, n_folds, work)
 
 
 def fit_predict_holdout(model, train: DataFrame, holdout: DataFrame) -> DataFrame:
@@ -211,36 +222,33 @@ def fit_predict_evaluate(model, data: DataFrame, n_folds: int, scores: Sequence[
                          compare_val_train: bool = True, properties_too: bool = False,
                          balance_training: str | None = None) -> DataFrame:
     """Scores per fold on unseen rows, optionally with their ratio to scores on seen rows."""
-    data = cached(data)
-    parts = []
-    for k, train, val in _folds(data, n_folds):
+
+    def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
         fitted = _fit(model, train, val, balance_training)
         unseen = evaluate(fitted.predict(val), scores, ["fold"])
         if compare_val_train:
             seen = evaluate(fitted.predict(train).withColumn("fold", F.lit(k)), scores, ["fold"])
-            unseen = unseen.join(val_train_ratio(unseen, seen, scores, ["fold"]), "fold")
+            ratios = val_train_ratio(unseen, seen, scores, ["fold"])
+            unseen = unseen.join(ratios, "fold")
         if properties_too:
             depth, nodes, leaves = forest_properties(fitted.forest)
             unseen = unseen.withColumns(
                 {"max_depth": F.lit(depth), "node_count": F.lit(nodes), "n_leaves": F.lit(leaves)}
             )
-        parts.append(unseen)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return unseen
+
+    return each_fold(data, n_folds, work)
 
 
 def hyperparam_evaluation(model, data: DataFrame, grid: dict[str, Sequence], n_folds: int,
                           scores: Sequence[str] = ("brier",), **kw) -> DataFrame:
     """Cross-validated scores of every parameter combination, in long form."""
-    out = None
+    data, out = cached(data), []
     for values in itertools.product(*grid.values()):
         params = dict(zip(grid, values))
         part = fit_predict_evaluate(replace(model, **params), data, n_folds, scores, **kw)
-        part = part.withColumns({k: F.lit(v) for k, v in params.items()})
-        out = part if out is None else out.unionByName(part)
-    return out
+        out.append(part.withColumns({k: F.lit(v) for k, v in params.items()}))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def forest_properties(forest) -> tuple[float, float, float]:
@@ -292,17 +300,15 @@ def permutation_importance(model, data: DataFrame, names: Sequence[str], n_folds
     Rank 0 is the feature whose permutation costs most.  The multi-pass keeps every winner
     permuted while it searches the next; the driver sees one feature number per step.
     """
-    data = cached(data)
     indices = list(range(len(names)))
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1)
     order = Window.partitionBy("fold").orderBy(F.col("score").desc(), "j")
-    out = None
-    for k, train, val in _folds(data, n_folds):
+
+    def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
         fitted = _fit(model, train, val, None)
         rows = cached(val if on_validation else train)
         single = permuted_scores(fitted, rows, indices, draws=draws).withColumn("fold", F.lit(k))
-        single = single.withColumns({"rank": F.row_number().over(order) - 1, "pass": F.lit("singlepass")})
-        parts = [single]
+        parts = [single.withColumns({"rank": F.row_number().over(order) - 1, "pass": F.lit("singlepass")})]
         fixed: list[int] = []
         while not single_only and len(fixed) < min(n_important, len(names)):
             left = [i for i in indices if i not in fixed]
@@ -310,7 +316,7 @@ def permutation_importance(model, data: DataFrame, names: Sequence[str], n_folds
             step = (int(best["j"]), float(best["score"]), k, len(fixed), "multipass")
             parts.append(data.sparkSession.createDataFrame([step], "j int, score double, fold int, rank int, pass string"))
             fixed.append(int(best["j"]))
-        for part in parts:
-            part = part.select("fold", named.alias("feature"), "pass", "rank", "score")
-            out = part if out is None else out.unionByName(part)
-    return out
+        steps = [p.select("fold", named.alias("feature"), "pass", "rank", "score") for p in parts]
+        return functools.reduce(DataFrame.unionByName, steps)
+
+    return each_fold(data, n_folds, work)

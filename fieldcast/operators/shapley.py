@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcast.operators.models import _fit, _folds, cached
+from fieldcast.operators.models import _fit, each_fold
 
 MAX_BACKGROUND = 500  # Fixed value: rows a background sample holds at most.
 _LINE = re.compile(r"( *)(?:(If|Else) \(feature (\d+) (<=|>) ([^)]+)\)|Predict: (\S+)|Tree \d+ \(weight (\S+)\))")
@@ -166,14 +166,13 @@ def compute_shaps(model, data: DataFrame, names: Sequence[str], n_folds: int, on
 
     ``sample`` is ``standard``, or ``negative`` for a background of non-events only.
     """
-    data = cached(data)
-    out = None
-    for k, train, val in _folds(data, n_folds):
+
+    def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
         fitted = _fit(model, train, val, None)
         background = train if bg_from_training else val
         if sample == "negative":
             background = background.where(F.col("y") == 0)
-        part = explain(fitted.forest, val if on_validation else train, background, names, use_background)
-        part = part.select(F.lit(k).alias("fold"), "time", "feature", "shap")
-        out = part if out is None else out.unionByName(part)
-    return out
+        found = explain(fitted.forest, val if on_validation else train, background, names, use_background)
+        return found.select(F.lit(k).alias("fold"), "time", "feature", "shap")
+
+    return each_fold(data, n_folds, work)
