@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldcast.session import cut
+
 FANOUT = 512
 
 
@@ -78,8 +80,11 @@ def rank_counts(df: DataFrame, keys: list[str], value: str, keep_slices: bool =
 
     Lowest, average and highest rank of a value are ``n_upto - n + 1``,
     ``n_upto - (n - 1) / 2`` and ``n_upto``.  Extra ``totals`` are aggregated per value.
+
+    The distinct values are written once: the scans read them several times, and a value
+    that was itself computed from floating-point sums must not differ between readings.
     """
-    counted = (
+    counted = cut(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in totals.items()])

@@ -21,6 +21,7 @@ from fieldcast.functions.stats import (
 )
 from fieldcast.operators.folds import training_copies, with_year_fold
 from fieldcast.operators.temporal import lag_field, past_value
+from fieldcast.session import cut
 
 GROUP = ["cell", "lag", "fold"]
 
@@ -233,9 +234,14 @@ def fdr_threshold(tests: DataFrame, keys: Sequence[str], alpha: float, pvalue: s
 
 
 def fdr_mask(tests: DataFrame, keys: Sequence[str], alpha: float, pvalue: str = "pvalue") -> DataFrame:
-    """Add ``reject``; tests without a p-value are never rejected and never counted."""
-    cut = fdr_threshold(tests, keys, alpha, pvalue).select(*keys, "p_cut")
-    joined = tests.join(cut, list(keys), "left")
+    """Add ``reject``; tests without a p-value are never rejected and never counted.
+
+    The tests are written once.  The threshold is one of their own p-values, so it must
+    meet exactly the number it was taken from, and the association behind them is costly.
+    """
+    tests = cut(tests)
+    limits = fdr_threshold(tests, keys, alpha, pvalue).select(*keys, "p_cut")
+    joined = tests.join(limits, list(keys), "left")
     return joined.withColumn("reject", F.coalesce(F.col(pvalue) <= F.col("p_cut"), F.lit(False))).drop("p_cut")
 
 

@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from fieldcast.functions.geo import haversine_km
 from fieldcast.functions.ranks import rank_counts
@@ -187,3 +190,22 @@ def cut_heights(merges: DataFrame, cells: DataFrame, heights: Sequence[float]) -
         part = cut_tree(merges, cells, height=h).withColumn("dissim_threshold", F.lit(float(h)))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def centroid_clusters(points: DataFrame, n_clusters: Sequence[int], bisecting: bool = False, seed: int = 7) -> DataFrame:
+    """``(nclusters, cell, clustid)`` by k-means on positions in space, one labelling per k.
+
+    The distributed alternative to clustering a precomputed matrix: straight-line distance
+    on the unit sphere grows with great-circle distance.
+    """
+    phi, lam = F.radians("lat"), F.radians("lon")
+    placed = points.select("cell", (F.cos(phi) * F.cos(lam)).alias("x"), (F.cos(phi) * F.sin(lam)).alias("y"), F.sin(phi).alias("z"))
+    vectors = VectorAssembler(inputCols=["x", "y", "z"], outputCol="features").transform(placed)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    kind = BisectingKMeans if bisecting else KMeans
+    out = None
+    for k in n_clusters:
+        fitted = kind(k=k, seed=seed, predictionCol="clustid").fit(vectors)
+        part = fitted.transform(vectors).select(F.lit(k).alias("nclusters"), "cell", "clustid")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -22,22 +22,25 @@ def fold_table(days: DataFrame, n_folds: int) -> DataFrame:
     size = F.ceil(F.count(F.lit(1)).over(everything) / n_folds)
     first = F.min("year").over(everything)
     years = years.withColumn("grp", F.floor((F.col("year") - first) / size).cast("int"))
-    groups = years.groupBy("grp").agg(
-        F.sum("_rows").alias("_rows"), F.min("_a").alias("valstart"), F.max("_b").alias("valend")
+    group = Window.partitionBy("grp")
+    years = years.withColumns(
+        {
+            "_rows": F.sum("_rows").over(group),
+            "valstart": F.min("_a").over(group),
+            "valend": F.max("_b").over(group),
+        }
     )
     by_size = everything.orderBy(F.col("_rows").desc(), F.col("grp").desc())
-    groups = groups.withColumns(
+    years = years.withColumns(
         {
-            "fold": F.row_number().over(by_size) - 1,
-            "fieldfold": F.row_number().over(everything.orderBy("grp")) - 1,
-            "_k": F.count(F.lit(1)).over(everything),
+            "fold": F.dense_rank().over(by_size) - 1,
+            "fieldfold": F.dense_rank().over(everything.orderBy("grp")) - 1,
         }
     )
-    ok = F.assert_true(F.col("_k") == n_folds, f"year groups do not make {n_folds} folds; choose another number")
-    groups = groups.withColumn("_ok", ok).where(F.col("_ok").isNull())
-    return years.select("year", "grp").join(groups, "grp").select(
-        "year", "grp", "fold", "fieldfold", "valstart", "valend"
-    )
+    found = F.max("fieldfold").over(everything) + 1
+    ok = F.assert_true(found == n_folds, f"year groups do not make {n_folds} folds; choose another number")
+    years = years.withColumn("_ok", ok).where(F.col("_ok").isNull())
+    return years.select("year", "grp", "fold", "fieldfold", "valstart", "valend")
 
 
 def with_year_fold(df: DataFrame, n_folds: int, days: DataFrame | None = None) -> DataFrame:

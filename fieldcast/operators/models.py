@@ -213,6 +213,12 @@ def fit_predict(model, data: DataFrame, n_folds: int, balance_training: str | No
     return each_fold(data, n_folds, work)
 
 
+def one_fold(model, data: DataFrame, k: int) -> DataFrame:
+    """Predictions of a single validation fold."""
+    train, val = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+    return _fit(model, train, val, None).predict(val).select("fold", "time", "y", "base", "p")
+
+
 def fit_predict_holdout(model, train: DataFrame, holdout: DataFrame) -> DataFrame:
     """Fit on one period, predict another."""
     return _fit(model, train, holdout, None).predict(holdout)
