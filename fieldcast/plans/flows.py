@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import functools
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,17 +111,18 @@ def forecast(features: DataFrame, response: DataFrame, timeagg: int, separation:
     )
     named = chosen.withColumn("feature", collapse([k for k in FEATURE_KEYS if k != "fold"], "|"))
     named = models.cached(named.select("_model", "time", "feature", "value"))
-    parts = []
-    for k in range(n_folds):
+
+    def one(k: int) -> DataFrame:
         mine = named.where(F.col("_model") == k)
         names = [r.feature for r in mine.select("feature").distinct().orderBy("feature").collect()]
-        if not names:  # nothing significant in this fold: the base rate is the forecast
-            rows = folds.with_year_fold(events.withColumn("y", F.col("y").cast("double")), n_folds)
-            fold_model = models.Hybrid(greedy_base=True, base_only=True)
-        else:
-            rows = models.training_frame(mine, events, names, n_folds)
-            fold_model = model
-        parts.append(models.one_fold(fold_model, models.cached(rows), k))
+        if names:
+            return models.one_fold(model, models.cached(models.training_frame(mine, events, names, n_folds)), k)
+        # Nothing significant in this fold: the base rate is the forecast.
+        rows = folds.with_year_fold(events.withColumn("y", F.col("y").cast("double")), n_folds)
+        return models.one_fold(models.Hybrid(greedy_base=True, base_only=True), models.cached(rows), k)
+
+    with ThreadPool(min(4, n_folds)) as pool:  # threads submit jobs only
+        parts = pool.map(inheritable_thread_target(features.sparkSession)(one), range(n_folds))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

@@ -12,23 +12,23 @@ from fieldcast.plans import flows
 
 @pytest.fixture(scope="module")
 def world(spark):
-    """Thirty cells over eight years; the first fifteen lead the target by ten days."""
+    """Twenty cells over six years; the first ten lead the target by ten days."""
     rng = np.random.default_rng(13)
-    n = 8 * 365
+    n = 6 * 365
     signal = np.convolve(rng.normal(size=n + 40), np.ones(15) / 15, "same")[:n]
     start = dt.date(2001, 1, 1)
     dates = [start + dt.timedelta(days=i) for i in range(n)]
     season = 5 * np.sin(2 * np.pi * np.arange(n) / 365.25)
     rows = []
-    for c in range(30):
+    for c in range(20):
         noise = rng.normal(scale=0.1, size=n)
-        values = season + noise + (signal if c < 15 else 0)
+        values = season + noise + (signal if c < 10 else 0)
         rows += [(c, d, float(v)) for d, v in zip(dates, values)]
     field = spark.createDataFrame(rows, "cell int, time date, value double")
     target = [(d, float(signal[max(0, i - 10)] + rng.normal(scale=0.05))) for i, d in enumerate(dates)]
     series = spark.createDataFrame(target, "time date, y double")
     points = spark.createDataFrame(
-        [(c, 40.0 + c % 5, float(c // 5) + (60.0 if c >= 15 else 0.0)) for c in range(30)], "cell int, lat double, lon double"
+        [(c, 40.0 + c % 5, float(c // 5) + (30.0 if c >= 10 else 0.0)) for c in range(20)], "cell int, lat double, lon double"
     )
     return field, series, points
 
@@ -36,25 +36,25 @@ def world(spark):
 def test_known_source_is_found_clustered_and_used(spark, world):
     field, series, points = world
     anom = flows.anomalies(field).cache()
-    found = flows.find_precursors(anom, series, [3], 4, [7], alpha=1e-4).cache()
+    found = flows.find_precursors(anom, series, [3], 3, [7], alpha=1e-4).cache()
     significant = found.where("lag = -10 and corr is not null").groupBy("cell").count().collect()
-    assert {r.cell for r in significant if r["count"] == 4} == set(range(15))
-    clustered = flows.cluster_precursors(found, points, settings={"standard": (3, 5, 0.0)}, min_points=10).cache()
-    assert {r.cell for r in clustered.where("lag = -10 and fold = 0 and clustid is not null").collect()} <= set(range(15))
+    assert {r.cell for r in significant if r["count"] == 3} == set(range(10))
+    clustered = flows.cluster_precursors(found, points, settings={"standard": (3, 5, 0.0)}, min_points=8).cache()
+    assert {r.cell for r in clustered.where("lag = -10 and fold = 0 and clustid is not null").collect()} <= set(range(10))
     features = flows.extract_features(anom, clustered, "sst", [3]).cache()
     assert features.where("metric = 'mean' and separation = -7").count() > 0
     table = flows.response_table(series, [3]).cache()
-    model = models.Hybrid(greedy_base=True, n_estimators=10, max_depth=4, max_features=2)
-    out = flows.forecast(features, table, 3, -7, 0.666, 4, model).cache()
+    model = models.Hybrid(greedy_base=True, n_estimators=5, max_depth=4, max_features=2)
+    out = flows.forecast(features, table, 3, -7, 0.666, 3, model).cache()
     s = out.agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("p"), F.avg((F.col("base") - F.col("y")) ** 2).alias("b"), F.count("*").alias("n")).first()
-    assert s.n > 600 and s.p < 0.8 * s.b
+    assert s.n > 500 and s.p < 0.8 * s.b
 
 
 def test_centroids_separate_two_patches(spark, world):
     out = clustering.centroid_clusters(world[2], [2]).collect()
-    sides = {r.cell < 15: set() for r in out}
+    sides = {r.cell < 10: set() for r in out}
     for r in out:
-        sides[r.cell < 15].add(r.clustid)
+        sides[r.cell < 10].add(r.clustid)
     assert all(len(v) == 1 for v in sides.values())
 
 
