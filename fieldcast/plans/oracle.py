@@ -730,22 +730,27 @@ register(
 )
 
 # --- distances and clustering --------------------------------------------------------
+# Every pair of cells is in the matrix, also one without a day in common.
 register(
     "jaccard", "nation_field",
-    """SELECT i, j, ROUND(1 - COUNT(*) FILTER (a AND b)::DOUBLE / (MAX(na) + MAX(nb) - COUNT(*) FILTER (a AND b)), 9) AS dist FROM (
-        SELECT x.cell AS i, y.cell AS j, x.y AS a, y.y AS b, x.k AS na, y.k AS nb FROM k x JOIN k y ON x.time = y.time AND x.cell < y.cell)
-        GROUP BY i, j""",
+    """SELECT i, j, ROUND(CASE WHEN ni + nj - n > 0 THEN 1 - n::DOUBLE / (ni + nj - n) ELSE 0 END, 9) AS dist
+        FROM (SELECT a.cell AS i, b.cell AS j, a.k AS ni, b.k AS nj, COALESCE(n, 0) AS n FROM c a JOIN c b ON a.cell < b.cell
+        LEFT JOIN together t ON t.i = a.cell AND t.j = b.cell)""",
     m=f"SELECT *, value > quantile_cont(value, 0.75) OVER (PARTITION BY cell) AS y FROM nation_field WHERE {JJA}",
-    k="SELECT *, COUNT(*) FILTER (y) OVER (PARTITION BY cell) AS k FROM m",
+    c="SELECT cell, COUNT(*) FILTER (y) AS k FROM m GROUP BY cell",
+    together="""SELECT a.cell AS i, b.cell AS j, COUNT(*) AS n FROM m a JOIN m b ON a.time = b.time AND a.y AND b.y AND a.cell < b.cell
+        GROUP BY 1, 2""",
 )
 register(
     "max_correlation", "nation_field",
-    "SELECT i, j, ROUND(1 - MAX(num / sqrt(sa * sb)), 6) AS dist FROM r GROUP BY i, j",
+    """SELECT a.cell AS i, b.cell AS j, ROUND(1 - MAX(COALESCE(num, 0) / sqrt(a.ss * b.ss)), 6) AS dist FROM norms a
+        JOIN norms b ON a.lag = 0 AND a.cell < b.cell
+        LEFT JOIN r ON r.i = a.cell AND r.j = b.cell AND r.lag = b.lag GROUP BY 1, 2""",
     moved="""SELECT cell, lag, CAST(time - lag AS DATE) AS time, value FROM nation_field CROSS JOIN (SELECT unnest([-5, 0, 5]) AS lag)
         WHERE time - lag IN (SELECT time FROM nation_field)""",
     dev="SELECT *, value - AVG(value) OVER (PARTITION BY cell, lag) AS d FROM moved",
-    s="SELECT *, SUM(d * d) OVER (PARTITION BY cell, lag) AS ss FROM dev",
-    r="""SELECT a.cell AS i, b.cell AS j, b.lag, SUM(a.d * b.d) AS num, MAX(a.ss) AS sa, MAX(b.ss) AS sb FROM s a JOIN s b
+    norms="SELECT cell, lag, SUM(d * d) AS ss FROM dev GROUP BY 1, 2",
+    r="""SELECT a.cell AS i, b.cell AS j, b.lag, SUM(a.d * b.d) AS num FROM dev a JOIN dev b
         ON b.time = a.time AND a.lag = 0 AND a.cell < b.cell GROUP BY 1, 2, 3""",
 )
 HAVERSINE = """2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(a.lat) - radians(b.lat)) / 2), 2)
@@ -786,3 +791,30 @@ register(
     """SELECT cell, time, 1.0::DOUBLE AS value FROM (SELECT DISTINCT cell, CAST(ts AS DATE) AS time FROM hourly)
         QUALIFY time - MIN(time) OVER (PARTITION BY cell) = row_number() OVER (PARTITION BY cell ORDER BY time) - 1""",
 )
+
+# --- models --------------------------------------------------------------------------
+WEEK = "cell, time, value FROM (SELECT cell, time, SUM(value) {w} / COUNT(value) {w} AS value, COUNT(value) {w} AS n FROM {f}) WHERE n = 7"
+W7_FLAG, W7_ALL = (f"SELECT {WEEK.format(w=FRAME.format(6), f=f)}" for f in ("flag_field", "target"))
+STEP = """SELECT k + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM (SELECT MAX(k) AS k, MAX(b0) AS b0, MAX(b1) AS b1, SUM(q - y) AS g0, SUM((q - y) * z) + MAX(b1) AS g1,
+        SUM(q * (1 - q)) AS h00, SUM(q * (1 - q) * z) AS h01, SUM(q * (1 - q) * z * z) + 1 AS h11
+        FROM (SELECT i.k, i.b0, i.b1, s.z, s.y, 1 / (1 + exp(-(i.b0 + i.b1 * s.z))) AS q FROM newton i CROSS JOIN scaled s)) WHERE k < 25"""
+ORACLE["base_rate_forecast"] = (
+    "WITH RECURSIVE " + using(
+        "flag_field response", "",
+        target="SELECT 0 AS cell, time, y AS value FROM response",
+        inputs=W7_FLAG,
+        complete="""SELECT i.time - l.lag AS time FROM inputs i CROSS JOIN (SELECT unnest([-7, -14, -22]) AS lag) l
+            GROUP BY 1 HAVING COUNT(*) = 9""",
+        weekly=f"SELECT * FROM ({W7_ALL}) WHERE {JJA}",
+        events="SELECT time, CASE WHEN value > (SELECT quantile_cont(value, 0.666) FROM weekly) THEN 1 ELSE 0 END AS y FROM weekly",
+        rows_in="SELECT * FROM events WHERE time IN (SELECT time FROM complete)",
+        **year_groups("rows_in", 4),
+        dated="SELECT time, y, (time - DATE '1970-01-01') + 2440587.5::DOUBLE AS j FROM rows_in",
+        scaled="SELECT time, y, (j - AVG(j) OVER ()) / STDDEV_POP(j) OVER () AS z FROM dated",
+        newton=f"SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 UNION ALL {STEP}",
+    )[5:]
+    + """SELECT g.fold, s.time, s.y, ROUND(1 / (1 + exp(-(n.b0 + n.b1 * s.z))), 4) AS p FROM scaled s
+        CROSS JOIN (SELECT * FROM newton ORDER BY k DESC LIMIT 1) n
+        JOIN numbered y ON y.year = year(s.time) JOIN groups g ON g.grp = y.grp"""
+)

@@ -6,6 +6,9 @@ from compare import compare, connect
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
+# Three or four pairs per series at the smallest scale make residual ranks a matter of rounding.
+NEEDS_MORE_DATA = {"partial_spearman"}
+LARGER = "/root/testdata/sf0.01"
 SLOW = {"hdbscan", "hyperparameters", "permutation_importance", "shap_values", "hybrid_forecast", "classifier_forecast",
         "hybrid_scores", "base_rate_forecast", "linkage_merges"}
 
@@ -22,5 +25,6 @@ def test_contract(spark):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) & set(entry.oracle_sql()) - SLOW))
 def test_against_sql(spark, con, name):
-    verdict = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF)
+    sf, tables = (LARGER, connect(LARGER)) if name in NEEDS_MORE_DATA else (SF, con)
+    verdict = compare(spark, tables, name, entry.queries()[name], entry.oracle_sql()[name], sf)
     assert verdict in ("", "no rows"), verdict
