@@ -818,3 +818,33 @@ ORACLE["base_rate_forecast"] = (
         CROSS JOIN (SELECT * FROM newton ORDER BY k DESC LIMIT 1) n
         JOIN numbered y ON y.year = year(s.time) JOIN groups g ON g.grp = y.grp"""
 )
+
+# --- plot data -----------------------------------------------------------------------
+register(
+    "scatter_data", "region_field response",
+    """SELECT f.cell, f.time, f.value, CAST(f.cell % 4 AS INT) AS fold, s.y, f.time BETWEEN g.valstart AND g.valend AS validation
+        FROM region_field f JOIN s ON s.time = f.time JOIN groups g ON g.fold = f.cell % 4""",
+    s=f"SELECT * FROM response WHERE {JJA}", **year_groups("s", 4),
+)
+register("forecast_lines", "daily_forecasts", f"SELECT time, ROUND(p, 6) AS p, y FROM daily_forecasts WHERE {JJA}")
+register(
+    "shap_data", "flag_field",
+    """SELECT f.cell AS variable, -7 AS lag, f.time, f.value % 100 - 50 AS shap, r.value AS feature_value, f.cell AS feature
+        FROM flag_field f LEFT JOIN r ON r.cell = f.cell AND r.time = f.time""",
+    r=rolled("flag_field", 7),
+)
+register(
+    "dot_data", "importances",
+    """SELECT variable, respagg, separation, timeagg AS y, MAX(rank) AS size FROM importances GROUP BY 1, 2, 3, 4""",
+)
+register(
+    "grid_edges", "supplier_field supplier_points",
+    """SELECT *, lat - 0.25::DOUBLE AS south, lat AS north, lon AS west, lon + 0.25::DOUBLE AS east FROM supplier_points
+        WHERE cell IN (SELECT cell FROM supplier_field GROUP BY cell HAVING COUNT(value) >= 500)""",
+)
+register("stationary_base_rate", "response", "SELECT time, 0.25::DOUBLE AS baserate FROM response")
+register(
+    "series_trend", "supplier_field",
+    """SELECT cell, ROUND(regr_slope(value, year(time)) / STDDEV_POP(value), 6) AS trend,
+        ROUND((regr_intercept(value, year(time)) - AVG(value)) / STDDEV_POP(value), 3) AS intercept FROM supplier_field GROUP BY cell""",
+)

@@ -14,7 +14,7 @@ from fieldcast.functions.keys import collapse, restore
 from fieldcast.functions.ranks import exact_quantile
 from fieldcast.functions.stats import detrend
 from fieldcast.operators import association as assoc
-from fieldcast.operators import climate, clustering, distances, folds, hierarchy, inspection, models, reduction, shapley, temporal, verification
+from fieldcast.operators import climate, clustering, distances, folds, hierarchy, inspection, models, reduction, shapley, temporal, trends, verification
 from fieldcast.sources import adapters as src
 from fieldcast.sources import fields, ingest
 from fieldcast.streaming import ingest as streams
@@ -820,3 +820,68 @@ def hdbscan(spark, d):
     found = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7 and fold < 2 and corr is not null")
     cells = found.select("lag", "fold", "cell").join(src.supplier_points(spark, d), "cell")
     return hierarchy.hdbscan(cells, 4, 6, ["lag", "fold"], epsilon_rad=0.06, min_points=20)
+
+
+# --- plot data and alternatives ------------------------------------------------------
+
+
+@query
+def scatter_data(spark, d):
+    features = src.region_field(spark, d).withColumn("fold", (F.col("cell") % 4).cast("int"))
+    target = temporal.season_filter(src.response(spark, d), "JJA")
+    return inspection.scatter_data(features, target, folds.fold_bounds(target, 4))
+
+
+@query
+def forecast_lines(spark, d):
+    daily = src.daily_forecasts(spark, d)
+    out = inspection.forecast_lines(daily.select("time", "p"), daily.select("time", "y"))
+    return _rounded(out, "p")
+
+
+@query
+def shap_data(spark, d):
+    field = src.flag_field(spark, d).withColumnsRenamed({"cell": "variable"})
+    shap = field.select("variable", F.lit(-7).alias("lag"), "time", (F.col("value") % 100 - 50).alias("shap"))
+    inputs = temporal.rolling(field, 7, keys=["variable"])
+    return inspection.shap_data(shap, inputs, ["variable", "lag"])
+
+
+@query
+def dot_data(spark, d):
+    imp = src.importances(spark, d)
+    kept = [k for k in src.IMPORTANCE_KEYS if k not in ("metric", "clustid", "lag", "fold")]
+    reduced = inspection.reduce_over(imp, src.IMPORTANCE_KEYS, ["metric", "clustid", "lag", "fold"], ["rank"], "max")
+    return inspection.dot_data(reduced.select(*kept, "rank"), "rank")
+
+
+@query
+def grid_edges(spark, d):
+    busy = fields.drop_empty_cells(src.supplier_field(spark, d), 500).select("cell").distinct()
+    return inspection.grid_edges(src.supplier_points(spark, d).join(busy, "cell", "left_semi"), 0.25)
+
+
+@query
+def stationary_base_rate(spark, d):
+    return inspection.base_rate(src.response(spark, d), 0.75)
+
+
+@query
+def series_trend(spark, d):
+    out = verification.series_properties(src.supplier_field(spark, d), scale=True, auto_corr_at=[])
+    return out.select("cell", F.round("trend", 6).alias("trend"), F.round("intercept", 3).alias("intercept"))
+
+
+@query
+def centroid_clusters(spark, d):
+    return clustering.centroid_clusters(src.supplier_points(spark, d), [3, 5])
+
+
+@query
+def loess_detrend(spark, d):
+    return trends.loess_detrend(temporal.season_filter(src.flag_field(spark, d), "JJA"))
+
+
+@query
+def quantile_detrend(spark, d):
+    return trends.quantile_detrend(temporal.season_filter(src.flag_field(spark, d), "JJA"))
