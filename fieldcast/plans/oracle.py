@@ -848,3 +848,28 @@ register(
     """SELECT cell, ROUND(regr_slope(value, year(time)) / STDDEV_POP(value), 6) AS trend,
         ROUND((regr_intercept(value, year(time)) - AVG(value)) / STDDEV_POP(value), 3) AS intercept FROM supplier_field GROUP BY cell""",
 )
+
+# --- average linkage, one merge per step ---------------------------------------------
+MERGE = """SELECT k + 1, [CASE WHEN x = b THEN a ELSE x END for x in labels], a, b, h,
+        len([x for x in labels if x = a OR x = b]) FROM (
+        SELECT s.k, s.labels, least(s.labels[p.i], s.labels[p.j]) AS a, greatest(s.labels[p.i], s.labels[p.j]) AS b, AVG(p.dist) AS h
+        FROM merging s JOIN placed p ON s.labels[p.i] <> s.labels[p.j] GROUP BY 1, 2, 3, 4 ORDER BY h, a, b LIMIT 1)"""
+LINKAGE = {
+    "m": f"SELECT *, value > quantile_cont(value, 0.75) OVER (PARTITION BY cell) AS y FROM nation_field WHERE {JJA}",
+    "c": "SELECT cell, COUNT(*) FILTER (y) AS k, row_number() OVER (ORDER BY cell) AS pos FROM m GROUP BY cell",
+    "together": """SELECT a.cell AS i, b.cell AS j, COUNT(*) AS n FROM m a JOIN m b ON a.time = b.time AND a.y AND b.y AND a.cell < b.cell
+        GROUP BY 1, 2""",
+    "placed": """SELECT a.pos AS i, b.pos AS j, CASE WHEN a.k + b.k > COALESCE(n, 0) THEN 1 - COALESCE(n, 0)::DOUBLE / (a.k + b.k - COALESCE(n, 0))
+        ELSE 0 END AS dist FROM c a JOIN c b ON a.cell < b.cell LEFT JOIN together t ON t.i = a.cell AND t.j = b.cell""",
+    "merging": f"""SELECT 0 AS k, (SELECT list(cell ORDER BY cell) FROM c) AS labels, CAST(NULL AS INT) AS a, CAST(NULL AS INT) AS b,
+        CAST(NULL AS DOUBLE) AS h, CAST(0 AS BIGINT) AS size UNION ALL {MERGE}""",
+}
+ORACLE["linkage_merges"] = (
+    "WITH RECURSIVE " + using("nation_field", "", **LINKAGE)[5:]
+    + "SELECT a, b, ROUND(h, 9) AS height, size FROM merging WHERE k > 0"
+)
+ORACLE["linkage_clusters"] = (
+    "WITH RECURSIVE " + using("nation_field", "", **LINKAGE)[5:]
+    + """SELECT cell, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INT) AS clustid FROM (SELECT c.cell, g.labels[c.pos] AS label
+        FROM merging g JOIN c ON g.k = (SELECT COUNT(*) FROM c) - 8)"""
+)
