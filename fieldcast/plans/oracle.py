@@ -99,9 +99,10 @@ register(
 )
 register(
     "restore_grid", "supplier_points cluster_fields",
-    """SELECT k.lag, k.fold, p.cell, l.clustid FROM supplier_points p CROSS JOIN (SELECT DISTINCT lag, fold FROM l) k
-        LEFT JOIN l ON l.cell = p.cell AND l.lag = k.lag AND l.fold = k.fold""",
-    l="SELECT DISTINCT lag, fold, cell, clustid FROM cluster_fields WHERE variable = 'A' AND timeagg = 7",
+    """SELECT k.variable, k.timeagg, k.lag, k.fold, p.cell, l.clustid FROM supplier_points p
+        CROSS JOIN (SELECT DISTINCT variable, timeagg, lag, fold FROM l) k LEFT JOIN l ON l.cell = p.cell
+        AND l.variable = k.variable AND l.timeagg = k.timeagg AND l.lag = k.lag AND l.fold = k.fold""",
+    l="SELECT DISTINCT variable, timeagg, lag, fold, cell, clustid FROM cluster_fields",
 )
 register(
     "new_feature_keys", "importances",
@@ -143,7 +144,7 @@ register(
 DAYS = "SELECT CAST(unnest(generate_series(MIN(time), MAX(time), INTERVAL 1 DAY)) AS DATE) AS time FROM {}"
 register(
     "missing_days", "region_field",
-    "SELECT time FROM days WHERE time NOT IN (SELECT time FROM region_field WHERE cell = 0)",
+    "SELECT time FROM days WHERE time NOT IN (SELECT time FROM region_field)",
     days=DAYS.format("region_field"),
 )
 CATALOGUE = """SELECT * FROM (VALUES
@@ -169,13 +170,13 @@ register(
         CASE WHEN varname IN ('transp', 'snowc') THEN 1 ELSE 24 END AS nhours, pressure_level,
         CASE WHEN setname LIKE '%land%' THEN NULL ELSE 'reanalysis' END AS product_type,
         '75,-30,30,40' AS area, varname || '_europe_' || strftime(time, '%Y-%m-%d') AS rawname
-        FROM days CROSS JOIN catalogue WHERE time NOT IN (SELECT time FROM region_field WHERE cell = 1)""",
+        FROM days CROSS JOIN catalogue WHERE time NOT IN (SELECT time FROM region_field)""",
     days=DAYS.format("region_field"), catalogue=CATALOGUE,
 )
 register(
     "raw_file_days", "",
     """SELECT DISTINCT CAST(ts AS DATE) AS time, 'raw/sst_europe_' || strftime(ts, '%Y-%m-%d') || '.grib' AS path
-        FROM events WHERE event_type = 'click' AND hour(ts) <> 3 AND day(ts) % 2 = 0""",
+        FROM events WHERE event_type = 'click' AND hour(ts) <> 3""",
 )
 
 # --- temporal operators --------------------------------------------------------------
@@ -356,13 +357,15 @@ COV = """SELECT {k}, f.time, SUM((p.corr - p.pm) * (f.value - {xm})) / MAX(p.np)
     JOIN f ON f.cell = p.cell {more} GROUP BY {k}, f.time"""
 register(
     "spatial_covariance", "supplier_field cluster_fields",
-    """SELECT lag, CAST(time - lag AS DATE) AS time, ROUND(value + 3e-8, 5) AS value FROM cov
+    """SELECT lag, fold, CAST(time - lag AS DATE) AS time, ROUND(value + 3e-8, 5) AS value FROM cov
         WHERE time - lag IN (SELECT time FROM supplier_field)""",
-    centred="""SELECT lag, cell, corr, AVG(corr) OVER (PARTITION BY lag) AS pm, COUNT(corr) OVER (PARTITION BY lag) AS np
-        FROM cluster_fields WHERE variable = 'A' AND timeagg = 7 AND fold = 0 AND corr IS NOT NULL""",
-    joined="""SELECT p.lag, f.time, p.corr - p.pm AS dp, p.np, f.value, AVG(f.value) OVER (PARTITION BY p.lag, f.time) AS xm
+    centred="""SELECT lag, fold, cell, corr, AVG(corr) OVER (PARTITION BY lag, fold) AS pm,
+        COUNT(corr) OVER (PARTITION BY lag, fold) AS np
+        FROM cluster_fields WHERE variable = 'A' AND timeagg = 7 AND corr IS NOT NULL""",
+    joined="""SELECT p.lag, p.fold, f.time, p.corr - p.pm AS dp, p.np, f.value,
+        AVG(f.value) OVER (PARTITION BY p.lag, p.fold, f.time) AS xm
         FROM centred p JOIN supplier_field f ON f.cell = p.cell""",
-    cov="SELECT lag, time, SUM(dp * (value - xm)) / MAX(np) AS value FROM joined GROUP BY 1, 2",
+    cov="SELECT lag, fold, time, SUM(dp * (value - xm)) / MAX(np) AS value FROM joined GROUP BY 1, 2, 3",
 )
 register(
     "spatial_covariance_whole_field", "supplier_field cluster_fields",
@@ -683,7 +686,7 @@ register(
     "map_to_fields", "importances cluster_fields response", PAINT,
     r="SELECT * FROM response WHERE year(time) < 2000", **year_groups("r", 5),
     i="""SELECT m.*, g.fieldfold FROM importances m JOIN groups g ON g.fold = m.fold
-        WHERE respagg = 7 AND metric = 'spatcov' AND clustid < 3""",
+        WHERE respagg = 7 AND metric = 'spatcov'""",
 )
 register(
     "accumulate_folds", "importances cluster_fields",
@@ -701,7 +704,7 @@ register(
         LEFT JOIN (SELECT DISTINCT fold, variable, timeagg, separation, clustid, TRUE AS keep FROM i) k
         ON k.fold = d.fold AND k.variable = d.variable AND k.timeagg = d.timeagg AND k.separation = d.separation
         AND k.clustid = c.clustid""",
-    i="SELECT * FROM importances WHERE respagg = 7 AND metric = 'mean' AND timeagg = 1 AND clustid < 2",
+    i="SELECT * FROM importances WHERE respagg = 7 AND metric = 'mean' AND timeagg = 1",
 )
 register(
     "feature_counts", "importances",

@@ -64,9 +64,9 @@ def mask_cells(spark, d):
 @query
 def restore_grid(spark, d):
     points = src.supplier_points(spark, d)
-    clusters = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7")
-    labels = clusters.select("lag", "fold", "cell", F.coalesce("clustid", F.lit(-1)).alias("clustid"))
-    return fields.restore_grid(labels.distinct(), points, ["lag", "fold"])
+    keys = ["variable", "timeagg", "lag", "fold"]
+    labels = src.cluster_fields(spark, d).select(*keys, "cell", F.coalesce("clustid", F.lit(-1)).alias("clustid"))
+    return fields.restore_grid(labels.distinct(), points, keys)
 
 
 @query
@@ -120,13 +120,13 @@ def merge_weighted(spark, d):
 @query
 def missing_days(spark, d):
     sparse = src.region_field(spark, d)
-    return ingest.missing_days(ingest.days_between(sparse), sparse.where("cell = 0"))
+    return ingest.missing_days(ingest.days_between(sparse), sparse)
 
 
 @query
 def archive_requests(spark, d):
     sparse = src.region_field(spark, d)
-    days = ingest.missing_days(ingest.days_between(sparse), sparse.where("cell = 1"))
+    days = ingest.missing_days(ingest.days_between(sparse), sparse)
     return ingest.requests(days, REGIONS["europe"])
 
 
@@ -137,7 +137,7 @@ def raw_file_days(spark, d):
     day = F.date_format("ts", "yyyy-MM-dd")
     name = F.concat_ws("_", F.lit("raw/sst"), region, F.when(F.hour("ts") == 3, F.lit("broken")).otherwise(day))
     files = events.select(F.concat(name, F.lit(".grib")).alias("path")).distinct()
-    wanted = ingest.days_between(events.select(F.to_date("ts").alias("time"))).where(F.dayofmonth("time") % 2 == 0)
+    wanted = ingest.days_between(events.select(F.to_date("ts").alias("time")))
     return ingest.present_raw_days(files, wanted, "europe")
 
 
@@ -335,8 +335,8 @@ def mean_at_lag(spark, d):
 
 @query
 def spatial_covariance(spark, d):
-    pattern = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7 and fold = 0")
-    out = reduction.spatial_covariance_lagged(pattern.select("lag", "cell", "corr"), src.supplier_field(spark, d))
+    pattern = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7").select("lag", "fold", "cell", "corr")
+    out = reduction.spatial_covariance_lagged(pattern, src.supplier_field(spark, d), ["lag", "fold"])
     return out.withColumn("value", F.round(F.col("value") + 3e-8, 5))  # nudged off decimal ties
 
 
@@ -621,7 +621,7 @@ def fraction_significant(spark, d):
 
 @query
 def map_to_fields(spark, d):
-    imp = src.importances(spark, d).where("respagg = 7 and metric = 'spatcov' and clustid < 3")
+    imp = src.importances(spark, d).where("respagg = 7 and metric = 'spatcov'")
     lookup = folds.fold_bounds(src.response(spark, d).where(F.year("time") < 2000), 5)
     return inspection.map_to_fields(imp, "rank", src.cluster_fields(spark, d), lookup)
 
@@ -635,7 +635,7 @@ def accumulate_folds(spark, d):
 
 @query
 def anomaly_maps(spark, d):
-    imp = src.importances(spark, d).where("respagg = 7 and metric = 'mean' and timeagg = 1 and clustid < 2")
+    imp = src.importances(spark, d).where("respagg = 7 and metric = 'mean' and timeagg = 1")
     anoms = src.supplier_field(spark, d).withColumn("variable", F.lit("A"))
     out = inspection.anomaly_maps(imp, anoms, src.cluster_fields(spark, d), dt.date(1998, 7, 14), mask="strict")
     return _rounded(out, "corr")
@@ -817,9 +817,10 @@ def stream_ordered_days(spark, d):
 
 @query
 def hdbscan(spark, d):
-    found = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7 and fold < 2 and corr is not null")
-    cells = found.select("lag", "fold", "cell").join(src.supplier_points(spark, d), "cell")
-    return hierarchy.hdbscan(cells, 4, 6, ["lag", "fold"], epsilon_rad=0.06, min_points=20)
+    keys = ["variable", "timeagg", "lag", "fold"]
+    found = src.cluster_fields(spark, d).where("corr is not null").select(*keys, "cell")
+    cells = found.join(src.supplier_points(spark, d), "cell")
+    return hierarchy.hdbscan(cells, 4, 6, keys, epsilon_rad=0.06, min_points=20)
 
 
 # --- plot data and alternatives ------------------------------------------------------
