@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -107,6 +108,11 @@ def kuipers(predictions: DataFrame, keys: Sequence[str] = (), clim: float | None
     return table.select(*keys, F.try_divide(tp * tn - fp * fn, (fn + tp) * (fp + tn)).alias("kuipers"))
 
 
+def _literal(values: Sequence[float]) -> Column:
+    """A constant array from one literal; folded once by the optimizer, cheap to build."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def economic_value(predictions: DataFrame, thresholds: Sequence[float], cost_loss: Sequence[float],
                    keys: Sequence[str] = (), clim: float | None = None, cap_negative: bool = False) -> DataFrame:
     """Potential economic value for every probability threshold and cost/loss ratio.
@@ -118,8 +124,8 @@ def economic_value(predictions: DataFrame, thresholds: Sequence[float], cost_los
     if max(*thresholds, *cost_loss) >= 1:
         raise ValueError("thresholds and cost/loss ratios should be below one")
     keys = list(keys)
-    grid = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
-    exceeded = F.size(F.filter(grid, lambda t: F.col("p") > t))
+    grid = _literal(sorted(thresholds))
+    exceeded = functools.reduce(Column.__add__, [(F.col("p") > float(t)).cast("int") for t in sorted(thresholds)])
     counted = predictions.groupBy(*keys, exceeded.alias("_k")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("y").cast("bigint")).alias("_e")
     )
@@ -131,7 +137,7 @@ def economic_value(predictions: DataFrame, thresholds: Sequence[float], cost_los
         F.sum("_e").alias("_pos"),
         F.sum("_n").alias("_all"),
     )
-    table = table.withColumn("cl", F.explode(F.array(*[F.lit(float(c)) for c in cost_loss])))
+    table = table.withColumn("cl", F.explode(_literal(cost_loss)))
     base = F.lit(clim) if clim is not None else F.col("_pos") / F.col("_all")
     table = table.withColumns(
         {
