@@ -242,14 +242,17 @@ class Field:
         seen = labels >= 0
         node[seen] = -30.0
         node[seen, labels[seen]] = 0.0
-        ends = [(at + i - 1, at + i, 0) for g, at in zip(graphs, first) for i in g.chain]
-        ends += [(at + i, at + j, 1) for g, at in zip(graphs, first) for i, j in g.skip]
-        if not ends:
+        kinds: dict[tuple[int, int], int] = {(at + i - 1, at + i): 0 for g, at in zip(graphs, first) for i in g.chain}
+        for at, g in zip(first, graphs):
+            for i, j in g.skip:
+                kinds[at + i, at + j] = 2 if (at + i, at + j) in kinds else 1  # one link with both potentials
+        if not kinds:
             return softmax(node)
-        a, b, kind = np.array(ends, np.int64).T
+        a, b = np.array(list(kinds), np.int64).T
+        kind = np.array(list(kinds.values()), np.int64)
         source, target = np.concatenate((a, b)), np.concatenate((b, a))
         back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
-        gain = np.stack((self.chain, self.skip))[np.concatenate((kind, kind))]
+        gain = np.stack((self.chain, self.skip, self.chain + self.skip))[np.concatenate((kind, kind))]
         message = np.zeros((len(source), len(LABELS)))
         for _ in range(ROUNDS):
             belief = node.copy()
