@@ -43,7 +43,7 @@ def finite(c: Column) -> Column:
 
 
 def regularised_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
-    """I_x(a, b) by the continued fraction with modified Lentz steps."""
+    """I_x(a, b) by the continued fraction with modified Lentz steps; NaN where it has not converged."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     swap = x > (a + 1) / (a + b + 2)
     p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
@@ -62,13 +62,15 @@ def regularised_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = c * d
             h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+        settled = np.abs(step - 1) < 1e-15
+        if np.all(settled):
             break
     with np.errstate(divide="ignore"):
         lgamma = np.frompyfunc(math.lgamma, 1, 1)
         lead = (lgamma(p + q) - lgamma(p) - lgamma(q)).astype(float) + p * np.log(z) + q * np.log1p(-z)
     part = np.exp(lead) * h / p
-    return np.where(swap, 1 - part, part)
+    near = settled | (np.abs(step - 1) < 1e-12)  # the last bits may alternate for ever
+    return np.where(near, np.where(swap, 1 - part, part), np.nan)
 
 
 @F.pandas_udf(DoubleType())
@@ -111,7 +113,9 @@ def weighted_tau(x: np.ndarray, y: np.ndarray, rank: np.ndarray | None = None) -
 
 def direction_rank(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ordinal ranks of x: small x first under a negative relation, large x first otherwise."""
-    ordinal = np.empty(len(x))
-    ordinal[np.argsort(x, kind="stable")] = np.arange(1, len(x) + 1)
-    negative = np.corrcoef(x, y)[0, 1] < 0
-    return ordinal if negative else ordinal.max() - ordinal
+    rising = np.argsort(x, kind="stable")
+    order = rising if np.corrcoef(x, y)[0, 1] < 0 else rising[::-1]
+    first = 1 if order is rising else 0  # ranks from 1 upwards, or from 0 downwards
+    ranks = np.empty(len(x))
+    ranks[order] = np.arange(first, len(x) + first)
+    return ranks

@@ -45,12 +45,16 @@ def prepare_response(series: DataFrame, seasons: Sequence[str] = ("JJA",), past:
 
 
 def one_row_per_day(series: DataFrame) -> DataFrame:
-    """Make the size bound of a daily series explicit, and mark it for broadcast.
+    """Check the size bound of a daily series, and mark it for broadcast.
 
-    After ``dropDuplicates`` on the date there are at most as many rows as the calendar has
-    days (a century is 36,525), whatever the volume the series was computed from.
+    With one row a day there are at most as many rows as the calendar has days (a century is
+    36,525), whatever the volume the series was computed from.  A day with several rows fails
+    at run time: which of them is meant cannot be told.
     """
-    return F.broadcast(series.dropDuplicates(["time"]))
+    names = [c for c in series.columns if c != "time"]
+    daily = series.groupBy("time").agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in names])
+    single = F.assert_true(F.col("_rows") == 1, F.concat(F.lit("several rows on "), F.col("time").cast("string")))
+    return F.broadcast(daily.withColumn("_ok", single).where(F.col("_ok").isNull()).select(*series.columns))
 
 
 def lag_pairs(field: DataFrame, response: DataFrame, lags: Sequence[int], n_folds: int | None = None,
@@ -58,7 +62,8 @@ def lag_pairs(field: DataFrame, response: DataFrame, lags: Sequence[int], n_fold
     """Detrended training pairs ``(cell, lag, fold, time, x, y)``: the input of any measure.
 
     The field is shuffled once, by cell; fanning out lags and folds and all later windows
-    and aggregations keyed by cell reuse that partitioning.
+    and aggregations keyed by cell reuse that partitioning.  Folds are numbered along time
+    (``fieldfold``), which :func:`fieldcast.plans.flows.forecast` maps to those of the models.
     """
     rows = field.where(F.col("value").isNotNull()).repartition("cell")
     # A constant cell has no correlation; without values its result is NULL, not noise.
@@ -70,7 +75,7 @@ def lag_pairs(field: DataFrame, response: DataFrame, lags: Sequence[int], n_fold
         rows = past_value(rows, partial, "past").where(F.col("past").isNotNull())
         rows = rows.select("cell", "time", F.struct("value", "past").alias("value"))
         values.append("x_past")
-    series = with_year_fold(response, n_folds) if n_folds else response.withColumn("fold", F.lit(0))
+    series = with_year_fold(response, n_folds, number="fieldfold") if n_folds else response.withColumn("fold", F.lit(0))
     pairs = lag_field(rows, lags).join(one_row_per_day(series), "time")
     if partial:
         pairs = pairs.withColumns({"x": F.col("value.value"), "x_past": F.col("value.past")})
@@ -256,12 +261,15 @@ def significant_fractions(tests: DataFrame, keys: Sequence[str], alpha: float, p
 
 
 def varying_alpha(timeagg: int) -> float:
-    """Significance level that tightens with the aggregation length."""
+    """Significance level that tightens with the aggregation length; its numbers are fixed values."""
     return 5 * 10 ** (-4 - 0.3 * (timeagg - 1))
 
 
 def precursor_lags(timeagg: int, separations: Sequence[int] = (0, 1, 3, 5, 7, 11, 15, 21, 31)) -> list[int]:
-    """Lag 0 plus the lags that leave the given gaps between input and target windows."""
+    """Lag 0 plus the lags that leave the given gaps between input and target windows.
+
+    Fixed values: the default separations.
+    """
     return [0, *[-timeagg - s for s in separations]]
 
 

@@ -43,9 +43,13 @@ def fold_table(days: DataFrame, n_folds: int) -> DataFrame:
     return years.select("year", "grp", "fold", "fieldfold", "valstart", "valend")
 
 
-def with_year_fold(df: DataFrame, n_folds: int, days: DataFrame | None = None) -> DataFrame:
-    """Add the validation ``fold`` of each row's year; ``days`` defaults to the rows' own."""
-    table = fold_table(days if days is not None else df, n_folds).select(F.col("year").alias("_year"), "fold")
+def with_year_fold(df: DataFrame, n_folds: int, days: DataFrame | None = None, number: str = "fold") -> DataFrame:
+    """Add the validation ``fold`` of each row's year; ``days`` defaults to the rows' own.
+
+    ``number`` picks the numbering: ``fold`` as grouped k-fold hands the groups out, as models use it, or ``fieldfold``
+    along time, as fields and features carry it.
+    """
+    table = fold_table(days if days is not None else df, n_folds).select(F.col("year").alias("_year"), F.col(number).alias("fold"))
     return df.withColumn("_year", F.year("time")).join(table, "_year").drop("_year")
 
 

@@ -200,7 +200,7 @@ def feature_counts(features: DataFrame, keys: Sequence[str] = ("variable", "time
 
 
 def dot_data(imp: DataFrame, column: str) -> DataFrame:
-    """Dot-plot rows: panel per variable, input timescale against lead time, size and alpha."""
+    """Dot-plot rows: panel per variable, input timescale against lead time, and the size of the dot."""
     return imp.select("variable", "respagg", "separation", F.col("timeagg").alias("y"), F.col(column).alias("size"))
 
 

@@ -28,14 +28,25 @@ from fieldcast.operators.folds import with_year_fold
 from fieldcast.operators.reduction import wide
 from fieldcast.operators.verification import evaluate, val_train_ratio
 
-MAX_DEPTH = 30  # Spark's limit on tree depth; deeper requests are clamped.
+MAX_DEPTH = 30  # Spark's limit on tree depth.
 
 
-def training_frame(features_long: DataFrame, response: DataFrame, names: Sequence[str], n_folds: int) -> DataFrame:
-    """Wide, complete rows joined with the 0/1 response and their validation fold."""
+def allowed_depth(depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"trees are at most {MAX_DEPTH} deep in pyspark.ml, {depth} was asked for")
+    return depth
+
+
+def training_frame(features_long: DataFrame, response: DataFrame, names: Sequence[str], n_folds: int,
+                   days: DataFrame | None = None) -> DataFrame:
+    """Wide, complete rows joined with the 0/1 response and their validation fold.
+
+    ``days`` are the days whose years make the folds, by default the rows' own.  Frames of one
+    forecast share them, so that a fold means the same years whichever features a frame has.
+    """
     joined = wide(features_long, names).na.drop("any").join(response, "time")
     assembled = VectorAssembler(inputCols=list(names), outputCol="features").transform(joined)
-    return with_year_fold(assembled.select("time", F.col("y").cast("double").alias("y"), "features"), n_folds)
+    return with_year_fold(assembled.select("time", F.col("y").cast("double").alias("y"), "features"), n_folds, days)
 
 
 @dataclass(frozen=True)
@@ -61,6 +72,8 @@ class BaseRate:
         fitted = LogisticRegression(
             labelCol="y", regParam=1 / (self.C * n), elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=200
         ).fit(vectors)
+        if fitted.summary.totalIterations >= 200:
+            raise RuntimeError("the base rate has not converged after 200 iterations")
         return replace(self, mean=mean, scale=scale, slope=float(fitted.coefficients[0]), intercept=float(fitted.intercept))
 
     def predict(self, time: str = "time") -> Column:
@@ -107,7 +120,7 @@ class Hybrid:
             labelCol="_target",
             predictionCol="_anom",
             numTrees=self.n_estimators,
-            maxDepth=min(self.max_depth, MAX_DEPTH),
+            maxDepth=allowed_depth(self.max_depth),
             minInstancesPerNode=max(1, math.ceil(self.min_samples_split / 2)),
             featureSubsetStrategy=str(self.max_features),
             seed=self.seed,
@@ -143,7 +156,7 @@ class Classifier:
             rawPredictionCol="_raw",
             predictionCol="_class",
             numTrees=self.n_estimators,
-            maxDepth=min(self.max_depth, MAX_DEPTH),
+            maxDepth=allowed_depth(self.max_depth),
             minInstancesPerNode=max(1, math.ceil(self.min_samples_split / 2)),
             featureSubsetStrategy=str(self.max_features),
             seed=self.seed,
@@ -204,7 +217,7 @@ def cached(data: DataFrame) -> DataFrame:
 
 
 def fit_predict(model, data: DataFrame, n_folds: int, balance_training: str | None = None) -> DataFrame:
-    """Out-of-fold predictions ``(fold, time, y, base, p)`` of every row."""
+    """Out-of-fold predictions ``(fold, time, y, base, p)`` of every row; sort by ``time`` where order matters."""
 
     def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
         out = _fit(model, train, val, balance_training).predict(val)
@@ -306,23 +319,29 @@ def permutation_importance(model, data: DataFrame, names: Sequence[str], n_folds
     Rank 0 is the feature whose permutation costs most.  The multi-pass keeps every winner
     permuted while it searches the next; the driver sees one feature number per step.
     """
-    indices = list(range(len(names)))
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1)
-    order = Window.partitionBy("fold").orderBy(F.col("score").desc(), "j")
 
     def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
-        fitted = _fit(model, train, val, None)
-        rows = cached(val if on_validation else train)
-        single = permuted_scores(fitted, rows, indices, draws=draws).withColumn("fold", F.lit(k))
-        parts = [single.withColumns({"rank": F.row_number().over(order) - 1, "pass": F.lit("singlepass")})]
-        fixed: list[int] = []
-        while not single_only and len(fixed) < min(n_important, len(names)):
-            left = [i for i in indices if i not in fixed]
-            best = permuted_scores(fitted, rows, left, fixed, draws).orderBy(F.col("score").desc(), "j").first()
-            step = (int(best["j"]), float(best["score"]), k, len(fixed), "multipass")
-            parts.append(data.sparkSession.createDataFrame([step], "j int, score double, fold int, rank int, pass string"))
-            fixed.append(int(best["j"]))
-        steps = [p.select("fold", named.alias("feature"), "pass", "rank", "score") for p in parts]
-        return functools.reduce(DataFrame.unionByName, steps)
+        return fold_importance(model, train, val, names, k, n_important, draws, on_validation, single_only)
 
     return each_fold(data, n_folds, work)
+
+
+def fold_importance(model, train: DataFrame, val: DataFrame, names: Sequence[str], k: int, n_important: int = 8,
+                    draws: int = 10, on_validation: bool = True, single_only: bool = False) -> DataFrame:
+    """The importance of one fold, whose features may differ from those of other folds."""
+    indices = list(range(len(names)))
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1)
+    order = Window.partitionBy("fold").orderBy(F.col("score").desc(), "j")
+    fitted = _fit(model, train, val, None)
+    rows = cached(val if on_validation else train)
+    single = permuted_scores(fitted, rows, indices, draws=draws).withColumn("fold", F.lit(k))
+    parts = [single.withColumns({"rank": F.row_number().over(order) - 1, "pass": F.lit("singlepass")})]
+    fixed: list[int] = []
+    while not single_only and len(fixed) < min(n_important, len(names)):
+        left = [i for i in indices if i not in fixed]
+        best = permuted_scores(fitted, rows, left, fixed, draws).orderBy(F.col("score").desc(), "j").first()
+        step = (int(best["j"]), float(best["score"]), k, len(fixed), "multipass")
+        parts.append(train.sparkSession.createDataFrame([step], "j int, score double, fold int, rank int, pass string"))
+        fixed.append(int(best["j"]))
+    steps = [p.select("fold", named.alias("feature"), "pass", "rank", "score") for p in parts]
+    return functools.reduce(DataFrame.unionByName, steps)

@@ -34,7 +34,7 @@ def local_regression(x: np.ndarray, y: np.ndarray, share: float = 0.5, robust_st
 
 
 def quantile_line(x: np.ndarray, y: np.ndarray, q: float = 0.8, steps: int = 200) -> np.ndarray:
-    """Straight line through a quantile, by iteratively reweighted least squares."""
+    """Straight line through a quantile, by iteratively reweighted least squares; NaN if not settled after ``steps``."""
     z = (x - x.mean()) / (x.std() or 1.0)
     design = np.column_stack([np.ones_like(z), z])
     beta = np.linalg.lstsq(design, y, rcond=None)[0]
@@ -43,9 +43,9 @@ def quantile_line(x: np.ndarray, y: np.ndarray, q: float = 0.8, steps: int = 200
         w = np.where(r >= 0, q, 1 - q) / np.maximum(np.abs(r), 1e-6 * (np.abs(y).max() or 1.0))
         moved = np.linalg.solve(design.T @ (design * w[:, None]), design.T @ (w * y))
         if np.allclose(moved, beta, rtol=1e-9, atol=1e-9):
-            break
+            return design @ moved
         beta = moved
-    return design @ beta
+    return np.full(len(y), np.nan)
 
 
 def _per_series(field: DataFrame, keys: Sequence[str], trend: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:

@@ -15,9 +15,6 @@ from fieldcast.functions.ranks import bounded_quantile, exact_quantile, rank_cou
 from fieldcast.functions.stats import t_two_sided
 
 
-MAX_DAYS = 3_652_059  # Fixed value: days from year 1 to 9999, the range of a date.
-
-
 def _y() -> Column:
     return F.col("y").cast("double")
 
@@ -194,11 +191,13 @@ def val_train_ratio(validation: DataFrame, training: DataFrame, scores: Sequence
 def _packed(series: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str = "time") -> DataFrame:
     """One row per group holding its daily series in order.
 
-    Only for series with one row per day; a longer group than ``MAX_DAYS`` fails the query.
+    Only for series with one row per day, which bounds a group by the calendar; a day with
+    several rows fails the query.
     """
     rows = F.sort_array(F.collect_list(F.struct(order, *[F.col(c).cast("double").alias(c) for c in columns])))
     packed = series.groupBy(*keys).agg(rows.alias("_rows"))
-    ok = F.assert_true(F.size("_rows") <= MAX_DAYS, "bootstrap needs a daily series, one row per day")
+    days = F.array_distinct(F.transform("_rows", lambda r: r[order]))
+    ok = F.assert_true(F.size("_rows") == F.size(days), "bootstrap needs a daily series, one row per day")
     return packed.withColumn("_ok", ok).where(F.col("_ok").isNull()).drop("_ok")
 
 

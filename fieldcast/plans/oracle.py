@@ -301,7 +301,7 @@ register(
     "input_windows", "importances region_field",
     """SELECT d.time, timeagg, separation, d.time + separation - 1 - (timeagg - 1) AS start, d.time + separation - 1 AS "end"
         FROM (SELECT DISTINCT time FROM region_field) d
-        JOIN (SELECT DISTINCT timeagg, separation FROM importances) k ON day(d.time) = timeagg""",
+        CROSS JOIN (SELECT DISTINCT timeagg, separation FROM importances) k""",
 )
 register("densified", "region_field", DENSE.format(f="region_field"))
 
@@ -357,11 +357,11 @@ COV = """SELECT {k}, f.time, SUM((p.corr - p.pm) * (f.value - {xm})) / MAX(p.np)
     JOIN f ON f.cell = p.cell {more} GROUP BY {k}, f.time"""
 register(
     "spatial_covariance", "supplier_field cluster_fields",
-    """SELECT lag, fold, CAST(time - lag AS DATE) AS time, ROUND(value + 3e-8, 5) AS value FROM cov
+    """SELECT lag, fold, CAST(time - lag AS DATE) AS time, ROUND(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM cov
         WHERE time - lag IN (SELECT time FROM supplier_field)""",
     centred="""SELECT lag, fold, cell, corr, AVG(corr) OVER (PARTITION BY lag, fold) AS pm,
         COUNT(corr) OVER (PARTITION BY lag, fold) AS np
-        FROM cluster_fields WHERE variable = 'A' AND timeagg = 7 AND corr IS NOT NULL""",
+        FROM (SELECT lag, fold, cell, MAX(corr) AS corr FROM cluster_fields GROUP BY ALL) WHERE corr IS NOT NULL""",
     joined="""SELECT p.lag, p.fold, f.time, p.corr - p.pm AS dp, p.np, f.value,
         AVG(f.value) OVER (PARTITION BY p.lag, p.fold, f.time) AS xm
         FROM centred p JOIN supplier_field f ON f.cell = p.cell""",
@@ -369,22 +369,22 @@ register(
 )
 register(
     "spatial_covariance_whole_field", "supplier_field cluster_fields",
-    "SELECT lag, fold, time, ROUND(SUM(dp * (value - xm)) / MAX(np) + 3e-8, 5) AS value FROM joined GROUP BY 1, 2, 3",
+    "SELECT lag, fold, time, ROUND(CAST(CAST(SUM(dp * (value - xm)) / MAX(np) AS FLOAT) AS DOUBLE), 6) AS value FROM joined GROUP BY 1, 2, 3",
     centred="""SELECT lag, fold, cell, corr, AVG(corr) OVER (PARTITION BY lag, fold) AS pm,
         COUNT(corr) OVER (PARTITION BY lag, fold) AS np
-        FROM cluster_fields WHERE variable = 'A' AND timeagg = 7 AND corr IS NOT NULL""",
+        FROM (SELECT lag, fold, cell, MAX(corr) AS corr FROM cluster_fields GROUP BY ALL) WHERE corr IS NOT NULL""",
     f="SELECT *, AVG(value) OVER (PARTITION BY time) AS xm FROM supplier_field",
     joined="SELECT p.lag, p.fold, f.time, p.corr - p.pm AS dp, p.np, f.value, f.xm FROM centred p JOIN f ON f.cell = p.cell",
 )
 register(
     "cluster_features", "supplier_field cluster_fields",
     """SELECT CAST(time - lag AS DATE) AS time, fold, 'A' AS variable, 7 AS timeagg, lag, lag + 7 AS separation, clustid, metric,
-        ROUND(CASE metric WHEN 'mean' THEN m ELSE c END + 3e-8, 5) AS value FROM sums
+        ROUND(CAST(CAST(CASE metric WHEN 'mean' THEN m ELSE c END AS FLOAT) AS DOUBLE), 6) AS value FROM sums
         CROSS JOIN (SELECT unnest(['mean', 'spatcov']) AS metric) WHERE time - lag IN (SELECT time FROM f)""",
     f="SELECT * FROM supplier_field WHERE month(time) BETWEEN 3 AND 8",
     centred="""SELECT lag, fold, clustid, cell, corr - AVG(corr) OVER (PARTITION BY lag, fold, clustid) AS dp,
-        COUNT(corr) OVER (PARTITION BY lag, fold, clustid) AS np FROM cluster_fields
-        WHERE variable = 'A' AND timeagg = 7 AND corr IS NOT NULL AND clustid IS NOT NULL AND lag <> 0""",
+        COUNT(corr) OVER (PARTITION BY lag, fold, clustid) AS np FROM (
+        SELECT lag, fold, clustid, cell, MAX(corr) AS corr FROM cluster_fields GROUP BY ALL) WHERE corr IS NOT NULL AND clustid IS NOT NULL AND lag <> 0""",
     joined="""SELECT p.*, f.time, f.value, AVG(f.value) OVER (PARTITION BY lag, fold, clustid, f.time) AS xm
         FROM centred p JOIN f ON f.cell = p.cell""",
     sums="""SELECT lag, fold, clustid, time, AVG(value) AS m, SUM(dp * (value - xm)) / MAX(np) AS c FROM joined GROUP BY 1, 2, 3, 4""",
@@ -472,8 +472,8 @@ register(
     "spearman_folds", "supplier_field response",
     "SELECT cell, lag, fold, ROUND(corr(rx, ry), 6) AS corr, COUNT(*) AS n FROM ranked GROUP BY cell, lag, fold",
     **pairs_ctes("supplier_field", "-7"), **year_groups("target", 7),
-    folded="""SELECT p.*, k.fold FROM pairs p JOIN numbered y ON y.year = year(p.time) JOIN groups g ON g.grp = y.grp
-        JOIN groups k ON k.fold <> g.fold""",
+    folded="""SELECT p.*, k.fieldfold AS fold FROM pairs p JOIN numbered y ON y.year = year(p.time) JOIN groups g ON g.grp = y.grp
+        JOIN groups k ON k.fieldfold <> g.fieldfold""",
     ranked=ranked("folded", "cell, lag, fold"),
 )
 register(
@@ -545,7 +545,7 @@ register(
 )
 ADJUSTED = """SELECT lag, fold, pvalue, n, least(1.0::DOUBLE, MIN(pvalue * m / k) OVER (PARTITION BY lag, fold ORDER BY pvalue DESC)) AS p_adj
     FROM (SELECT lag, fold, pvalue, k, m, COUNT(*) AS n FROM o GROUP BY ALL)"""
-register("fdr_adjusted", "tests", "SELECT lag, fold, pvalue, n, ROUND(p_adj + 3e-12, 10) AS p_adj FROM a", o=ORDERED, a=ADJUSTED)
+register("fdr_adjusted", "tests", "SELECT lag, fold, pvalue, n, ROUND(CAST(CAST(p_adj AS FLOAT) AS DOUBLE), 10) AS p_adj FROM a", o=ORDERED, a=ADJUSTED)
 register(
     "significant_fractions", "tests",
     """SELECT lag, fold, ROUND(SUM(CASE WHEN pvalue < 0.05 THEN n ELSE 0 END) / SUM(n), 5) AS before,
@@ -572,6 +572,15 @@ register(
     "fold_bounds", "response", "SELECT fold, fieldfold, valstart, valend FROM groups",
     s=f"SELECT * FROM response WHERE {JJA}", **year_groups("s", 4),
 )
+register(
+    "fold_training_years", "supplier_field response",
+    """SELECT k.fieldfold, k.fold, year(MIN(p.time)) AS first_selected, year(MAX(p.time)) AS last_selected,
+        year(k.valstart) AS first_validated, year(k.valend) AS last_validated, COUNT(*) AS n_pairs,
+        CAST(COUNT(*) FILTER (WHERE p.time BETWEEN k.valstart AND k.valend) AS BIGINT) AS n_leaked
+        FROM pairs p JOIN numbered y ON y.year = year(p.time) JOIN groups g ON g.grp = y.grp JOIN groups k ON k.grp <> g.grp
+        GROUP BY k.fieldfold, k.fold, k.valstart, k.valend""",
+    **pairs_ctes("supplier_field", "-7"), **year_groups("target", 4),
+)
 register("contiguous_folds", "response", "SELECT time, y, CAST(ntile(10) OVER (ORDER BY time) - 1 AS INT) AS fold FROM response")
 register(
     "training_rows", "response",
@@ -718,7 +727,7 @@ register(
 register(
     "matching_values", "importances",
     f"""SELECT {', '.join('i.' + k.strip() for k in KEYS.split(','))}, v.x FROM importances i LEFT JOIN (SELECT variable, timeagg, separation,
-        SUM(rank)::BIGINT AS x FROM importances GROUP BY ALL HAVING SUM(rank) % 3 <> 0) v
+        SUM(rank)::BIGINT AS x FROM importances GROUP BY ALL) v
         ON v.variable = i.variable AND v.timeagg = i.timeagg AND v.separation = i.separation""",
 )
 register(
@@ -728,8 +737,8 @@ register(
 )
 register(
     "by_separation", "cluster_fields",
-    """SELECT fold, variable, cell, clustid, ROUND(corr, 6) AS corr, 7 AS timeagg, lag, lag + 7 AS separation
-        FROM cluster_fields WHERE timeagg = 7 AND lag <> 0""",
+    """SELECT fold, variable, cell, clustid, ROUND(corr, 6) AS corr, timeagg, lag, lag + timeagg AS separation
+        FROM cluster_fields WHERE lag <> 0""",
 )
 
 # --- distances and clustering --------------------------------------------------------
@@ -766,8 +775,8 @@ for name, column, limit in (("haversine_neighbours", "km", 700), ("haversine_mat
     )
 ORACLE["dbscan"] = (
     "WITH RECURSIVE " + using(
-        "supplier_field supplier_points", "",
-        pts="""SELECT * FROM supplier_points WHERE cell IN (SELECT cell FROM supplier_field GROUP BY cell HAVING COUNT(value) >= 550)""",
+        "supplier_points", "",
+        pts="SELECT * FROM supplier_points",
         near=f"SELECT a.cell AS i, b.cell AS j FROM pts a JOIN pts b ON {HAVERSINE} <= 260",
         core="SELECT i AS cell FROM near GROUP BY i HAVING COUNT(*) >= 4",
         links="SELECT i, j FROM near WHERE i IN (FROM core) AND j IN (FROM core)",
@@ -841,9 +850,8 @@ register(
     """SELECT variable, respagg, separation, timeagg AS y, MAX(rank) AS size FROM importances GROUP BY 1, 2, 3, 4""",
 )
 register(
-    "grid_edges", "supplier_field supplier_points",
-    """SELECT *, lat - 0.25::DOUBLE AS south, lat AS north, lon AS west, lon + 0.25::DOUBLE AS east FROM supplier_points
-        WHERE cell IN (SELECT cell FROM supplier_field GROUP BY cell HAVING COUNT(value) >= 500)""",
+    "grid_edges", "supplier_points",
+    "SELECT *, lat - 0.25::DOUBLE AS south, lat AS north, lon AS west, lon + 0.25::DOUBLE AS east FROM supplier_points",
 )
 register("stationary_base_rate", "response", "SELECT time, 0.25::DOUBLE AS baserate FROM response")
 register(

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.catalog import REGIONS, SOIL_LAYER_WEIGHTS
+from fieldcast.catalog import REGIONS, SOIL_LAYER_WEIGHTS, TIMEAGGS
 from fieldcast.functions.dates import in_season, input_window, season
 from fieldcast.functions.keys import collapse, restore
 from fieldcast.functions.ranks import exact_quantile
 from fieldcast.functions.stats import detrend
 from fieldcast.operators import association as assoc
 from fieldcast.operators import climate, clustering, distances, folds, hierarchy, inspection, models, reduction, shapley, temporal, trends, verification
+from fieldcast.plans import flows
 from fieldcast.sources import adapters as src
 from fieldcast.sources import fields, ingest
 from fieldcast.streaming import ingest as streams
@@ -253,7 +255,8 @@ def standardised_date(spark, d):
 def input_windows(spark, d):
     keys = src.importances(spark, d).select("timeagg", "separation").distinct()
     days = src.region_field(spark, d).select("time").distinct()
-    stamped = days.join(keys, F.dayofmonth("time") == F.col("timeagg"))
+    windows = keys.agg(F.collect_set(F.struct("timeagg", "separation"))).scalar()  # 8 x 9 given windows
+    stamped = days.select("time", F.explode(windows).alias("_w")).select("time", "_w.timeagg", "_w.separation")
     start, end = input_window("time", F.col("separation"), F.col("timeagg"))
     return stamped.select("time", "timeagg", "separation", start.alias("start"), end.alias("end"))
 
@@ -333,28 +336,33 @@ def mean_at_lag(spark, d):
     return reduction.mean_at_lag(src.supplier_field(spark, d), -10)
 
 
+def _single(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Single precision, then decimals: sums of doubles in another order agree, and no decimal tie stands on the edge."""
+    return df.withColumns({c: F.round(F.col(c).cast("float").cast("double"), digits) for c in columns})
+
+
+def _patterns(spark, d, *more: str) -> DataFrame:
+    """The strongest correlation of each cell, lag and fold over all variables and windows."""
+    return src.cluster_fields(spark, d).groupBy("lag", "fold", *more, "cell").agg(F.max("corr").alias("corr"))
+
+
 @query
 def spatial_covariance(spark, d):
-    pattern = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7").select("lag", "fold", "cell", "corr")
-    out = reduction.spatial_covariance_lagged(pattern, src.supplier_field(spark, d), ["lag", "fold"])
-    return out.withColumn("value", F.round(F.col("value") + 3e-8, 5))  # nudged off decimal ties
+    out = reduction.spatial_covariance_lagged(_patterns(spark, d), src.supplier_field(spark, d), ["lag", "fold"])
+    return _single(out, "value")
 
 
 @query
 def spatial_covariance_whole_field(spark, d):
-    pattern = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7")
-    out = reduction.spatial_covariance(
-        pattern.select("lag", "fold", "cell", "corr"), src.supplier_field(spark, d), ["lag", "fold"], mean_over="all"
-    )
-    return out.withColumn("value", F.round(F.col("value") + 3e-8, 5))  # nudged off decimal ties
+    out = reduction.spatial_covariance(_patterns(spark, d), src.supplier_field(spark, d), ["lag", "fold"], mean_over="all")
+    return _single(out, "value")
 
 
 @query
 def cluster_features(spark, d):
-    clusters = src.cluster_fields(spark, d).where("variable = 'A' and timeagg = 7 and corr is not null")
+    clusters = _patterns(spark, d, "clustid").where("corr is not null")
     field = temporal.season_filter(src.supplier_field(spark, d), "MAM", "JJA")
-    out = reduction.features(field, clusters, "A", 7)
-    return out.withColumn("value", F.round(F.col("value") + 3e-8, 5))  # nudged off decimal ties
+    return _single(reduction.features(field, clusters, "A", 7), "value")
 
 
 @query
@@ -455,7 +463,7 @@ def fdr_mask(spark, d):
 @query
 def fdr_adjusted(spark, d):
     out = assoc.adjusted_pvalues(_tests(spark, d), ["lag", "fold"])
-    return out.withColumn("p_adj", F.round(F.col("p_adj") + 3e-12, 10))  # nudged off decimal ties
+    return _single(out, "p_adj", digits=10)
 
 
 @query
@@ -492,6 +500,20 @@ def fold_bounds(spark, d):
     return folds.fold_bounds(temporal.season_filter(src.response(spark, d), "JJA"), 4)
 
 
+@query
+def fold_training_years(spark, d):
+    """Years on which the features of a fold are selected, beside those on which the model that takes them validates."""
+    target = assoc.prepare_response(src.response(spark, d))
+    bounds = flows.fold_training_years(target, 4).select("fold", "fieldfold", "valstart", "valend")
+    pairs = assoc.lag_pairs(src.supplier_field(spark, d), target, [-7], 4).withColumnRenamed("fold", "fieldfold")
+    leaked = F.col("time").between(F.col("valstart"), F.col("valend"))
+    return pairs.join(F.broadcast(bounds), "fieldfold").groupBy("fieldfold", "fold").agg(  # one row a fold
+        F.year(F.min("time")).alias("first_selected"), F.year(F.max("time")).alias("last_selected"),
+        F.year(F.min("valstart")).alias("first_validated"), F.year(F.max("valend")).alias("last_validated"),
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(leaked).alias("n_leaked"),
+    )
+
+
 @query
 def contiguous_folds(spark, d):
     return folds.with_contiguous_fold(src.response(spark, d), 10)
@@ -571,12 +593,12 @@ def val_train_ratio(spark, d):
 
 @query
 def skill_intervals(spark, d):
-    return verification.bootstrapped_skill(src.daily_forecasts(spark, d), (None, 5, 15), n_draws=500)
+    return verification.bootstrapped_skill(src.daily_forecasts(spark, d))
 
 
 @query
 def bootstrap_correlation(spark, d):
-    draws = verification.bootstrap(src.daily_forecasts(spark, d), ["y", "p"], verification.pearson_statistic, 500, 15)
+    draws = verification.bootstrap(src.daily_forecasts(spark, d), ["y", "p"], verification.pearson_statistic, 5000, 15)
     return verification.bootstrap_pvalue(draws)
 
 
@@ -659,7 +681,7 @@ def global_shap(spark, d):
 def matching_values(spark, d):
     imp = src.importances(spark, d)
     values = imp.groupBy("variable", "timeagg", "separation").agg(F.sum("rank").alias("x"))
-    return inspection.matching(values.where("x % 3 <> 0"), imp.select(*src.IMPORTANCE_KEYS), src.IMPORTANCE_KEYS)
+    return inspection.matching(values, imp.select(*src.IMPORTANCE_KEYS), src.IMPORTANCE_KEYS)
 
 
 @query
@@ -671,8 +693,9 @@ def heat_data(spark, d):
 
 @query
 def by_separation(spark, d):
-    assocs = src.cluster_fields(spark, d).where("timeagg = 7").drop("separation", "timeagg")
-    return _rounded(inspection.by_separation(assocs, 7), "corr")
+    assocs = src.cluster_fields(spark, d)
+    parts = [inspection.by_separation(assocs.where(F.col("timeagg") == n).drop("separation", "timeagg"), n) for n in TIMEAGGS]
+    return _rounded(functools.reduce(DataFrame.unionByName, parts), "corr")
 
 
 # --- models --------------------------------------------------------------------------
@@ -765,8 +788,7 @@ def haversine_matrix(spark, d):
 
 @query
 def dbscan(spark, d):
-    busy = fields.drop_empty_cells(src.supplier_field(spark, d), 550).select("cell").distinct()
-    return clustering.dbscan(src.supplier_points(spark, d).join(busy, "cell", "left_semi"), 260.0, 4)
+    return clustering.dbscan(src.supplier_points(spark, d), 260.0, 4)
 
 
 @query
@@ -812,7 +834,8 @@ def stream_hour_slice(spark, d):
 @query
 def stream_ordered_days(spark, d):
     days = streams.unique_days(_event_stream(spark, d)).withColumn("value", F.lit(1))
-    return streams.materialise(streams.consecutive_days(days))
+    start = src.table(spark, d, "events", "ts").agg(F.to_date(F.min("ts"))).first()[0]
+    return streams.materialise(streams.consecutive_days(days, start))
 
 
 @query
@@ -858,8 +881,7 @@ def dot_data(spark, d):
 
 @query
 def grid_edges(spark, d):
-    busy = fields.drop_empty_cells(src.supplier_field(spark, d), 500).select("cell").distinct()
-    return inspection.grid_edges(src.supplier_points(spark, d).join(busy, "cell", "left_semi"), 0.25)
+    return inspection.grid_edges(src.supplier_points(spark, d), 0.25)
 
 
 @query

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldcast.catalog import REGIONS, Region
+from fieldcast.session import cut
 
 
 def read_field(spark: SparkSession, path: str, region: Region | str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -50,6 +52,10 @@ def field_info(field: DataFrame) -> DataFrame:
     )
 
 
+class TooFewCells(ValueError):
+    """A mask leaves fewer cells than asked for."""
+
+
 def drop_empty_cells(field: DataFrame, min_values: int = 1) -> DataFrame:
     """Only cells with enough values in the whole record, by a semi join on counted cells."""
     counted = field.groupBy("cell").agg(F.count("value").alias("_n")).where(F.col("_n") >= min_values)
@@ -69,14 +75,15 @@ def one_day(field: DataFrame, index: int) -> DataFrame:
 def mask_cells(field: DataFrame, mask: DataFrame, keep: bool = True, min_cells: int | None = None) -> DataFrame:
     """Semi (or anti) join with the cells of another field.
 
-    With ``min_cells`` the result is empty when fewer cells are left, so a later clustering
-    returns an empty map instead of failing.
+    With ``min_cells`` it is an error when fewer cells are left; a flow that goes on without
+    them catches :class:`TooFewCells`.
     """
     out = field.join(mask.select("cell").distinct(), "cell", "left_semi" if keep else "left_anti")
-    if min_cells is None:
-        return out
-    left = out.agg(F.count_distinct("cell")).scalar()
-    return out.where(left >= min_cells)
+    if min_cells is not None:
+        left = out.select("cell").distinct().limit(min_cells).count()  # stops at the bound
+        if left < min_cells:
+            raise TooFewCells(f"{left} cells are left by the mask, {min_cells} are needed")
+    return out
 
 
 def restore_grid(labels: DataFrame, grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -98,18 +105,27 @@ def write_field(df: DataFrame, path: str, mode: str = "overwrite", attrs: dict |
 
 
 def append_days(days: DataFrame, path: str) -> None:
-    """Append day partitions; a field partitioned by day is pruned by date on reading."""
-    days.repartition("time").write.mode("append").partitionBy("time").parquet(path)
+    """Add day partitions; a field partitioned by day is pruned by date on reading.
+
+    A day that is there already is replaced as a whole, so a repeated append leaves one copy.
+    """
+    writer = days.repartition("time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("time").parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or nothing where no write has published a file yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_if_absent(df: DataFrame, path: str) -> bool:
-    """Skip a result that is already there (a finished write, by its _SUCCESS marker)."""
-    if exists(df.sparkSession, f"{path}/_SUCCESS"):
+    """Skip a result that is already there; the committer publishes the files of a finished write only."""
+    if stored(df.sparkSession, path) is not None:
         return False
     df.write.mode("overwrite").parquet(path)
     return True
@@ -121,15 +137,19 @@ def new_keys(candidates: DataFrame, stored: DataFrame, keys: Sequence[str]) -> D
 
 
 def append_features(features: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append only features whose key combination is not in the store yet.
+    """Add only features whose key combination is not in the store yet.
 
-    The store is laid out by variable and timeagg, so the check reads key columns of the
-    touched partitions only.
+    The store is laid out by variable and timeagg.  The touched partitions are written anew as
+    a whole, with what they held, and replace the old ones when the write is committed: a
+    failed write changes nothing, and a repeated one adds nothing.
     """
     spark = features.sparkSession
-    if exists(spark, f"{path}/_SUCCESS"):
-        features = new_keys(features, spark.read.parquet(path), keys)
-    features.write.mode("append").partitionBy("variable", "timeagg").parquet(path)
+    layout = ["variable", "timeagg"]
+    old = stored(spark, path)
+    if old is not None:
+        old = old.select(*features.columns).join(features.select(*layout).distinct(), layout, "left_semi")
+        features = cut(old.unionByName(new_keys(features, old, keys)))
+    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
 
 
 def read_importances(spark: SparkSession, path: str, respagg: Sequence[int] | int, separation: Sequence[int] | int) -> DataFrame:

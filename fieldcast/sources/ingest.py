@@ -94,7 +94,7 @@ def raw_day(name: Column) -> Column:
 def present_raw_days(files: DataFrame, wanted: DataFrame, region: str) -> DataFrame:
     """Raw files of a region, listed as ``path``, that hold a wanted day, in day order."""
     named = files.where(F.lower("path").contains(region.lower())).withColumn("time", raw_day(F.col("path")))
-    return named.join(wanted, "time", "left_semi").select("time", "path")
+    return named.join(wanted, "time", "left_semi").select("time", "path").orderBy("time", "path")
 
 
 def list_raw_files(spark, folder: str, pattern: str = "*.grib") -> DataFrame:

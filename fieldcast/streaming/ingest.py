@@ -54,12 +54,12 @@ def unique_days(days: DataFrame, ts: str = "ts") -> DataFrame:
     return days.withColumn("time", F.to_date(ts)).dropDuplicatesWithinWatermark(["cell", "time"])
 
 
-def consecutive_days(days: DataFrame, start: dt.date | None = None, max_wait_ms: int | None = None) -> DataFrame:
+def consecutive_days(days: DataFrame, start: dt.date, max_wait_ms: int | None = None) -> DataFrame:
     """Release each cell's days strictly in calendar order, holding back days after a gap.
 
-    State per cell is the last released day and the days waiting behind a gap.  The first
-    day seen (or ``start``) opens the sequence; days at or before the last released one are
-    dropped.  With ``max_wait_ms`` a gap that stays open that long is skipped.
+    State per cell is the last released day and the days waiting behind a gap.  ``start`` is the
+    first day of the sequence, whichever day happens to arrive first; earlier days and days
+    released before are dropped.  With ``max_wait_ms`` a gap that stays open that long is skipped.
     """
     schema = days.select("cell", "time", "value").schema
     cell_type = schema["cell"].dataType.simpleString()
@@ -75,7 +75,7 @@ def consecutive_days(days: DataFrame, start: dt.date | None = None, max_wait_ms:
                 for day, value in zip(frame["time"], frame["value"]):
                     pending[(pd.Timestamp(day).date() - EPOCH).days] = float(value)
         if last is None and pending:
-            last = (start - EPOCH).days - 1 if start else min(pending) - 1
+            last = (start - EPOCH).days - 1
         pending = {d: v for d, v in pending.items() if d > last} if pending else {}
         out = []
         while last is not None and last + 1 in pending:

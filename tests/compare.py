@@ -66,7 +66,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     only = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("compare", "local[8]")
+    spark = build_session("compare", "local[8]", **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sqls, failed = entry.oracle_sql(), 0

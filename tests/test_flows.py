@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldcast.operators import association as assoc
 from fieldcast.operators import clustering, models, trends
 from fieldcast.plans import flows
+from fieldcast.sources import fields
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +35,7 @@ def world(spark):
     return field, series, points
 
 
-def test_known_source_is_found_clustered_and_used(spark, world):
+def test_known_source_is_found_clustered_and_used(spark, world, tmp_path):
     field, series, points = world
     anom = flows.anomalies(field).cache()
     found = flows.find_precursors(anom, series, [3], 3, [7], alpha=1e-4).cache()
@@ -48,6 +50,13 @@ def test_known_source_is_found_clustered_and_used(spark, world):
     out = flows.forecast(features, table, 3, -7, 0.666, 3, model).cache()
     s = out.agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("p"), F.avg((F.col("base") - F.col("y")) ** 2).alias("b"), F.count("*").alias("n")).first()
     assert s.n > 500 and s.p < 0.8 * s.b
+    path = f"{tmp_path}/importance"
+    small = models.Hybrid(greedy_base=True, n_estimators=2, max_depth=2, max_features=2)
+    flows.importance_grid(features, table, [3], [-7], 0.666, 3, small, path, n_important=1, draws=2)
+    kept = fields.read_importances(spark, path, 3, -7).cache()
+    assert {"fold", "variable", "timeagg", "lag", "separation", "clustid", "metric", "respagg", "pass", "rank", "score"} <= set(kept.columns)
+    assert {r.fold for r in kept.select("fold").distinct().collect()} == {0, 1, 2}
+    assert kept.where("pass = 'multipass'").count() == 3 and kept.where("lag <> -10 or timeagg <> 3").count() == 0
 
 
 def test_centroids_separate_two_patches(spark, world):
@@ -72,3 +81,26 @@ def test_loess_detrend_runs_per_cell(spark, world):
     few = world[0].where("cell < 2 and month(time) = 7")
     out = trends.loess_detrend(few, robust_steps=2)
     assert out.count() == few.count()
+
+
+def test_features_are_never_selected_on_their_validation_years(spark):
+    """Six years, three folds: a cell that leads the target only in two years must not pass for the fold that holds them out."""
+    rng = np.random.default_rng(21)
+    start, n = dt.date(2001, 1, 1), 6 * 365
+    dates = [start + dt.timedelta(days=i) for i in range(n)]
+    target = np.convolve(rng.normal(size=n + 40), np.ones(9) / 9, "same")[:n]
+    rows = []
+    for held, years in enumerate(((2001, 2002), (2003, 2004), (2005, 2006))):
+        lead = np.roll(target, -10)
+        for copy in range(4):
+            noise = rng.normal(scale=1.0, size=n)
+            rows += [(held * 4 + copy, d, float(lead[i] if d.year in years else noise[i] * 0.3)) for i, d in enumerate(dates)]
+    field = spark.createDataFrame(rows, "cell int, time date, value double")
+    series = spark.createDataFrame([(d, float(v)) for d, v in zip(dates, target)], "time date, y double")
+    response = assoc.prepare_response(series)
+    found = assoc.masked(assoc.associate(field, response, [-10], n_folds=3), 1e-3).where("corr is not null")
+    kept = {(r.fold, r.cell // 4) for r in found.collect()}
+    assert all((k, k) not in kept for k in range(3)) and len(kept) == 6
+    # The model that takes the features of field fold k validates on the years they were selected without.
+    bounds = {r.fieldfold: (r.valstart.year, r.valend.year) for r in flows.fold_training_years(response, 3).collect()}
+    assert bounds == {0: (2001, 2002), 1: (2003, 2004), 2: (2005, 2006)}

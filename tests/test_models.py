@@ -1,6 +1,8 @@
 """Model stages on a small synthetic training frame."""
 
 import datetime as dt
+import itertools
+import math
 from dataclasses import replace
 
 import numpy as np
@@ -52,26 +54,71 @@ def test_hybrid_beats_its_base_and_stays_in_range(data):
     assert s[0] < s[1] and s[2] >= 0 and s[3] <= 1
 
 
-def test_shap_is_additive_and_path_dependent_too(data):
-    model = models.Hybrid(n_estimators=5, max_depth=3, max_features=3).fit(data)
+def brute_shapley(value, d):
+    """From the definition, over all subsets of d features."""
+    out = []
+    for i in range(d):
+        rest, phi = [j for j in range(d) if j != i], 0.0
+        for size in range(d):
+            for subset in itertools.combinations(rest, size):
+                w = math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d)
+                phi += w * (value({*subset, i}) - value(set(subset)))
+        out.append(phi)
+    return out
+
+
+def conditional(tree, x, known, rows):
+    """Prediction of a nested tree (feature, threshold, left, right) where unknown features follow ``rows``."""
+    if not isinstance(tree, tuple):
+        return tree
+    feature, threshold, left, right = tree
+    goes = rows[:, feature] <= threshold
+    if feature in known:
+        return conditional(left, x, known, rows[goes]) if x[feature] <= threshold else conditional(right, x, known, rows[~goes])
+    share = goes.mean() if len(rows) else 0.0
+    return share * conditional(left, x, known, rows[goes]) + (1 - share) * conditional(right, x, known, rows[~goes])
+
+
+def leaves_of(tree, path=()):
+    if not isinstance(tree, tuple):
+        return [shapley.leaf_of(path, tree)]
+    feature, threshold, left, right = tree
+    return leaves_of(left, (*path, (feature, True, threshold))) + leaves_of(right, (*path, (feature, False, threshold)))
+
+
+def test_shap_of_a_given_tree_on_dependent_inputs():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(400, 3))
+    rows[:, 0] = 0.8 * rows[:, 1] + 0.6 * rows[:, 0]
+    tree = (2, 0.1, (1, 0.0, (0, -0.3, 1.0, 4.0), (2, -0.8, 2.5, -1.0)), (1, 0.4, (0, 0.6, 3.0, 0.5), 7.0))  # not in the order of numbers
+    leaves = leaves_of(tree)
+    x = rng.normal(size=(20, 3))
+    dependent = shapley.path_dependent(x, shapley.path_reach(rows, leaves), leaves, 3)
+    against = shapley.interventional(x, shapley.pattern_counts(rows, leaves), leaves, 3)
+    for i, one in enumerate(x):
+        assert dependent[i] == pytest.approx(brute_shapley(lambda known: conditional(tree, one, known, rows), 3), abs=1e-9)
+
+        def mixed(known, one=one):
+            both = rows.copy()
+            both[:, sorted(known)] = one[sorted(known)]
+            return shapley.predict(both, leaves).mean()
+
+        assert against[i] == pytest.approx(brute_shapley(mixed, 3), abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["hybrid", "classifier"])
+def test_shap_explains_what_the_model_predicts(data, kind):
+    model = (models.Hybrid if kind == "hybrid" else models.Classifier)(n_estimators=5, max_depth=3, max_features=3).fit(data)
+    predicted = {r.time: r["_anom"] if kind == "hybrid" else r["p"] for r in (model.forest.transform(data) if kind == "hybrid" else model.predict(data)).collect()}
     leaves = shapley.forest_leaves(model.forest)
-    rows = data.limit(40).collect()
-    x = np.array([r.features.toArray() for r in rows])
-    spark_pred = [r["_anom"] for r in model.forest.transform(data.limit(40)).collect()]
-    bg = np.array([r.features.toArray() for r in data.orderBy("time").limit(60).collect()])
-    assert shapley.predict(x, leaves) == pytest.approx(spark_pred, abs=1e-9)
-    phi = shapley.interventional(x, bg, leaves, 3)
-    assert phi.sum(1) + shapley.predict(bg, leaves).mean() == pytest.approx(shapley.predict(x, leaves), abs=1e-9)
-    # Brute force over all subsets for one row.
-    def value(subset):
-        mixed = bg.copy()
-        mixed[:, list(subset)] = x[0, list(subset)]
-        return shapley.predict(mixed, leaves).mean()
-    brute = value((0,)) - value(()), value((0, 1)) - value((1,)), value((0, 2)) - value((2,)), value((0, 1, 2)) - value((1, 2))
-    assert phi[0, 0] == pytest.approx(brute[0] / 3 + brute[1] / 6 + brute[2] / 6 + brute[3] / 3, abs=1e-9)
-    dependent = shapley.path_dependent(x, bg, leaves, 3)
-    gaps = dependent.sum(1) - shapley.predict(x, leaves)
-    assert np.ptp(gaps) < 1e-9
+    every = np.array([r.features.toArray() for r in data.select("features").collect()])
+    counted, covers = shapley.count_rows(data, leaves)
+    for (bits, n), (own_bits, own_n) in zip(counted, shapley.pattern_counts(every, leaves)):
+        assert sorted(zip(bits.tolist(), n.tolist())) == sorted(zip(own_bits.tolist(), own_n.tolist()))
+    assert all((a == b).all() for a, b in zip(covers, shapley.path_reach(every, leaves)))
+    for use_background in (True, False):
+        total = shapley.explain(model.forest, data, data, NAMES, use_background).groupBy("time").agg(F.sum("shap").alias("s"))
+        assert all(r.s == pytest.approx(predicted[r.time], abs=1e-9) for r in total.collect())
 
 
 def test_informative_feature_is_most_important(data):
@@ -90,7 +137,9 @@ def test_balancing_reaches_even_classes(data):
         assert share == pytest.approx(0.5, abs=0.08)
 
 
-def test_depth_is_clamped(data):
-    deep = replace(models.Hybrid(n_estimators=1, max_depth=100, max_features=3)).fit(data)
+def test_too_deep_trees_are_refused(data):
+    with pytest.raises(ValueError):
+        replace(models.Hybrid(n_estimators=1, max_depth=31, max_features=3)).fit(data)
+    deep = replace(models.Hybrid(n_estimators=1, max_depth=30, max_features=3)).fit(data)
     depth, nodes, leaves = models.forest_properties(deep.forest)
     assert depth <= 30 and nodes == 2 * leaves - 1

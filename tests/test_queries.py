@@ -9,8 +9,6 @@ SF = "/root/testdata/sf0.001"
 # Three or four pairs per series at the smallest scale make residual ranks a matter of rounding.
 NEEDS_MORE_DATA = {"partial_spearman"}
 LARGER = "/root/testdata/sf0.01"
-SLOW = {"hdbscan", "hyperparameters", "permutation_importance", "shap_values", "hybrid_forecast", "classifier_forecast",
-        "hybrid_scores", "base_rate_forecast", "linkage_merges"}
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +21,10 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) & set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) & set(entry.oracle_sql())))
 def test_against_sql(spark, con, name):
     sf, tables = (LARGER, connect(LARGER)) if name in NEEDS_MORE_DATA else (SF, con)
     verdict = compare(spark, tables, name, entry.queries()[name], entry.oracle_sql()[name], sf)
-    assert verdict in ("", "no rows"), verdict
+    if verdict == "no rows":  # the smallest tables leave nothing to compare
+        verdict = compare(spark, connect(LARGER), name, entry.queries()[name], entry.oracle_sql()[name], LARGER)
+    assert verdict == ""
