@@ -357,7 +357,7 @@ COV = """SELECT {k}, f.time, SUM((p.corr - p.pm) * (f.value - {xm})) / MAX(p.np)
     JOIN f ON f.cell = p.cell {more} GROUP BY {k}, f.time"""
 register(
     "spatial_covariance", "supplier_field cluster_fields",
-    """SELECT lag, fold, CAST(time - lag AS DATE) AS time, ROUND(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM cov
+    """SELECT lag, fold, CAST(time - lag AS DATE) AS time, floor((value) * (1000 / pi()) + 0.5::DOUBLE) / (1000 / pi()) AS value FROM cov
         WHERE time - lag IN (SELECT time FROM supplier_field)""",
     centred="""SELECT lag, fold, cell, corr, AVG(corr) OVER (PARTITION BY lag, fold) AS pm,
         COUNT(corr) OVER (PARTITION BY lag, fold) AS np
@@ -369,7 +369,7 @@ register(
 )
 register(
     "spatial_covariance_whole_field", "supplier_field cluster_fields",
-    "SELECT lag, fold, time, ROUND(CAST(CAST(SUM(dp * (value - xm)) / MAX(np) AS FLOAT) AS DOUBLE), 6) AS value FROM joined GROUP BY 1, 2, 3",
+    "SELECT lag, fold, time, floor((SUM(dp * (value - xm)) / MAX(np)) * (1000 / pi()) + 0.5::DOUBLE) / (1000 / pi()) AS value FROM joined GROUP BY 1, 2, 3",
     centred="""SELECT lag, fold, cell, corr, AVG(corr) OVER (PARTITION BY lag, fold) AS pm,
         COUNT(corr) OVER (PARTITION BY lag, fold) AS np
         FROM (SELECT lag, fold, cell, MAX(corr) AS corr FROM cluster_fields GROUP BY ALL) WHERE corr IS NOT NULL""",
@@ -379,7 +379,7 @@ register(
 register(
     "cluster_features", "supplier_field cluster_fields",
     """SELECT CAST(time - lag AS DATE) AS time, fold, 'A' AS variable, 7 AS timeagg, lag, lag + 7 AS separation, clustid, metric,
-        ROUND(CAST(CAST(CASE metric WHEN 'mean' THEN m ELSE c END AS FLOAT) AS DOUBLE), 6) AS value FROM sums
+        floor((CASE metric WHEN 'mean' THEN m ELSE c END) * (1000 / pi()) + 0.5::DOUBLE) / (1000 / pi()) AS value FROM sums
         CROSS JOIN (SELECT unnest(['mean', 'spatcov']) AS metric) WHERE time - lag IN (SELECT time FROM f)""",
     f="SELECT * FROM supplier_field WHERE month(time) BETWEEN 3 AND 8",
     centred="""SELECT lag, fold, clustid, cell, corr - AVG(corr) OVER (PARTITION BY lag, fold, clustid) AS dp,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -336,9 +337,13 @@ def mean_at_lag(spark, d):
     return reduction.mean_at_lag(src.supplier_field(spark, d), -10)
 
 
-def _single(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Single precision, then decimals: sums of doubles in another order agree, and no decimal tie stands on the edge."""
-    return df.withColumns({c: F.round(F.col(c).cast("float").cast("double"), digits) for c in columns})
+GRID = 1000 / math.pi
+
+
+def _on_grid(df: DataFrame, column: str) -> DataFrame:
+    """Rounded to multiples of pi / 1000: sums of doubles in another order agree there, as no fraction is halfway between two
+    of them, which many are on a decimal or binary grid."""
+    return df.withColumn(column, F.floor(F.col(column) * GRID + 0.5) / GRID)
 
 
 def _patterns(spark, d, *more: str) -> DataFrame:
@@ -349,20 +354,20 @@ def _patterns(spark, d, *more: str) -> DataFrame:
 @query
 def spatial_covariance(spark, d):
     out = reduction.spatial_covariance_lagged(_patterns(spark, d), src.supplier_field(spark, d), ["lag", "fold"])
-    return _single(out, "value")
+    return _on_grid(out, "value")
 
 
 @query
 def spatial_covariance_whole_field(spark, d):
     out = reduction.spatial_covariance(_patterns(spark, d), src.supplier_field(spark, d), ["lag", "fold"], mean_over="all")
-    return _single(out, "value")
+    return _on_grid(out, "value")
 
 
 @query
 def cluster_features(spark, d):
     clusters = _patterns(spark, d, "clustid").where("corr is not null")
     field = temporal.season_filter(src.supplier_field(spark, d), "MAM", "JJA")
-    return _single(reduction.features(field, clusters, "A", 7), "value")
+    return _on_grid(reduction.features(field, clusters, "A", 7), "value")
 
 
 @query
@@ -463,7 +468,7 @@ def fdr_mask(spark, d):
 @query
 def fdr_adjusted(spark, d):
     out = assoc.adjusted_pvalues(_tests(spark, d), ["lag", "fold"])
-    return _single(out, "p_adj", digits=10)
+    return out.withColumn("p_adj", F.round(F.col("p_adj").cast("float").cast("double"), 10))
 
 
 @query
