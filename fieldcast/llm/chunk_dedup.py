@@ -1,13 +1,13 @@
 """Operator 7: passages that repeat across documents, by content-defined chunks of a gear rolling hash.
 
-A chunk ends where the gear hash of the last ``REACH`` bytes has ``ZEROS`` leading zero bits, at least ``LEAST`` and at most ``MOST``
-bytes behind the previous end.  Ends depend on nearby bytes alone, so an insertion shifts chunks but changes only those it touches,
-and a passage is cut alike wherever it stands.  Chunks are compared by a 64-bit digest.  A digest is *repeated* if it occurs in more
+A chunk may end where the gear hash of the last ``REACH`` bytes falls into one of ``RATE`` parts of its range, and does end there unless
+such a place lies in the ``LEAST`` bytes before; a chunk of over ``MOST`` bytes is cut.  So ends depend on the ``REACH + LEAST`` bytes
+before them alone: an insertion shifts chunks but changes only those it touches, and a passage is cut alike wherever it stands.  Chunks are compared by a 64-bit digest.  A digest is *repeated* if it occurs in more
 than one document; its home is the first document in the table's order.  Neighbouring repeated chunks make a run.
 
-A passage loses at its ends the parts of the chunks that reach out of it.  So a run of ``n`` words between chunks of ``a`` and ``b``
-words is a passage of at least ``n`` and less than ``n + a + b`` words.  Reported are the runs that can have over ``WORDS`` words; runs of
-less than ``FLOOR`` words, equal by chance, are not.
+A passage loses at its ends the parts of the chunks that reach out of it, and at its start the bytes on which the first ends still
+depend.  So a run of ``n`` words between chunks of ``a`` and ``b`` words is a passage of at least ``n`` and at most ``n + a + b + STARTING``
+words.  Reported are the runs that can have over ``WORDS`` words; runs of less than ``FLOOR`` words, equal by chance, are not.
 
 Each chunk is one narrow row; its occurrences are combined in tasks before they are shuffled, and the join back has one row a digest
 on one side, so a chunk that stands in a third of all documents can be split over tasks.
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from fieldcast.llm.common import cut, pieces, table
 
 REACH = 16
-ZEROS = 4
-LEAST, MOST = 24, 1024
-WORDS, FLOOR = 50, 16
+RATE = 24
+LEAST, MOST = 8, 1024
+WORDS, FLOOR = 50, 8
+#: Words that begin in ``REACH + LEAST`` bytes at most, as each has a letter and a space.
+STARTING = (REACH + LEAST) // 2
 #: Random numbers of the gear, one a byte value, from a fixed seed.
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 16, 256, dtype=np.uint16)
 CHUNKS = "digest long, row long, doc_id long, k int, begin int, stop int, words int, around int"
@@ -52,13 +54,14 @@ def chunk_ends(data: np.ndarray) -> list[int]:
     size = len(data)
     if not size:
         return []
-    marks = (np.flatnonzero(gear_hashes(data) < (1 << (16 - ZEROS))) + 1).tolist()
+    places = np.flatnonzero(gear_hashes(data) < (1 << 16) // RATE) + 1
+    alone = np.diff(places, prepend=-LEAST - 1) > LEAST
     ends, last = [], 0
-    for m in [*marks, size]:
+    for m in [*places[alone].tolist(), size]:
         while m - last > MOST:
             last += MOST
             ends.append(last)
-        if m - last >= LEAST or m == size and m > last:
+        if m > last:
             ends.append(m)
             last = m
     return ends
@@ -120,6 +123,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, floor: int = FLOOR) -
     """
     every = chunks(docs)
     homes = every.groupBy("digest").agg(F.min("row").alias("home"), F.max("row").alias("last")).where("home < last").select("digest", "home")
+    homes = cut(homes)  # a join with the table, not with the aggregate, can split a digest that is very frequent
     repeated = cut(every.join(homes, "digest").drop("digest"))
     island = repeated.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy("row").orderBy("k")))
     ends = [F.min(F.struct("k", "begin", F.col("around").bitwiseAND(32767).alias("beside"))).alias("head"),
@@ -129,7 +133,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, floor: int = FLOOR) -
     runs = voted.groupBy("row", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("words").alias("words"),
         F.max(F.struct("words", (-F.col("home")).alias("home"))).alias("best"), F.min("first").alias("first"))
-    most = F.col("words") + F.col("head.beside") + F.col("tail.beside")
+    most = F.col("words") + F.col("head.beside") + F.col("tail.beside") + STARTING
     found = runs.where((most > words) & (F.col("words") >= floor)).select(
         "doc_id", F.col("head.begin").alias("begin"), F.col("tail.stop").alias("stop"), F.col("words").cast("int").alias("words"),
         most.cast("int").alias("most_words"), (-F.col("best.home")).alias("home"), "first")
