@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import cut, pieces, table
+from fieldcast.llm.common import arrow, cut, pieces, table
 
 REACH = 16
 RATE = 24
@@ -112,7 +112,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     pa.array(np.concatenate(around).astype(np.int32)),
                 ], names)
 
-    return rows.mapInArrow(run, CHUNKS)
+    return arrow(rows).mapInArrow(run, CHUNKS)
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, floor: int = FLOOR) -> DataFrame:

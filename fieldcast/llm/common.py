@@ -12,16 +12,25 @@ from pyspark.sql import types as T
 
 from fieldcast.session import cut, ensure_checkpoint_dir
 
-__all__ = ["add_columns", "cut", "fresh", "lists", "pieces", "ranked", "shared_folder", "spread", "table"]
+__all__ = ["add_columns", "arrow", "cut", "fresh", "lists", "pieces", "ranked", "shared_folder", "spread", "table"]
 
 #: Text handled at once inside a task; a longer single text is handled alone.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow(df: DataFrame) -> DataFrame:
+    """``df`` for ``mapInArrow``: batches hold a few MB at most, whatever the rows, so neither side of a task buffers more."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors see alike."""
     ensure_checkpoint_dir(spark)
@@ -79,7 +88,7 @@ def add_columns(
                 new = work(part.column(part.schema.get_field_index(column)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, schema)
+    return arrow(df).mapInArrow(run, schema)
 
 
 def spread(rows: int, each: int, most: int = 20_000) -> int:

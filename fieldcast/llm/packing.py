@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcast.llm.common import cut, pieces, spread, table
+from fieldcast.llm.common import arrow, cut, pieces, spread, table
 from fieldcast.llm.tokens import WordCache, vocabulary_path
 
 WIDTH = 2048
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = END_ID, width: int =
         if held_docs:
             yield flush()
 
-    found = cut(sorted_texts.mapInArrow(run, SCHEMA))
+    found = cut(arrow(sorted_texts).mapInArrow(run, SCHEMA))
     totals = found.groupBy("part").agg((F.max("local_sequence") + 1).alias("sequences"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("sequences").over(ahead), F.lit(0)).alias("ahead"))

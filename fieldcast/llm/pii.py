@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcast.llm.common import add_columns, fresh, pieces, table
+from fieldcast.llm.common import add_columns, arrow, fresh, pieces, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -187,7 +187,7 @@ def train_counts(docs: DataFrame) -> Counter:
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "shape", "y", "z", "n"])
 
-    found = docs.select("text").mapInArrow(run, "part string, shape string, y int, z int, n long")
+    found = arrow(docs.select("text")).mapInArrow(run, "part string, shape string, y int, z int, n long")
     return Counter({tuple(r)[:4]: r["n"] for r in found.groupBy("part", "shape", "y", "z").agg(F.sum("n").alias("n")).collect()})
 
 

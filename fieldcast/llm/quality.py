@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcast.llm.common import add_columns, fresh, pieces, table
+from fieldcast.llm.common import add_columns, arrow, fresh, pieces, table
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -96,7 +96,7 @@ def ngram_counts(docs: DataFrame, trusted: list[int], buckets: int = BUCKETS) ->
         some = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "raw", "trusted"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    found = arrow(docs.select("doc_id", "text")).mapInArrow(run, schema).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     out = np.zeros((2, buckets), np.int64)
     for bucket, raw, good in found.collect():  # at most one row a bucket
         out[:, bucket] = raw, good

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcast.llm.common import shared_folder, spread, table
+from fieldcast.llm.common import arrow, shared_folder, spread, table
 from fieldcast.llm.tokens import encode_column, vocabulary_path
 
 END_ID = 2
@@ -85,7 +85,7 @@ def digests(files: DataFrame) -> DataFrame:
             kept = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], schema.names)
 
-    return files.mapInArrow(run, schema)
+    return arrow(files).mapInArrow(run, schema)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:

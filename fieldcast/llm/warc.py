@@ -32,7 +32,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import cut, pieces, shared_folder, spread, table
+from fieldcast.llm.common import arrow, cut, pieces, shared_folder, spread, table
 
 LEAST = 1000
 LINES = 512
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
 
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
-    return cut(with_types(pages, least).mapInArrow(run, CAPTURES))
+    return cut(arrow(with_types(pages, least)).mapInArrow(run, CAPTURES))
 
 
 def rows_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
