@@ -105,6 +105,7 @@ def ranked(df: DataFrame, keys: Sequence[str], row: str, name: str, buckets: int
     bucket, inside, count, before = fresh(df, "bucket", "inside", "rows_here", "rows_before")
     mixed = F.pmod(F.xxhash64(row), F.lit(buckets)).cast("int")
     dealt = df.withColumn(bucket, mixed)
+    dealt = dealt.repartition(*keys, bucket)  # else a join on the keys before leaves a large group in one task
     counts = dealt.groupBy(*keys, bucket).agg(F.count("*").alias(count))
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, bucket, F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(before))
