@@ -78,15 +78,20 @@ def shared(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, g: n + F.least(count(a, g), count(b, g)))
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a costly column as the output of a generator, so that the optimiser does not repeat it at each use."""
+    return df.select("doc_id", "line_no", F.explode(F.array(value)).alias(name))
+
+
 def scan(docs: DataFrame, given=TEMPLATES, least: float = LEAST) -> DataFrame:
     """``doc_id, line_no, license, dice`` of every line that matches a template, with the best template of the line."""
     known = templates(docs.sparkSession, given)
     wide = least / (2 - least)
     low, high = min(len(g) for *_, g in known) * wide, max(len(g) for *_, g in known) / wide
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    worded = lines.select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
+    worded = once(lines.where(F.length("line") > 0), words_of(F.col("line")), "words")
     fitting = worded.where((F.size("words") > 0) & F.greatest(F.lit(1), F.size("words") - 1).between(low, high))
-    grams = fitting.select("doc_id", "line_no", bigrams(F.col("words")).alias("grams"))
+    grams = once(fitting, bigrams(F.col("words")), "grams")
     some = grams.where(F.arrays_overlap("grams", literal(sorted({g for *_, own in known for g in own}))))
     size = F.size("grams")
     scores = []
