@@ -117,7 +117,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     total = rows.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     buckets = spread(total, WINDOW_ROWS * shards) * 8
-    groups = rows.where(F.col("link").isNotNull()).groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the joins below meet a table and can split a group that is very large.
+    groups = cut(rows.where(F.col("link").isNotNull()).groupBy("link").agg(F.count("*").alias("n")).where("n > 1"))
     cells = cut(first_cells(groups, shards))
     held = dict.fromkeys(range(shards), 0) | {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("held")).collect()}
     # An uneven start beyond the quotas (next to no unlinked documents) is evened out by the largest shards' last cells.
@@ -128,7 +129,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     ends = F.array_sort(F.collect_list(F.struct("shard", "held")))
     plan = cells.groupBy("link").agg(ends.alias("cells"))  # one entry a shard
     sums = F.transform("cells", lambda c, i: F.aggregate(F.slice("cells", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x["held"]))
-    plan = plan.select("link", F.transform("cells", lambda c: c["shard"]).alias("at"), sums.alias("ends"))
+    plan = cut(plan.select("link", F.transform("cells", lambda c: c["shard"]).alias("at"), sums.alias("ends")))
     linked = ranked(rows.join(groups.select("link"), "link", "left_semi"), ["link"], "row", "rank", buckets)
     placed = linked.join(plan, "link").withColumn("shard", F.element_at("at", interval(F.col("rank"), F.col("ends")) + 1))
     alone = rows.join(groups.select("link"), "link", "left_anti").withColumn("one", F.lit(1))
