@@ -1,4 +1,12 @@
-"""Operator 6: SimHash near-duplicates through pigeonhole blocks.
+"""Operator 6: SimHash near-duplicates through pigeonhole blocks; near copies by the Jaccard similarity of their shingles.
+
+``op6_simhash`` keeps to its contract: shingles of ``SHINGLE`` = 3 words, fingerprints at most ``DISTANCE`` = 2 bits apart.  Two bits are
+near-identity, so the general rule, ``near_duplicates``, is another one: texts whose sets of ``WIDE`` = 5 word shingles have a Jaccard
+similarity of ``SIMILAR`` = 0.8 at least.  One SimHash of 64 bits would need a radius of some 17 bits for it, beyond any blocks, so the
+fingerprints there are ``BANDS`` keys of ``DEPTH`` least hashes each: a pair at 0.8 shares none of them once in 65,000 times, a more
+similar one less often.  Candidates are verified by their whole shingle sets.  In a band that many texts share each is first compared
+to one centre, another one in each band; all pairs that these links leave in different components are compared after that, so no
+candidate is lost and a group of near copies takes as many comparisons as it has rows.
 
 A fingerprint has a bit set where over half of the text's shingle hashes have it.  Two fingerprints at most ``DISTANCE`` = 2 bits
 apart agree in at least three of five blocks of bits, so they share one of ten keys made of three blocks (some 38 bits).  Equal
@@ -11,7 +19,8 @@ one bit of a value are at most two bits apart, so linking all around a value to
 
 Nulls and odd input: a text without words (null, empty, spaces) has fingerprint zero and links like any other; fewer words than a
 shingle make one shingle; repeated rows are copies; a null doc_id is a member but never names a component unless all are null; an
-empty table has no rows; other columns are ignored by ``near_duplicates``.
+empty table has no rows; other columns are ignored by ``near_duplicates`` and ``near_prints``.  By the general rule texts of equal words are
+copies, and those without words are copies of each other only.
 """
 
 from __future__ import annotations
@@ -33,24 +42,40 @@ SEED = 42
 DISTANCE = 2
 BLOCKS = (13, 13, 13, 13, 12)
 CROWD = 64
+#: The general rule: words of a shingle, least Jaccard similarity.
+WIDE, SIMILAR = 5, 0.8
+#: Keys of a text and least hashes in each.
+BANDS, DEPTH = 28, 5
+#: Bits of the least hashes by which pairs are told apart before their sets are read, and how many agree at least: five standard
+#: deviations under what a similarity of ``SIMILAR`` gives.
+SKETCH = 128
+FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingle hashes multiplied with all factors at once.
+STRIPE = 1 << 10
 #: Shingle hashes turned into bits at once.
 HASHES = 1 << 15
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """The SimHash as a signed 64-bit number."""
-    words = text.translate(LOWER).split()
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, in order."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())), np.uint64, len(words) - width + 1
     )
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """The SimHash as a signed 64-bit number."""
+    hashes = shingles(text.translate(LOWER).split(), size)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), HASHES):
         bits = np.unpackbits(hashes[at : at + HASHES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -100,19 +125,112 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, crowd: int = CROWD) -> DataFrame:
-    """``doc_id, fp, text_hash, root, component_id`` for every row.
+def grouped(found: DataFrame, key: str, linked: DataFrame) -> DataFrame:
+    """``found`` (``doc_id``, ``key`` and others) with ``root`` and ``component_id`` by the links ``(a, b)`` of keys."""
+    least = cut(found.groupBy(key).agg(F.min("doc_id").alias("least")))
+    roots = components(linked).withColumnRenamed("node", key)
+    rooted = least.join(roots, key, "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return found.join(rooted.join(named, "root").select(key, "root", "component_id"), key)
+
+
+def near_prints(docs: DataFrame, *, crowd: int = CROWD) -> DataFrame:
+    """``doc_id, fp, root, component_id`` for every row by the contract of operator 6; ``root`` is the component's least fingerprint."""
+    found = cut(with_fingerprint(docs.select("doc_id", "text"), "fp").drop("text"))
+    return grouped(found, "fp", links(found.select("fp").distinct(), crowd)).select("doc_id", "fp", "root", "component_id")
+
+
+def band_keys(hashes: np.ndarray) -> tuple[list[int], int, int]:
+    """The keys of a set of shingle hashes and the two halves of its sketch, all as signed numbers."""
+    least = np.full(len(FACTORS), ~np.uint64(0))
+    for at in range(0, len(hashes), STRIPE):
+        np.minimum(least, (hashes[at : at + STRIPE, None] * FACTORS).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, DEPTH))]
+    bits = np.packbits((least[:SKETCH] >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view("<i8")
+    return np.array(keys, np.uint64).view(np.int64).tolist(), int(bits[0]), int(bits[1])
+
+
+def with_bands(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with ``node`` (a digest of the words), ``many`` (different shingles), ``bands`` and the sketch."""
+    fields = [
+        T.StructField("node", T.BinaryType()), T.StructField("many", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("low", T.LongType()), T.StructField("high", T.LongType()),
+    ]
+    kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+
+    def make():
+        def row(text: bytes) -> tuple:
+            words = text.translate(LOWER).split()
+            hashes = np.unique(shingles(words, size))
+            node = xxhash.xxh3_128_digest(b" ".join(words), SEED)
+            return (node, len(hashes), *(band_keys(hashes) if len(hashes) else ([], 0, 0)))
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            columns = list(zip(*map(row, texts.cast(pa.binary()).fill_null(b"").to_pylist()))) or [()] * len(kinds)
+            return [pa.array(c, k) for c, k in zip(columns, kinds)]
+
+        return work
+
+    return add_columns(docs, "text", fields, make)
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similar: float) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose shingle sets have a Jaccard similarity of ``similar`` at least."""
+    def make():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            sets = (np.unique(shingles(t.translate(LOWER).split(), size)).view(np.int64) for t in texts.cast(pa.binary()).fill_null(b"").to_pylist())
+            return [pa.array(list(sets), pa.list_(pa.int64()))]
+
+        return work
 
-    ``root`` is the component's least fingerprint, ``text_hash`` tells rows with the same doc_id apart.
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut(nodes.select("node", "text_hash").join(ends, "node"))
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").select("node", "text").dropDuplicates(["node"])
+    sets = cut(add_columns(texts, "text", [T.StructField("own", T.ArrayType(T.LongType()))], make).drop("text"))
+    left, right = (sets.select(F.col("node").alias(x), F.col("own").alias(f"of_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similar) * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, size: int, similar: float) -> DataFrame:
+    """Links ``(a, b)`` of nodes whose components are those of all verified candidates."""
+    own = ["node", "many", "low", "high"]
+    keys = nodes.select(*own, F.explode("bands").alias("key"))
+    centre = F.min(F.struct(F.xxhash64("node", "key").alias("turn"), *own)).alias("centre")
+    met = cut(keys.join(keys.groupBy("key").agg(centre, F.count("*").alias("n")).where("n > 1").drop("n"), "key"))
+    share = (1 + similar) / 2
+    agree = SKETCH * share - 5 * (SKETCH * share * (1 - share)) ** 0.5
+
+    def alike(a: str, b: str) -> Column:
+        differ = F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
+        few, many = F.least(f"{a}many", f"{b}many"), F.greatest(f"{a}many", f"{b}many")
+        return (differ <= SKETCH - agree) & (few >= F.lit(similar) * many)
+
+    def named(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        return cut(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+
+    stars = met.where((F.col("node") != F.col("centre.node")) & alike("", "centre."))
+    near = cut(verified(docs, nodes, named(stars, "node", "centre.node"), size, similar))
+    roots = components(near)
+    rooted = met.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
+    rest = cut(rooted.join(mixed, "key"))
+    left, right = (rest.select("key", *(F.col(c).alias(f"{x}_{c}") for c in (*own, "root"))) for x in "lr")
+    apart = left.join(right, "key").where(F.col("l_root") < F.col("r_root")).where(alike("l_", "r_"))
+    return near.union(verified(docs, nodes, named(apart, "l_node", "r_node"), size, similar))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = WIDE, similar: float = SIMILAR) -> DataFrame:
+    """``doc_id, text_hash, root, component_id`` for every row by the general rule.
+
+    ``root`` is the component's least node, ``text_hash`` tells rows with the same doc_id apart.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = cut(with_fingerprint(rows, "fp").drop("text"))
-    prints = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints, crowd))
-    grouped = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(named, "root").select("fp", "root", "component_id")
-    return found.join(classes, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
+    found = cut(with_bands(rows, size).drop("text"))
+    firsts = (F.first(c).alias(c) for c in ("many", "bands", "low", "high"))
+    nodes = cut(found.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *firsts))
+    linked = near_links(docs, nodes, size, similar)
+    return grouped(found.select("doc_id", "text_hash", "node"), "node", linked).select("doc_id", "text_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -128,5 +246,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_prints(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

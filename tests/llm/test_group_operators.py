@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fieldcast.llm import chunk_dedup, graph, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +97,41 @@ def test_near_duplicates_of_odd_input(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def plain_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_stage_finds_near_copies_as_brute_force_does(spark):
+    rnd = random.Random(11)
+    texts = []
+    for n in (60, 90, 150, 300, 900):
+        for _ in range(6):
+            base = [prose(rnd, 1) for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(5):  # from near-identity to below the limit
+                words = list(base)
+                for at in rnd.sample(range(n), max(1, round(n * rnd.choice((0.005, 0.01, 0.015, 0.02, 0.03, 0.06))))):
+                    words[at] = prose(rnd, 1)
+                texts.append(" ".join(words))
+    hot = [prose(rnd, 1) for _ in range(200)]
+    texts += [" ".join(hot[:i] + [f"changed{i}"] + hot[i + 1 :]) for i in range(150)]
+    passage = prose(rnd, 60)
+    texts += [f"{prose(rnd, 40)} {passage}" for _ in range(80)] + ["", "  ", "two words", "Two  Words"]
+    sets = [plain_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    want = roots(len(texts), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(set(want))
+    assert sum(bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).count("1") > 2 for i, j in pairs[:200]) > 20
+
+
 # --- sharding ------------------------------------------------------------------------
 
 
