@@ -3,11 +3,11 @@
 Words and pairs of neighbouring words are hashed to ``BUCKETS`` buckets.  Two multinomials are estimated over them, one from
 all raw documents and one from the trusted documents among them (labelled good and not toxic).  A document's score is the mean
 over its n-grams of log p_trusted - log p_raw; dividing by their number makes long and short documents comparable.  Every
-document below the threshold is rejected.  The threshold is a set low quantile of the trusted documents' own scores minus a
-margin, so documents that resemble them stay.
+document below the threshold is rejected.  The threshold is a set low quantile (the lower one, itself a score) of the scores of all trusted documents that pass
+the base rules, those of the fit scored as if left out of it, so documents that resemble them stay; those that fail the base rules are rejected anyway and set no threshold.
 
-Trusted documents are a bounded sample, the ``SAMPLE`` ids with the least hashes; raw counts cover the whole table.  Counts are
-added up inside tasks and then by bucket, so what reaches the driver is two numbers a bucket.
+The fit alone uses a bounded sample of trusted documents, the ``SAMPLE`` ids with the least hashes; raw counts and the quantile
+cover the whole table.  Counts are added up inside tasks and then by bucket, so what reaches the driver is two numbers a bucket.
 
 Nulls and odd input: a null text has no words and fails the base rules; a label without a document or with null values is not
 trusted; without trusted documents only the base rules decide; repeated rows are scored alike.  Other columns, also such with the
@@ -21,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldcast.functions.ranks import rank_counts
 from fieldcast.llm.common import add_columns, arrow, fresh, pieces, table
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
 SMOOTHING = 1.0
-#: A document stays if it scores at least the quantile ``REJECTED`` of the trusted documents minus ``MARGIN``.
-REJECTED, MARGIN = 0.001, 0.1
+#: A document stays if it scores at least the quantile ``REJECTED`` of the trusted documents.
+REJECTED = 0.001
+#: The base rules: words of a document, and the percentage of them that repeated windows hold.
+LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -111,9 +114,13 @@ def ratios(raw: np.ndarray, trusted: np.ndarray) -> np.ndarray:
     return log_share(trusted) - log_share(raw)
 
 
-def trusted_ids(labels: DataFrame, sample: int = SAMPLE) -> list[int]:
+def trusted_labels(labels: DataFrame) -> DataFrame:
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    least = good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return good.select("doc_id").distinct()
+
+
+def trusted_ids(labels: DataFrame, sample: int = SAMPLE) -> list[int]:
+    least = trusted_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return [r[0] for r in least.collect()]
 
 
@@ -141,24 +148,65 @@ def with_measures(docs: DataFrame, name: str, weights: np.ndarray | None) -> Dat
     return add_columns(docs, "text", [T.StructField(name, kind)], make)
 
 
+def base_failed(x: Column) -> Column:
+    """Whether the measures ``x`` break the base rules."""
+    return (x["n_words"] < LEAST_WORDS) | (100 * x["n_repeat_words"] > MOST_REPEATED * x["n_words"])
+
+
+def left_out(found: np.ndarray, raw: np.ndarray, trusted: np.ndarray) -> float:
+    """The score of a text with buckets ``found`` by a fit to the trusted texts but this one."""
+    own, counts = np.unique(found, return_counts=True)
+    rest = np.log(np.maximum(trusted[own] - counts, 0) + SMOOTHING) - np.log(trusted.sum() - len(found) + SMOOTHING * len(trusted))
+    return float((counts * (rest - np.log(raw[own] + SMOOTHING) + np.log(raw.sum() + SMOOTHING * len(raw)))).sum() / len(found))
+
+
+def least_score(docs: DataFrame, labels: DataFrame, chosen: list[int], raw: np.ndarray, trusted: np.ndarray, rejected: float) -> float | None:
+    """The lower quantile ``rejected`` of the scores of all trusted rows that pass the base rules; None without such rows.
+
+    It is one of their scores, so at most this share of them is below it.  Texts of the fit (``chosen``) count with the score that they
+    have when left out of it: the fit favours its own texts, and good texts without a label must not be held to that.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((raw, trusted))
+    fields = [T.StructField("passed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("outside", T.DoubleType())]
+
+    def make():
+        raw, trusted = sent.value
+        weights = ratios(raw, trusted)
+
+        def row(text: bytes) -> tuple:
+            words = text.split()
+            if len(words) < LEAST_WORDS or 100 * repeated_words(words) > MOST_REPEATED * len(words):
+                return False, None, None
+            found = ngram_buckets(words, len(weights))
+            return True, float(weights[found].mean()), left_out(found, raw, trusted)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            columns = list(zip(*map(row, binary(texts)))) or [()] * len(fields)
+            return [pa.array(c, t) for c, t in zip(columns, [pa.bool_(), pa.float64(), pa.float64()])]
+
+        return work
+
+    scored = add_columns(docs.select("doc_id", "text"), "text", fields, make).drop("text").where("passed")
+    own = scored.join(trusted_labels(labels), "doc_id", "left_semi")
+    fitted = spark.createDataFrame([(i, True) for i in chosen], "doc_id long, fitted boolean")  # at most ``sample`` ids
+    own = own.join(F.broadcast(fitted), "doc_id", "left").select(F.when(F.col("fitted"), F.col("outside")).otherwise(F.col("score")).alias("score"))
+    upto = rank_counts(own, [], "score").where(F.col("n_upto") > F.floor((F.col("n_total") - 1) * F.lit(rejected)))
+    return upto.agg(F.min("score")).first()[0]
+
+
 def annotate(
-    docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, sample: int = SAMPLE, rejected: float = REJECTED, margin: float = MARGIN
+    docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, sample: int = SAMPLE, rejected: float = REJECTED
 ) -> tuple[DataFrame, str]:
     """``docs`` with a struct column (the measures, score, base_failed, kept) and that column's name."""
     measured, name = fresh(docs, "measured", "quality_verdict")
     chosen = trusted_ids(labels, sample)
     raw, trusted = ngram_counts(docs, chosen, buckets)
     weights = ratios(raw, trusted) if trusted.sum() else None
-    threshold = None
-    if weights is not None:
-        ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-        own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``sample`` ids
-        scores = with_measures(own, measured, weights).select(F.col(measured)["score"].alias("score"))
-        least = scores.agg(F.percentile("score", rejected)).first()[0]
-        threshold = None if least is None else least - margin
+    threshold = None if weights is None else least_score(docs, labels, chosen, raw, trusted, rejected)
     found = with_measures(docs, measured, weights)
     x = F.col(measured)
-    failed = (x["n_words"] < 50) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
+    failed = base_failed(x)
     passes = F.lit(True) if threshold is None else F.coalesce(x["score"] >= F.lit(threshold), F.lit(False))
     told = F.struct(*(x[f].alias(f) for f in (*FIELDS, "score")), failed.alias("base_failed"), (~failed & passes).alias("kept"))
     return found.withColumn(name, told).drop(measured), name

@@ -131,6 +131,31 @@ def test_junk_goes_and_trusted_text_stays(spark):
     assert share[1] > 0.99 and share[0] < 0.6
 
 
+def test_labelled_junk_that_passes_the_base_rules_goes(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+
+    def text(broken, n):
+        return " ".join(w + "%*" if rnd.random() < broken else w for w in rnd.choices(words, k=n))
+
+    rows = [(i, text(0.0, rnd.randint(80, 200)), 1) for i in range(600)] + [(i, text(0.35, rnd.randint(80, 200)), 0) for i in range(600, 680)]
+    # Trusted by label, but failing the base rules: their scores must not set the threshold.
+    rows += [(i, text(0.9, 40), 1) for i in range(680, 690)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    out, name = quality.annotate(docs, labels)
+    found = {r.doc_id: r.v for r in out.select("doc_id", F.col(name).alias("v")).collect()}
+    assert all(found[i].kept for i in range(600))
+    assert not any(found[i].base_failed or found[i].kept for i in range(600, 680))
+    assert all(found[i].base_failed for i in range(680, 690))
+
+
+def test_score_of_a_text_left_out_of_the_fit():
+    raw, trusted, found = np.array([8, 2, 3]), np.array([4, 1, 2]), np.array([0, 0, 2])
+    want = quality.ratios(raw, trusted - np.bincount(found, minlength=3))[found].mean()
+    assert quality.left_out(found, raw, trusted) == pytest.approx(want)
+
+
 def test_quality_of_odd_input(spark):
     good = " ".join(f"word{i % 97} text{i % 89}" for i in range(80))
     docs = odd_rows(spark, [(1, None), (2, ""), (None, good), (4, good), (4, good), (5, " \n\t ")])
