@@ -6,7 +6,7 @@ similarity of ``SIMILAR`` = 0.8 at least.  One SimHash of 64 bits would need a r
 fingerprints there are ``BANDS`` keys of ``DEPTH`` least hashes each: a pair at 0.8 shares none of them once in 65,000 times, a more
 similar one less often.  Candidates are verified by their whole shingle sets.  In a band that many texts share each is first compared
 to one centre, another one in each band; all pairs that these links leave in different components are compared after that, so no
-candidate is lost and a group of near copies takes as many comparisons as it has rows.
+candidate is lost and few pairs are left in a group that the centres join; where they join little, up to all pairs of a band are compared.
 
 A fingerprint has a bit set where over half of the text's shingle hashes have it.  Two fingerprints at most ``DISTANCE`` = 2 bits
 apart agree in at least three of five blocks of bits, so they share one of ten keys made of three blocks (some 38 bits).  Equal
