@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldcast.llm.chunk_dedup import op7_chunk_dedup
+from fieldcast.llm.collocations import OP11_SQL, op11_collocations
 from fieldcast.llm.decontamination import OP2_SQL, op2_decontamination
 from fieldcast.llm.licenses import OP8_SQL, op8_licenses
 from fieldcast.llm.packing import op10_packing
@@ -21,8 +22,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_decontamination, op3_sharding, op4_pii, op5_token_files,
-        op6_simhash, op7_chunk_dedup, op8_licenses, op9_quality, op10_packing,
+        op6_simhash, op7_chunk_dedup, op8_licenses, op9_quality, op10_packing, op11_collocations,
     )
 }
 
-ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_licenses": OP8_SQL}
+ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_licenses": OP8_SQL, "op11_collocations": OP11_SQL}
