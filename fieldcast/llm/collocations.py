@@ -34,8 +34,8 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 #: Bytes of text of one index, and of texts that a task holds before it builds one.
-SHARD_BYTES = 16 << 20
-HELD_BYTES = 24 << 20
+SHARD_BYTES = 6 << 20
+HELD_BYTES = 10 << 20
 #: A capital never stands in a lower-cased text, so it marks the ends of pieces.
 MARK = b"A"
 LOWER = bytearray(range(256))
