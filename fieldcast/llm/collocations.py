@@ -34,8 +34,8 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 #: Bytes of text of one index, and of texts that a task holds before it builds one.
-SHARD_BYTES = 6 << 20
-HELD_BYTES = 10 << 20
+SHARD_BYTES = 12 << 20
+HELD_BYTES = 16 << 20
 #: A capital never stands in a lower-cased text, so it marks the ends of pieces.
 MARK = b"A"
 LOWER = bytearray(range(256))
@@ -53,9 +53,9 @@ def suffix_order(numbers: np.ndarray) -> np.ndarray:
     The largest numbers that are equal must be followed by different ones in the end: marks are numbered apart.
     """
     size = len(numbers)
-    order = np.argsort(numbers, kind="stable")
-    rank = np.empty(size, np.int64)
-    slots, keys = np.arange(size), numbers[order].astype(np.int64)
+    order = np.argsort(numbers, kind="stable").astype(np.int32)
+    rank = np.empty(size, np.int32)
+    slots, keys = np.arange(size, dtype=np.int32), numbers[order]
     step = 1
     while True:
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
@@ -67,7 +67,7 @@ def suffix_order(numbers: np.ndarray) -> np.ndarray:
         if not len(slots):
             return order
         places = order[slots]
-        keys = rank[places] * size + rank[places + step]
+        keys = rank[places].astype(np.int64) * size + rank[places + step]
         again = np.argsort(keys, kind="stable")
         order[slots], keys = places[again], keys[again]
         step *= 2
@@ -85,7 +85,7 @@ class FMIndex:
     @classmethod
     def of(cls, words: np.ndarray) -> FMIndex:
         marks = words == 0
-        apart = np.where(marks, np.cumsum(marks) - 1, words.astype(np.int64) + int(marks.sum()))
+        apart = np.where(marks, np.cumsum(marks, dtype=np.int32) - np.int32(1), words.astype(np.int32) + np.int32(marks.sum()))
         order = suffix_order(apart)
         return cls(words[order - 1])  # before the first word stands the last mark
 
@@ -118,19 +118,19 @@ class FMIndex:
 
 
 def word_numbers(text: bytes) -> tuple[list[str], np.ndarray]:
-    """The different words of a marked text and the numbers of its words from 1, zero for marks, with one at the end."""
+    """The different words of a marked text, most frequent first, and the numbers of its words from 1, zero for marks, with one at the end."""
     data = text.replace(MARK, b" A ") + b" A"
     array = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data)])
     coded = pc.ascii_split_whitespace(array).flatten().dictionary_encode()
     words, found = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-    kept = [w for w in words if w not in ("", "A")]
-    number = np.full(len(words), -1, np.int64)
-    number[[i for i, w in enumerate(words) if w not in ("", "A")]] = np.arange(1, len(kept) + 1)
+    kept = [int(i) for i in np.argsort(-np.bincount(found), kind="stable") if words[i] not in ("", "A")]
+    number = np.full(len(words), -1, np.int32)
+    number[kept] = np.arange(1, len(kept) + 1)
     number[words.index("A")] = 0
     numbers = number[found]
     numbers = numbers[numbers >= 0]
     repeated = np.concatenate((numbers[1:] == 0, [False])) & (numbers == 0)
-    return kept, numbers[~repeated].astype(np.uint32)
+    return [words[i] for i in kept], numbers[~repeated].astype(np.uint32)
 
 
 def parts(text: bytes, limit: int) -> Iterator[bytes]:

@@ -19,7 +19,7 @@ def test_against_sql(spark, name):
 
 def test_all_are_registered():
     assert {*REGISTRY, "pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
 
 
 def test_stages_keep_what_they_should(spark):
