@@ -7,7 +7,7 @@ is eliminated if by the triangle inequality no row in that range can lie in a qu
 rows, so the tree is small whatever the table; the ranges cover all rows.  A leaf is stored in blocks of some ``BLOCK`` rows, and each block that a
 query cannot rule out is searched whole, so results are exact.
 
-Queries move in chunks that start in the same leaf, so a block is sent once a chunk.  The first search is in the query's own leaf and only sets a bound; the
+Queries move in chunks of ``CHUNK``, taken leaf by leaf, and a block is sent once to each chunk that needs it.  The first search is in the query's own leaf and only sets a bound; the
 second takes all other leaves that can hold anything at least as good.  Positives come first, then the windows of negatives
 below each positive.
 
@@ -33,7 +33,7 @@ POSITIVES, NEGATIVES = 5, 10
 #: Percentages of the positive's score between which a negative lies.
 LEAST, MOST = 30, 90
 SCALE = 256
-FAN, SAMPLE, BLOCK, CHUNK = 16, 4096, 2048, 1024
+FAN, SAMPLE, BLOCK, CHUNK = 16, 4096, 2048, 4096
 #: Sampled rows that a split needs for each of its points.
 SUPPORT = 8
 #: Distances are compared with this share of the largest one to spare.
@@ -213,8 +213,9 @@ class Index:
 
         def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
             whole = [np.asarray(rows.column(c).combine_chunks()).astype("<i8").tobytes() for c in ("row", "vec_id", "label")]
-            vectors = np.asarray(rows.column("vector").combine_chunks().flatten(), np.float64).tobytes()
-            data = [pa.array([x], pa.binary()) for x in (*whole, vectors)]
+            vectors = np.asarray(rows.column("vector").combine_chunks().flatten(), np.float64)
+            short = not vectors.size or np.abs(vectors).max() < 2.0**24  # exact as floats too
+            data = [pa.array([x], pa.binary()) for x in (*whole, vectors.astype("<f4" if short else "<f8").tobytes())]
             return pa.Table.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + data, names)
 
         bucket = F.pmod(F.xxhash64("row"), self.per_leaf(F.col("leaf"))).cast("int")
@@ -243,7 +244,8 @@ class Index:
             if not len(asked) or not len(block):
                 return schema.empty_table()
             rows, ids, labels = (np.frombuffer(block.column(c)[0].as_py(), "<i8") for c in ("rows", "ids", "labels"))
-            vectors = np.frombuffer(block.column("vectors")[0].as_py(), np.float64).reshape(len(rows), width)
+            data = block.column("vectors")[0].as_py()
+            vectors = np.frombuffer(data, "<f4" if len(data) == 4 * len(rows) * width else "<f8").astype(np.float64).reshape(len(rows), width)
             own_rows, own_labels = (np.asarray(asked.column(c).combine_chunks()) for c in ("row", "label"))
             scores = products(matrix(asked.column("vector"), width), vectors)
             out = []
@@ -295,8 +297,10 @@ def hard_negatives(
     index = Index(clean(rows), fan=fan, sample=sample, block=block)
     asked = index.rows.where(anchors)
     sizes = {r[0]: r[1] for r in asked.groupBy("leaf").count().collect()}  # one a leaf
-    chunks = F.element_at(F.array(*(F.lit(max(1, -(-sizes.get(k, 0) // chunk))) for k in range(index.tree.leaves))), F.col("leaf") + 1)
-    asked = cut(asked.withColumn("chunk", F.col("leaf") * F.lit(1 << 32) + F.pmod(F.xxhash64("row"), chunks)))
+    counts = np.array([sizes.get(k, 0) for k in range(index.tree.leaves)], np.int64)
+    of_leaf = lambda values: F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("leaf") + 1)
+    spot = of_leaf(np.cumsum(counts) - counts) + F.pmod(F.xxhash64("row"), of_leaf(np.maximum(counts, 1)))
+    asked = cut(asked.withColumn("chunk", F.floor(spot / chunk)))
     wide = asked.withColumn("low", F.array(F.lit(-FAR))).withColumn("high", F.array(F.lit(FAR)))
     near = cut(first(index.search(wide, positives, True, True), positives))
     bound = F.array(F.coalesce("bound", F.lit(-FAR)))
