@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from fieldcast.functions.dates import day_number
 from fieldcast.functions.ranks import bounded_quantile, exact_quantile, rank_counts
 from fieldcast.functions.stats import t_two_sided
+from fieldcast.operators import resampling
+from fieldcast.operators.resampling import Statistic
 
 
 def _y() -> Column:
@@ -201,15 +203,18 @@ def _packed(series: DataFrame, columns: Sequence[str], keys: Sequence[str], orde
     return packed.withColumn("_ok", ok).where(F.col("_ok").isNull()).drop("_ok")
 
 
-def bootstrap(series: DataFrame, columns: Sequence[str], statistic: Callable[[np.ndarray], float], n_draws: int,
+def bootstrap(series: DataFrame, columns: Sequence[str], statistic: Statistic | Callable[[np.ndarray], float], n_draws: int,
               blocksize: int | None = None, keys: Sequence[str] = (), seed: int = 7, draws_per_task: int = 250) -> DataFrame:
     """``(keys, draw, stat)``: the statistic of resampled daily series.
 
-    Rows, or non-overlapping blocks of consecutive rows, are drawn with replacement.
-    Draws spread over tasks in chunks; each draw seeds its own generator from its number,
-    so a recomputed task repeats the same resamples.
+    Rows, or non-overlapping blocks of consecutive rows, are drawn with replacement.  A
+    :class:`~fieldcast.operators.resampling.Statistic` is computed from sums of blocks.  A
+    function of the resampled rows is for what sums do not determine: there draws spread
+    over tasks in chunks, each with the whole series of a group.
     """
     keys, columns = list(keys), list(columns)
+    if isinstance(statistic, Statistic):
+        return resampling.bootstrap(series, columns, statistic, n_draws, (blocksize,), keys, seed).drop("blocksize")
     packed = _packed(series, columns, keys)
     chunks = F.sequence(F.lit(0), F.lit((n_draws - 1) // draws_per_task))
     tasks = packed.withColumn("_chunk", F.explode(chunks)).repartition(*keys, "_chunk")
@@ -235,8 +240,8 @@ def bootstrap(series: DataFrame, columns: Sequence[str], statistic: Callable[[np
 
 
 def bootstrap_quantiles(draws: DataFrame, quantiles: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Quantiles of the bootstrap distribution; NaN draws are left out."""
-    valid = draws.where(~F.isnan("stat"))
+    """Quantiles of the bootstrap distribution; draws without a value are left out."""
+    valid = draws.where(F.col("stat").isNotNull() & ~F.isnan("stat"))
     columns = [F.percentile("stat", F.lit(float(q))).alias("q" + f"{q:.2f}"[2:]) for q in quantiles]
     return valid.groupBy(*keys).agg(*columns)
 
@@ -253,29 +258,17 @@ def bootstrap_pvalue(draws: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.select(*keys, "estimate", p.alias("pvalue"))
 
 
-def brier_skill_statistic(data: np.ndarray) -> float:
-    """Skill of column 2 over the reference forecast in column 1 against outcomes in column 0."""
-    reference = np.mean((data[:, 1] - data[:, 0]) ** 2)
-    return (reference - np.mean((data[:, 2] - data[:, 0]) ** 2)) / reference
-
-
-def pearson_statistic(data: np.ndarray) -> float:
-    return float(np.corrcoef(data[:, 0], data[:, 1])[0, 1])
+#: Skill of column 2 over the reference forecast in column 1 against outcomes in column 0.
+brier_skill_statistic = resampling.BRIER_SKILL
+pearson_statistic = resampling.PEARSON
 
 
 def bootstrapped_skill(predictions: DataFrame, blocksizes: Sequence[int | None] = (None, 5, 15, 30, 60),
                        quantiles: Sequence[float] = (0.05, 0.5, 0.95), n_draws: int = 5000,
                        keys: Sequence[str] = ()) -> DataFrame:
-    """Skill-score intervals per block size from columns ``y``, ``base`` and ``p``."""
-    parts = []
-    for size in blocksizes:
-        draws = bootstrap(predictions, ["y", "base", "p"], brier_skill_statistic, n_draws, size, keys)
-        part = bootstrap_quantiles(draws, quantiles, keys)
-        parts.append(part.withColumn("blocksize", F.lit(size).cast("int")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Skill-score intervals per block size from columns ``y``, ``base`` and ``p``; all block sizes in one pass."""
+    draws = resampling.bootstrap(predictions, ["y", "base", "p"], brier_skill_statistic, n_draws, blocksizes, keys)
+    return bootstrap_quantiles(draws, quantiles, [*keys, "blocksize"])
 
 
 def _correlation(x: Column, y: Column) -> Column:

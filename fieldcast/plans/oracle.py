@@ -795,7 +795,8 @@ register(
 )
 register(
     "stream_closed_days", "hourly",
-    """SELECT cell, CAST(ts AS DATE) AS time, MAX(value) AS value FROM hourly WHERE ts < TIMESTAMP '2024-01-28' GROUP BY 1, 2""",
+    """SELECT cell, CAST(ts AS DATE) AS time, MAX(value) AS value FROM hourly
+    GROUP BY 1, 2 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM hourly)""",
 )
 register("stream_hour_slice", "hourly", "SELECT cell, CAST(ts AS DATE) AS time, value FROM hourly WHERE hour(ts) = 12")
 register(
@@ -804,6 +805,53 @@ register(
         QUALIFY time - MIN(time) OVER (PARTITION BY cell) = row_number() OVER (PARTITION BY cell ORDER BY time) - 1""",
 )
 
+# --- bootstrap -------------------------------------------------------------------------
+
+
+def _mixing(start: str, name: str) -> str:
+    """Columns ``name0`` to ``name2``: the same mixing of a number below 2^31 as in ``operators.resampling``."""
+    mask = 2147483647
+    return f"""({start}) & {mask} AS {name}_, (xor({name}_, {name}_ >> 15) * 739982445) & {mask} AS {name}0,
+        (xor({name}0, {name}0 >> 12) * 695872825) & {mask} AS {name}1, xor({name}1, {name}1 >> 15) AS {name}2"""
+
+
+def bootstrap_ctes(source: str, sums: str, n_draws: int, sizes: str, seed: int = 7) -> dict[str, str]:
+    """CTEs up to ``totals``: per block size and draw the sums of the drawn blocks."""
+    names = [part.rsplit(" AS ", 1)[1] for part in sums.split("; ")]
+    added = ", ".join(f"SUM({part.rsplit(' AS ', 1)[0]}) AS {name}" for part, name in zip(sums.split("; "), names))
+    again = ", ".join(f"SUM({name}) AS {name}" for name in names)
+    return {
+        "placed": f"SELECT *, row_number() OVER (ORDER BY time) - 1 AS i FROM {source}",
+        "blocks": f"""SELECT blocksize, i // coalesce(blocksize, 1) AS block, {added}
+            FROM placed CROSS JOIN (SELECT unnest({sizes}::INT[]) AS blocksize) GROUP BY 1, 2""",
+        "sizes": "SELECT blocksize, COUNT(*) AS n_blocks FROM blocks GROUP BY 1",
+        "draws": f"""SELECT draw, {_mixing(f"draw * 40503 + {seed}", "a")},
+            {_mixing("xor(a_, 1013904223)", "b")} FROM (SELECT unnest(range({n_draws})) AS draw)""",
+        "taken": f"""SELECT blocksize, draw, {_mixing("a2 + position * 2654435761", "p")}, {_mixing("xor(p2, b2)", "q")}, (q2 * n_blocks) >> 31 AS block
+            FROM draws CROSS JOIN (SELECT blocksize, n_blocks, unnest(range(n_blocks)) AS position FROM sizes)""",
+        "totals": f"""SELECT t.blocksize, t.draw, {again} FROM taken t
+            JOIN blocks b ON b.block = t.block AND b.blocksize IS NOT DISTINCT FROM t.blocksize GROUP BY 1, 2""",
+    }
+
+
+register(
+    "skill_intervals", "daily_forecasts",
+    """SELECT blocksize, ROUND(quantile_cont((reference - model) / reference, 0.05), 6) AS q05,
+        ROUND(quantile_cont((reference - model) / reference, 0.5), 6) AS q50, ROUND(quantile_cont((reference - model) / reference, 0.95), 6) AS q95
+        FROM totals GROUP BY 1""",
+    **bootstrap_ctes("daily_forecasts", "(base - y) * (base - y) AS reference; (p - y) * (p - y) AS model", 5000, "[NULL, 5, 15, 30, 60]"),
+)
+#: The two-sided tail of Student's t with an even number of degrees of freedom is a finite sum.
+register(
+    "bootstrap_correlation", "daily_forecasts",
+    """SELECT ROUND(estimate, 6) AS estimate, ROUND(1 - tail, 6) AS pvalue FROM (
+        SELECT MAX(m) AS estimate, MAX(abs(t) / sqrt(4998 + t * t)) * SUM(exp(lgamma(2.0::DOUBLE * k + 1) - 2 * lgamma(k + 1.0::DOUBLE) - 2 * k * ln(2.0::DOUBLE)
+            + k * ln(4998 / (4998 + t * t)))) AS tail
+        FROM (SELECT AVG(stat) AS m, AVG(stat) / stddev_pop(stat) AS t FROM correlations) CROSS JOIN (SELECT unnest(range(2499)) AS k))""",
+    **bootstrap_ctes("daily_forecasts", "1.0::DOUBLE AS n; y AS sx; p AS sy; y * y AS sxx; p * p AS syy; y * p AS sxy", 5000, "[15]"),
+    correlations="SELECT (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) AS stat FROM totals",
+)
+
 # --- models --------------------------------------------------------------------------
 WEEK = "cell, time, value FROM (SELECT cell, time, SUM(value) {w} / COUNT(value) {w} AS value, COUNT(value) {w} AS n FROM {f}) WHERE n = 7"
 W7_FLAG, W7_ALL = (f"SELECT {WEEK.format(w=FRAME.format(6), f=f)}" for f in ("flag_field", "target"))

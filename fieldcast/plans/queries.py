@@ -598,13 +598,13 @@ def val_train_ratio(spark, d):
 
 @query
 def skill_intervals(spark, d):
-    return verification.bootstrapped_skill(src.daily_forecasts(spark, d))
+    return _rounded(verification.bootstrapped_skill(src.daily_forecasts(spark, d)), "q05", "q50", "q95")
 
 
 @query
 def bootstrap_correlation(spark, d):
     draws = verification.bootstrap(src.daily_forecasts(spark, d), ["y", "p"], verification.pearson_statistic, 5000, 15)
-    return verification.bootstrap_pvalue(draws)
+    return _rounded(verification.bootstrap_pvalue(draws), "estimate", "pvalue")
 
 
 # --- inspection ----------------------------------------------------------------------
@@ -826,9 +826,10 @@ def stream_daily_mean(spark, d):
 
 @query
 def stream_closed_days(spark, d):
-    """Days already behind the watermark; the last ones stay open in state."""
+    """Days that end before the last event less the watermark's delay; of later ones some may stay open in state."""
     closed = streams.materialise(streams.daily_stream(_event_stream(spark, d), "max")).drop("complete")
-    return closed.where(F.col("time") < dt.date(2024, 1, 28))
+    behind = src.table(spark, d, "events", "ts").agg(F.max("ts") - F.expr("INTERVAL 1 DAY")).scalar()
+    return closed.where(F.col("time") + F.expr("INTERVAL 1 DAY") <= behind)
 
 
 @query
