@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldcast.session import cut
+
 #: Hashes are numbers below 2^31.
 MASK = (1 << 31) - 1
 MIXERS = ((15, 739_982_445), (12, 695_872_825))
@@ -67,7 +69,6 @@ def block_sums(series: DataFrame, columns: Sequence[str], statistic: Statistic,
     Without a block size (NULL) every row is a block.  The numbering sorts a group's days, so a day with several rows fails.
     """
     keys = list(keys)
-    group = Window.partitionBy(*keys).orderBy(order)
     data = series.select(*keys, F.col(order).alias("_t"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
     group = Window.partitionBy(*keys).orderBy("_t")
     again = F.assert_true(F.coalesce(F.lag("_t").over(group) < F.col("_t"), F.lit(True)), "bootstrap needs a daily series, one row per day")
@@ -94,11 +95,12 @@ def bootstrap(series: DataFrame, columns: Sequence[str], statistic: Statistic, n
     As many blocks as there are, are drawn with replacement.  A statistic without a value (of a constant resample) is NULL.
     """
     keys = [*keys, "blocksize"]
-    sums = block_sums(series, columns, statistic, blocksizes, keys[:-1], order)
+    # Written, so the planner knows its size: a small table of blocks is broadcast, a large one is shuffled.
+    sums = cut(block_sums(series, columns, statistic, blocksizes, keys[:-1], order))
     # A task makes the draws of some positions; partial sums are combined before the shuffle by draw.
     positions = sums.select(*keys, F.col("block").alias("position"), "n_blocks")
-    tasks = max(1, ROWS_A_TASK // n_draws)
-    dealt = positions.repartition(F.floor(F.col("position") / tasks), "blocksize")
+    together = max(1, ROWS_A_TASK // n_draws)
+    dealt = positions.repartition(max(1, -(-positions.count() // together)), *keys, "position")
     draws = dealt.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     taken = drawn(draws, "draw", "position", "n_blocks", seed, "block")
     met = _joined(taken.select(*keys, "draw", "block"), sums.drop("n_blocks"), [*keys, "block"])

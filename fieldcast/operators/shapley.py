@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast.operators.models import _fit, each_fold
@@ -53,18 +53,16 @@ def leaf_of(path: Sequence[tuple[int, bool, float]], value: float) -> Leaf:
     return Leaf(steps, lower, upper, value, features, owner, low, high)
 
 
-def forest_leaves(forest) -> list[Leaf]:
+def forest_leaves(forest, spark: SparkSession | None = None) -> list[Leaf]:
     """All leaves of a fitted forest; the values of the leaves a row falls in add up to its prediction.
 
-    They are read from the model's stored node table.  The prediction of a classifier is the probability of the
+    They are read from the model's stored node table, by ``spark`` where the calling thread has no session of its own.  The prediction of a classifier is the probability of the
     positive class, so the value of its leaf is the share of positives there.
     """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.active()
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/forest-{uuid.uuid4()}"
-    forest.write().save(path)
+    forest.write().session(spark).save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # trees x 2^(depth + 1) at most
     classes = hasattr(forest, "numClasses")
     trees: dict[int, dict[int, object]] = {}
@@ -231,7 +229,7 @@ def explain(forest, rows: DataFrame, background: DataFrame, names: Sequence[str]
     """
     if sample is not None:
         background = background.orderBy(F.xxhash64(F.lit(seed), "time")).limit(sample)
-    leaves, n = forest_leaves(forest), len(names)
+    leaves, n = forest_leaves(forest, rows.sparkSession), len(names)
     counted, covers = count_rows(background, leaves)
     whole = [int(c[b.all(axis=1)].sum()) / c.sum() if len(c) else 0.0 for b, c in counted]
     expected = float(sum(leaf.value * share for leaf, share in zip(leaves, whole)))

@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from fieldcast.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 # Three or four pairs per series at the smallest scale make residual ranks a matter of rounding.
@@ -29,3 +30,9 @@ def test_against_sql(spark, con, name):
     if verdict == "no rows":  # the smallest tables leave nothing to compare
         verdict = compare(spark, connect(LARGER), name, entry.queries()[name], entry.oracle_sql()[name], LARGER)
     assert verdict == ""
+
+
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(entry.oracle_sql())))
+def test_without_sql_as_registered(spark, name):
+    """Queries that no SQL repeats run as they are registered, and have rows."""
+    assert REGISTRY[name](spark, LARGER).count() > 0
