@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from fieldcast.llm.common import add_columns
 
 VOCABULARY = "word_bpe_49k.json"
+#: Marks that the vocabulary's splitting parts as one run from the letters before them.
+MARKS = ".,;:!?*#$%&|<>()[]{}=+-/\\\"_~^@"
 #: Words a task remembers before it starts anew; bounds the memory of a task, never the result.
 CACHED_WORDS = 400_000
 
@@ -28,8 +30,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class WordCache(dict):
     """Ids of a word as little-endian bytes.
 
-    For vocabularies that never join across a space or line feed and split letters from the full stop or comma behind
-    them, so that the ids of a text are those of its words in a row.  Such is the word-end vocabulary used here; the
+    For vocabularies that never join across a space or line feed, split letters from a run of marks behind
+    them and take no notice of case, so that the ids of a text are those of its words in a row.  Such is the word-end vocabulary used here; the
     tests compare with the encoding of whole texts.  A full cache becomes the old one, from which words that come again
     are taken over, so that frequent words stay.
     """
@@ -55,8 +57,9 @@ class WordCache(dict):
         return found
 
     def compute(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
-            return self[word[:-1]] + self[word[-1]]
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem.isalpha() and stem.lower().isalpha():
+            return self[stem] + self[word[len(stem):]]
         low = word.lower()
         if low.isascii() and low.isalpha():
             if low != word:
@@ -78,10 +81,13 @@ class WordCache(dict):
         if len(self) > CACHED_WORDS:
             self.old = dict(self)
             self.clear()
-        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        texts = texts.cast(pa.string()).fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # the names of special tokens alone heed case
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
         ends = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
-        found = [self[w] for w in coded.dictionary.to_pylist()]
+        found = [self[w] for w in coded.dictionary.to_numpy(zero_copy_only=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = np.frombuffer(b"".join(found), "<u4")
         word = np.asarray(coded.indices)
