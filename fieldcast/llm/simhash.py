@@ -4,9 +4,10 @@
 near-identity, so the general rule, ``near_duplicates``, is another one: texts whose sets of ``WIDE`` = 5 word shingles have a Jaccard
 similarity of ``SIMILAR`` = 0.8 at least.  One SimHash of 64 bits would need a radius of some 17 bits for it, beyond any blocks, so the
 fingerprints there are ``BANDS`` keys of ``DEPTH`` least hashes each: a pair at 0.8 shares none of them once in 65,000 times, a more
-similar one less often.  Candidates are verified by their whole shingle sets.  In a band that many texts share each is first compared
-to one centre, another one in each band; all pairs that these links leave in different components are compared after that, so no
-candidate is lost and few pairs are left in a group that the centres join; where they join little, up to all pairs of a band are compared.
+similar one less often.  Candidates are verified by their whole shingle sets.  In a band that many texts share each is compared
+to one centre, another one in each band.  Texts of bands that these links leave in different components are then joined by their rarest
+shingles: two sets at 0.8 share one of the fifth that is rarest in either, so no candidate is lost, and texts that have only a passage in
+common, however many, do not meet.
 
 A fingerprint has a bit set where over half of the text's shingle hashes have it.  Two fingerprints at most ``DISTANCE`` = 2 bits
 apart agree in at least three of five blocks of bits, so they share one of ten keys made of three blocks (some 38 bits).  Equal
@@ -30,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,8 +175,8 @@ def with_bands(docs: DataFrame, size: int) -> DataFrame:
     return add_columns(docs, "text", fields, make)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similar: float) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose shingle sets have a Jaccard similarity of ``similar`` at least."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``node, own``: the shingle hashes of the ``wanted`` nodes, written once."""
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:
             sets = (np.unique(shingles(t.translate(LOWER).split(), size)).view(np.int64) for t in texts.cast(pa.binary()).fill_null(b"").to_pylist())
@@ -183,15 +184,37 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, sim
 
         return work
 
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(nodes.select("node", "text_hash").join(ends, "node"))
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").select("node", "text").dropDuplicates(["node"])
-    sets = cut(add_columns(texts, "text", [T.StructField("own", T.ArrayType(T.LongType()))], make).drop("text"))
+    hashed = cut(nodes.select("node", "text_hash").join(wanted, "node"))
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(hashed, "text_hash").select("node", "text").dropDuplicates(["node"])
+    return cut(add_columns(texts, "text", [T.StructField("own", T.ArrayType(T.LongType()))], make).drop("text"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose shingle sets have a Jaccard similarity of ``similar`` at least."""
     left, right = (sets.select(F.col("node").alias(x), F.col("own").alias(f"of_{x}")) for x in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similar) * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
+    """``node, shingle``: of each set its rarest shingles, so many that two sets of similarity ``similar`` share one of them.
+
+    Rare is counted among ``sets``; of n shingles the n - ceil(similar n) + 1 rarest are needed.  Those of one set alone take up places
+    first but meet nothing, so they have no rows.
+    """
+    each = sets.select("node", F.size("own").alias("n"), F.explode("own").alias("shingle"))
+    shared = each.join(each.groupBy("shingle").agg(F.count("*").alias("in_sets")).where("in_sets > 1"), "shingle")
+    own = Window.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(own)
+    places = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1
+    ranked = shared.withColumn("place", F.row_number().over(own.orderBy("in_sets", "shingle"))).withColumn("alone", alone)
+    return ranked.where(F.col("alone") + F.col("place") <= places).select("node", "shingle")
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, size: int, similar: float) -> DataFrame:
     """Links ``(a, b)`` of nodes whose components are those of all verified candidates."""
     own = ["node", "many", "low", "high"]
@@ -209,15 +232,18 @@ def near_links(docs: DataFrame, nodes: DataFrame, size: int, similar: float) ->
     def named(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return cut(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
 
-    stars = met.where((F.col("node") != F.col("centre.node")) & alike("", "centre."))
-    near = cut(verified(docs, nodes, named(stars, "node", "centre.node"), size, similar))
+    stars = named(met.where((F.col("node") != F.col("centre.node")) & alike("", "centre.")), "node", "centre.node")
+    near = cut(verified(stars, shingle_sets(docs, nodes, ends(stars), size), similar))
     roots = components(near)
-    rooted = met.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = met.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
-    rest = cut(rooted.join(mixed, "key"))
-    left, right = (rest.select("key", *(F.col(c).alias(f"{x}_{c}") for c in (*own, "root"))) for x in "lr")
-    apart = left.join(right, "key").where(F.col("l_root") < F.col("r_root")).where(alike("l_", "r_"))
-    return near.union(verified(docs, nodes, named(apart, "l_node", "r_node"), size, similar))
+    rest = cut(rooted.join(mixed, "key").select("node", "root").distinct())
+    sets = shingle_sets(docs, nodes, rest.select("node"), size)
+    told = rest.join(nodes.select(*own), "node")
+    met_again = cut(rare_shingles(sets, similar).join(told, "node"))
+    left, right = (met_again.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in (*own, "root"))) for x in "lr")
+    apart = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("l_root") < F.col("r_root")) & alike("l_", "r_"))
+    return near.union(verified(named(apart, "l_node", "r_node"), sets, similar))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = WIDE, similar: float = SIMILAR) -> DataFrame:
