@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 class Region(NamedTuple):
-    """A latitude/longitude box given by the midpoints of its bounding cells."""
+    """A named box on the globe; its four limits are themselves cell centres, so cells on them belong to it."""
 
     name: str
     latmax: float
