@@ -19,8 +19,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldcast.operators import owen
 from fieldcast.operators.models import _fit, each_fold
-from fieldcast.session import ensure_checkpoint_dir
+from fieldcast.session import cut, ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -221,14 +222,27 @@ def count_rows(rows: DataFrame, leaves: Sequence[Leaf]) -> tuple[Counted, list[n
     return counted, covers
 
 
+def _least_hashes(background: DataFrame, sample: int | None, seed: int) -> DataFrame:
+    return background if sample is None else background.orderBy(F.xxhash64(F.lit(seed), "time")).limit(sample)
+
+
+def explain_grouped(forest, rows: DataFrame, background: DataFrame, names: Sequence[str], sample: int | None = None,
+                    seed: int = 7) -> DataFrame:
+    """The same frame by Owen values: features that go together in the background enter coalitions together."""
+    background = cut(_least_hashes(background, sample, seed).select("features"))
+    leaves = owen.leaf_table(rows.sparkSession, forest_leaves(forest, rows.sparkSession))
+    tree = owen.correlation_tree(background)
+    vectors = rows.select("time", vector_to_array("features").alias("x"))
+    return owen.owen_values(vectors, ["time"], _vectors(background), leaves, tree, names)
+
+
 def explain(forest, rows: DataFrame, background: DataFrame, names: Sequence[str], use_background: bool = True,
             sample: int | None = None, seed: int = 7) -> DataFrame:
     """``(time, feature, shap)`` of each row, plus one ``expected_value`` row per time.
 
     All rows of ``background`` count, or the ``sample`` rows with the least hashes of their day if that is given.
     """
-    if sample is not None:
-        background = background.orderBy(F.xxhash64(F.lit(seed), "time")).limit(sample)
+    background = _least_hashes(background, sample, seed)
     leaves, n = forest_leaves(forest, rows.sparkSession), len(names)
     counted, covers = count_rows(background, leaves)
     whole = [int(c[b.all(axis=1)].sum()) / c.sum() if len(c) else 0.0 for b, c in counted]
@@ -258,16 +272,25 @@ def compute_shaps(model, data: DataFrame, names: Sequence[str], n_folds: int, on
                   max_background: int | None = None) -> DataFrame:
     """Shapley values of the forest stage per fold: ``(fold, time, feature, shap)``.
 
-    For a classifier they explain the probability of the positive class.  ``sample`` is ``standard``, or ``negative`` for a
-    background of non-events only; ``max_background`` bounds the background rows, by default all count.
+    For a classifier they explain the probability of the positive class.  ``sample`` is ``standard``, ``negative`` for a
+    background of non-events only, or ``correlation`` for Owen values over the tree of correlated features of the events,
+    against those events.  ``max_background`` bounds the background rows, by default all count.
     """
+    if sample not in ("standard", "negative", "correlation"):
+        raise ValueError(f"no background is called {sample}")
+    if sample == "correlation" and not use_background:
+        raise ValueError("grouped features are hidden by rows of a background")
 
     def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
         fitted = _fit(model, train, val, None)
         background = train if bg_from_training else val
         if sample == "negative":
             background = background.where(F.col("y") == 0)
-        found = explain(fitted.forest, val if on_validation else train, background, names, use_background, max_background)
+        explained = val if on_validation else train
+        if sample == "correlation":
+            found = explain_grouped(fitted.forest, explained, background.where(F.col("y") == 1), names, max_background)
+        else:
+            found = explain(fitted.forest, explained, background, names, use_background, max_background)
         return found.select(F.lit(k).alias("fold"), "time", "feature", "shap")
 
     return each_fold(data, n_folds, work)

@@ -741,6 +741,39 @@ register(
         FROM cluster_fields WHERE lag <> 0""",
 )
 
+# --- values of grouped features ------------------------------------------------------
+# From the definition: the mean gain of a feature over all orders of the five in which (quantity, price) stand side by side, so do
+# these two and the line number, and so do discount and tax.  A set of features is the sum of their powers of two.
+TURNS = [
+    [*first, *second] if forth else [*second, *first]
+    for first in ([0, 1, 4], [1, 0, 4], [4, 0, 1], [4, 1, 0]) for second in ([2, 3], [3, 2]) for forth in (True, False)
+]
+STEPS = ", ".join(f"({f}, {sum(1 << g for g in turn[:at])})" for turn in TURNS for at, f in enumerate(turn))
+SPLITS = {"a": ("q <= 20", 0), "b": ("d <= 4", 2), "c": ("c <= 4000000", 1), "e": ("q <= 35", 0), "f": ("t <= 3", 3),
+          "g": ("c <= 2500000", 1), "h": ("l_linenumber <= 2", 4), "k": ("d <= 7", 2)}
+SHOWS = ", ".join(f"{cond} AS s{name}" for name, (cond, _) in SPLITS.items())
+NAMED = ", ".join(f"s{name}" for name in SPLITS)
+MIXED = {name: f"(CASE WHEN (s >> {f}) & 1 = 1 THEN x.s{name} ELSE o.s{name} END)" for name, (_, f) in SPLITS.items()}
+register(
+    "owen_values", "",
+    """SELECT l_orderkey, l_linenumber, feature, ROUND(shap, 8) AS shap FROM l JOIN shaps USING (%s)
+        UNION ALL SELECT l_orderkey, l_linenumber, 'expected_value', ROUND(v, 8) FROM l JOIN v USING (%s) WHERE s = 0""" % (NAMED, NAMED),
+    items="""SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS c,
+        CAST(ROUND(l_discount * 100) AS INT) AS d, CAST(ROUND(l_tax * 100) AS INT) AS t FROM lineitem""",
+    l=f"""SELECT l_orderkey, l_linenumber, {SHOWS} FROM (SELECT l_orderkey, l_linenumber, SUM(q) AS q, SUM(c) AS c, MAX(d) AS d, MAX(t) AS t
+        FROM items GROUP BY 1, 2)""",
+    x=f"SELECT DISTINCT {NAMED} FROM l",
+    o=f"SELECT {NAMED}, COUNT(*) AS n FROM (SELECT {SHOWS} FROM items) GROUP BY ALL",
+    v=f"""SELECT {", ".join("x.s" + name for name in SPLITS)}, s, SUM(n *
+        (CASE WHEN {MIXED["a"]} THEN CASE WHEN {MIXED["b"]} THEN 1 ELSE 3 END
+            WHEN {MIXED["c"]} THEN CASE WHEN {MIXED["e"]} THEN 2 ELSE 5 END ELSE 8 END
+        + CASE WHEN {MIXED["f"]} THEN CASE WHEN {MIXED["g"]} THEN 0 ELSE 4 END
+            WHEN {MIXED["h"]} THEN 6 WHEN {MIXED["k"]} THEN 1 ELSE 9 END)) / SUM(n)::DOUBLE AS v
+        FROM x CROSS JOIN o CROSS JOIN (SELECT unnest(range(32)) AS s) GROUP BY ALL""",
+    shaps=f"""SELECT {NAMED}, ['quantity', 'price', 'discount', 'tax', 'line'][f + 1] AS feature, SUM(w.v - b.v) / {len(TURNS)}.0::DOUBLE AS shap
+        FROM (VALUES {STEPS}) steps(f, before) JOIN v b ON b.s = before JOIN v w USING ({NAMED}) WHERE w.s = before + (1 << f) GROUP BY ALL""",
+)
+
 # --- distances and clustering --------------------------------------------------------
 # Every pair of cells is in the matrix, also one without a day in common.
 register(

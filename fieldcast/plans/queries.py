@@ -16,7 +16,7 @@ from fieldcast.functions.keys import collapse, restore
 from fieldcast.functions.ranks import exact_quantile
 from fieldcast.functions.stats import detrend
 from fieldcast.operators import association as assoc
-from fieldcast.operators import climate, clustering, distances, folds, hierarchy, inspection, models, reduction, shapley, temporal, trends, verification
+from fieldcast.operators import climate, clustering, distances, folds, hierarchy, inspection, models, owen, reduction, shapley, temporal, trends, verification
 from fieldcast.plans import flows
 from fieldcast.sources import adapters as src
 from fieldcast.sources import fields, ingest
@@ -763,6 +763,43 @@ def shap_values(spark, d):
     return shapley.compute_shaps(models.Hybrid(**FOREST), model_rows(spark, d, 2), FEATURE_NAMES, 2)
 
 
+#: Two given trees over quantity, price in cents, discount and tax in percent, and line number: (feature, threshold, left, right).
+GIVEN_TREES = (
+    (0, 20, (2, 4, 1.0, 3.0), (1, 4_000_000, (0, 35, 2.0, 5.0), 8.0)),
+    (3, 3, (1, 2_500_000, 0.0, 4.0), (4, 2, 6.0, (2, 7, 1.0, 9.0))),
+)
+LINE_NAMES = ["quantity", "price", "discount", "tax", "line"]
+LINE_TREE = (((0, 1), 4), (2, 3))
+
+
+def _given_leaves(tree, path=()):
+    if not isinstance(tree, tuple):
+        return [shapley.leaf_of(path, tree)]
+    feature, threshold, left, right = tree
+    return _given_leaves(left, (*path, (feature, True, threshold))) + _given_leaves(right, (*path, (feature, False, threshold)))
+
+
+def _lines(spark, d):
+    """Features of order lines, rows of the same line summed, and those of all rows as the background."""
+    percent = {c: F.round(F.col(f"l_{c}") * 100).cast("int") for c in ("discount", "tax")}
+    items = src.table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"), src.cents("l_extendedprice").alias("c"),
+        percent["discount"].alias("d"), percent["tax"].alias("t"),
+    )
+    lines = items.groupBy("l_orderkey", "l_linenumber").agg(
+        F.sum("q").alias("q"), F.sum("c").alias("c"), F.max("d").alias("d"), F.max("t").alias("t")
+    )
+    x = F.array(*[F.col(c).cast("double") for c in ("q", "c", "d", "t", "l_linenumber")]).alias("x")
+    return lines.select("l_orderkey", "l_linenumber", x), items.select(x)
+
+
+@query
+def owen_values(spark, d):
+    rows, background = _lines(spark, d)
+    leaves = owen.leaf_table(spark, [leaf for tree in GIVEN_TREES for leaf in _given_leaves(tree)])
+    return _rounded(owen.owen_values(rows, ["l_orderkey", "l_linenumber"], background, leaves, LINE_TREE, LINE_NAMES), "shap", digits=8)
+
+
 # --- distances and clustering --------------------------------------------------------
 
 

@@ -143,3 +143,20 @@ def test_too_deep_trees_are_refused(data):
     deep = replace(models.Hybrid(n_estimators=1, max_depth=30, max_features=3)).fit(data)
     depth, nodes, leaves = models.forest_properties(deep.forest)
     assert depth <= 30 and nodes == 2 * leaves - 1
+
+
+def test_grouped_background_explains_the_model_against_events(data):
+    model = models.Classifier(n_estimators=4, max_depth=3, max_features=3)
+    two = data.withColumn("fold", F.col("fold") % 2)
+    out = shapley.compute_shaps(model, two, NAMES, 2, sample="correlation").cache()
+    assert out.count() == two.count() * (len(NAMES) + 1)
+    fitted = model.fit(two.where("fold <> 0"))
+    events = two.where("fold <> 0 and y = 1")
+    expected = fitted.predict(events).agg(F.avg("p")).first()[0]
+    found = out.where("fold = 0 and feature = 'expected_value'").agg(F.min("shap"), F.max("shap")).first()
+    assert found[0] == pytest.approx(expected, abs=1e-9) and found[1] == pytest.approx(expected, abs=1e-9)
+    sums = out.where("fold = 0").groupBy("time").agg(F.sum("shap").alias("s"))
+    predicted = fitted.predict(two.where("fold = 0")).select("time", "p")
+    assert all(r.s == pytest.approx(r.p, abs=1e-9) for r in sums.join(predicted, "time").collect())
+    with pytest.raises(ValueError):
+        shapley.compute_shaps(model, two, NAMES, 2, sample="other")
