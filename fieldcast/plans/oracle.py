@@ -786,6 +786,17 @@ register(
     together="""SELECT a.cell AS i, b.cell AS j, COUNT(*) AS n FROM m a JOIN m b ON a.time = b.time AND a.y AND b.y AND a.cell < b.cell
         GROUP BY 1, 2""",
 )
+register(
+    "jaccard_near", "supplier_field",
+    """SELECT a.cell AS i, b.cell AS j, ROUND(1 - n::DOUBLE / (a.k + b.k - n), 9) AS dist FROM together t
+        JOIN c a ON a.cell = t.i JOIN c b ON b.cell = t.j WHERE 1 - n::DOUBLE / (a.k + b.k - n) <= 0.65::DOUBLE
+        UNION ALL SELECT a.cell, b.cell, 0.0::DOUBLE FROM c a JOIN c b ON a.k = 0 AND b.k = 0 AND a.cell < b.cell""",
+    sums="SELECT cell - k AS cell, time, SUM(value)::BIGINT AS value FROM supplier_field CROSS JOIN (SELECT unnest(range(8)) AS k) GROUP BY 1, 2",
+    m=f"SELECT *, value > quantile_cont(value, 0.75) OVER (PARTITION BY cell) AS y FROM sums WHERE {JJA}",
+    c="SELECT cell, COUNT(*) FILTER (y) AS k FROM m GROUP BY cell",
+    together="""SELECT a.cell AS i, b.cell AS j, COUNT(*) AS n FROM m a JOIN m b ON a.time = b.time AND a.y AND b.y AND a.cell < b.cell
+        GROUP BY 1, 2""",
+)
 register(
     "max_correlation", "nation_field",
     """SELECT a.cell AS i, b.cell AS j, ROUND(1 - MAX(COALESCE(num, 0) / sqrt(a.ss * b.ss)), 6) AS dist FROM norms a
