@@ -786,12 +786,13 @@ register(
     together="""SELECT a.cell AS i, b.cell AS j, COUNT(*) AS n FROM m a JOIN m b ON a.time = b.time AND a.y AND b.y AND a.cell < b.cell
         GROUP BY 1, 2""",
 )
+SMOOTH = "SELECT cell - k AS cell, time, SUM(value)::BIGINT AS value FROM supplier_field CROSS JOIN (SELECT unnest(range(8)) AS k) GROUP BY 1, 2"
 register(
     "jaccard_near", "supplier_field",
     """SELECT a.cell AS i, b.cell AS j, ROUND(1 - n::DOUBLE / (a.k + b.k - n), 9) AS dist FROM together t
         JOIN c a ON a.cell = t.i JOIN c b ON b.cell = t.j WHERE 1 - n::DOUBLE / (a.k + b.k - n) <= 0.65::DOUBLE
         UNION ALL SELECT a.cell, b.cell, 0.0::DOUBLE FROM c a JOIN c b ON a.k = 0 AND b.k = 0 AND a.cell < b.cell""",
-    sums="SELECT cell - k AS cell, time, SUM(value)::BIGINT AS value FROM supplier_field CROSS JOIN (SELECT unnest(range(8)) AS k) GROUP BY 1, 2",
+    sums=SMOOTH,
     m=f"SELECT *, value > quantile_cont(value, 0.75) OVER (PARTITION BY cell) AS y FROM sums WHERE {JJA}",
     c="SELECT cell, COUNT(*) FILTER (y) AS k FROM m GROUP BY cell",
     together="""SELECT a.cell AS i, b.cell AS j, COUNT(*) AS n FROM m a JOIN m b ON a.time = b.time AND a.y AND b.y AND a.cell < b.cell
@@ -809,6 +810,19 @@ register(
     r="""SELECT a.cell AS i, b.cell AS j, b.lag, SUM(a.d * b.d) AS num FROM dev a JOIN dev b
         ON b.time = a.time AND a.lag = 0 AND a.cell < b.cell GROUP BY 1, 2, 3""",
 )
+register(
+    "correlation_near", "supplier_field",
+    """SELECT i, j, dist FROM (SELECT r.i, r.j, ROUND(1 - MAX(num / sqrt(a.ss * b.ss)), 6) AS dist, MAX(num / sqrt(a.ss * b.ss)) AS best FROM r
+        JOIN norms a ON a.cell = r.i AND a.lag = 0 JOIN norms b ON b.cell = r.j AND b.lag = r.lag GROUP BY 1, 2)
+        WHERE 1 - best <= 0.4::DOUBLE""",
+    sums=SMOOTH,
+    moved="""SELECT cell, lag, CAST(time - lag AS DATE) AS time, value FROM sums CROSS JOIN (SELECT unnest([-5, 0, 5]) AS lag)
+        WHERE time - lag IN (SELECT time FROM sums)""",
+    dev="SELECT *, value - AVG(value) OVER (PARTITION BY cell, lag) AS d FROM moved",
+    norms="SELECT cell, lag, SUM(d * d) AS ss FROM dev GROUP BY 1, 2",
+    r="""SELECT a.cell AS i, b.cell AS j, b.lag, SUM(a.d * b.d) AS num FROM dev a JOIN dev b
+        ON b.time = a.time AND a.lag = 0 AND a.cell < b.cell GROUP BY 1, 2, 3""",
+)
 HAVERSINE = """2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(a.lat) - radians(b.lat)) / 2), 2)
     + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(a.lon) - radians(b.lon)) / 2), 2)))"""
 for name, column, limit in (("haversine_neighbours", "km", 700), ("haversine_matrix", "dist", 500)):

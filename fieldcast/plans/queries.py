@@ -813,18 +813,23 @@ def jaccard(spark, d):
     return _rounded(distances.jaccard_distances(_marked(spark, d)), "dist", digits=9)
 
 
-def _smooth_marked(spark, d):
-    """Exceedances of sums over eight suppliers in a row, so that neighbours have most of their days in common."""
+def _smooth_field(spark, d):
+    """Sums over eight suppliers in a row, so that neighbours have most of their value in common."""
     spread = src.supplier_field(spark, d).select(
         F.explode(F.sequence(F.col("cell") - 7, F.col("cell"))).alias("cell"), "time", "value"
     )
-    field = temporal.season_filter(spread.groupBy("cell", "time").agg(F.sum("value").alias("value")), "JJA")
-    return verification.exceedance(field, 0.75, keys=["cell"], bounded=True)
+    return spread.groupBy("cell", "time").agg(F.sum("value").alias("value"))
 
 
 @query
 def jaccard_near(spark, d):
-    return _rounded(distances.jaccard_distances(_smooth_marked(spark, d), max_dist=0.65), "dist", digits=9)
+    marked = verification.exceedance(temporal.season_filter(_smooth_field(spark, d), "JJA"), 0.75, keys=["cell"], bounded=True)
+    return _rounded(distances.jaccard_distances(marked, max_dist=0.65), "dist", digits=9)
+
+
+@query
+def correlation_near(spark, d):
+    return _rounded(distances.max_correlation_distances(_smooth_field(spark, d), [-5, 0, 5], max_dist=0.4), "dist")
 
 
 @query
