@@ -6,6 +6,10 @@ forecasts.  Here a group is cut twice into at most ``FANOUT + 1`` value slices b
 minimum and maximum, so one task sorts only a slice of a slice; slice totals are then
 scanned on tables of at most ``FANOUT + 1`` rows per parent.  Equal values are counted
 before anything is shuffled by group, so a value held by a third of all rows is one row.
+
+Values that span many powers of ten, such as p-values, would all fall in one slice of equal width.  ``even`` slices are
+cut by counts instead: distinct values are counted on a logarithmic scale, and neighbouring steps of it are put together
+until a slice has its share.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from fieldcast.session import cut
 
 FANOUT = 512
+#: Steps a power of two of the scale on which even slices are counted.
+STEPS = 32
 
 
 def average_rank(keys: list[str], value: str) -> Column:
@@ -43,9 +49,29 @@ def _slice(df: DataFrame, keys: list[str], value: str, out: str, total: str | No
     return df.withColumn(out, bucket.cast("int")).drop("_lo", "_hi")
 
 
-def sliced(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _step(value: str) -> Column:
+    """Step of a scale with ``STEPS`` per power of two, in the order of the values; at most some 70,000 of them exist."""
+    size = F.floor(F.log2(F.abs(value)) * STEPS).cast("int") + 1100 * STEPS  # the least double is 2^-1074
+    return F.when(F.col(value) > 0, size).when(F.col(value) < 0, -size).otherwise(0)
+
+
+def _even_slice(counted: DataFrame, keys: list[str], value: str, out: str, total: str) -> DataFrame:
+    """Slices of about the same number of distinct values; one step of the scale is never cut."""
+    stepped = counted.withColumn("_step", _step(value))
+    steps = stepped.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("_k"), F.sum(total).alias("_n"))
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("_k").over(group.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = (before + F.col("_k") / 2) / F.sum("_k").over(group)
+    cuts = steps.select(
+        *keys, "_step", F.least(F.floor(middle * FANOUT), F.lit(FANOUT - 1)).cast("int").alias(out), F.sum("_n").over(group).alias("n_total")
+    )
+    return stepped.join(cuts, [*keys, "_step"]).drop("_step")
+
+
+def sliced(counted: DataFrame, keys: list[str], value: str, even: bool = False) -> DataFrame:
     """Distinct values with count ``n``, cut into slices, with the group's ``n_total``."""
-    return _slice(_slice(counted, keys, value, "_b1", "n"), [*keys, "_b1"], value, "_b2")
+    first = _even_slice(counted, keys, value, "_b1", "n") if even else _slice(counted, keys, value, "_b1", "n")
+    return _slice(first, [*keys, "_b1"], value, "_b2")
 
 
 def scan(rows: DataFrame, keys: list[str], value: str, amount: str, out: str, how: str = "sum",
@@ -75,7 +101,8 @@ def scan(rows: DataFrame, keys: list[str], value: str, amount: str, out: str, ho
     return rows.withColumn(out, total).drop("_o1", "_o2", "_own")
 
 
-def rank_counts(df: DataFrame, keys: list[str], value: str, keep_slices: bool = False, **totals: Column) -> DataFrame:
+def rank_counts(df: DataFrame, keys: list[str], value: str, keep_slices: bool = False, even: bool = False,
+                **totals: Column) -> DataFrame:
     """Per distinct value: its count ``n``, how many rows lie up to it, and the group's size.
 
     Lowest, average and highest rank of a value are ``n_upto - n + 1``,
@@ -89,7 +116,7 @@ def rank_counts(df: DataFrame, keys: list[str], value: str, keep_slices: bool =
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in totals.items()])
     )
-    ranked = scan(sliced(counted, keys, value), keys, value, "n", "n_upto")
+    ranked = scan(sliced(counted, keys, value, even), keys, value, "n", "n_upto")
     return ranked if keep_slices else ranked.drop("_b1", "_b2")
 
 

@@ -223,7 +223,7 @@ def adjusted_pvalues(tests: DataFrame, keys: Sequence[str], pvalue: str = "pvalu
     of :mod:`fieldcast.functions.ranks`; no group is sorted in one task, whatever its size.
     """
     keys = list(keys)
-    ranked = rank_counts(tests, keys, pvalue, keep_slices=True)
+    ranked = rank_counts(tests, keys, pvalue, keep_slices=True, even=True)
     ranked = ranked.withColumn("_raw", F.col(pvalue) * F.col("n_total") / F.col("n_upto"))
     table = scan(ranked, keys, pvalue, "_raw", out, how="min", descending=True)
     return table.select(*keys, pvalue, "n", F.least(F.lit(1.0), out).alias(out))
@@ -231,7 +231,7 @@ def adjusted_pvalues(tests: DataFrame, keys: Sequence[str], pvalue: str = "pvalu
 
 def fdr_threshold(tests: DataFrame, keys: Sequence[str], alpha: float, pvalue: str = "pvalue") -> DataFrame:
     """Largest p-value still rejected per group (NULL when none is), and the group size."""
-    ranked = rank_counts(tests, list(keys), pvalue)
+    ranked = rank_counts(tests, list(keys), pvalue, even=True)
     passed = F.col(pvalue) <= F.col("n_upto") / F.col("n_total") * alpha
     return ranked.groupBy(*keys).agg(
         F.max("n_total").alias("n_tests"), F.max(F.when(passed, F.col(pvalue))).alias("p_cut")

@@ -545,7 +545,7 @@ register(
 )
 ADJUSTED = """SELECT lag, fold, pvalue, n, least(1.0::DOUBLE, MIN(pvalue * m / k) OVER (PARTITION BY lag, fold ORDER BY pvalue DESC)) AS p_adj
     FROM (SELECT lag, fold, pvalue, k, m, COUNT(*) AS n FROM o GROUP BY ALL)"""
-register("fdr_adjusted", "tests", "SELECT lag, fold, pvalue, n, ROUND(CAST(CAST(p_adj AS FLOAT) AS DOUBLE), 10) AS p_adj FROM a", o=ORDERED, a=ADJUSTED)
+register("fdr_adjusted", "tests", "SELECT lag, fold, pvalue, n, p_adj FROM a", o=ORDERED, a=ADJUSTED)
 register(
     "significant_fractions", "tests",
     """SELECT lag, fold, ROUND(SUM(CASE WHEN pvalue < 0.05 THEN n ELSE 0 END) / SUM(n), 5) AS before,

@@ -467,8 +467,7 @@ def fdr_mask(spark, d):
 
 @query
 def fdr_adjusted(spark, d):
-    out = assoc.adjusted_pvalues(_tests(spark, d), ["lag", "fold"])
-    return out.withColumn("p_adj", F.round(F.col("p_adj").cast("float").cast("double"), 10))
+    return assoc.adjusted_pvalues(_tests(spark, d), ["lag", "fold"])
 
 
 @query
