@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -27,7 +27,10 @@ from fieldcast.functions.dates import julian_date
 from fieldcast.operators.folds import with_year_fold
 from fieldcast.operators.reduction import wide
 from fieldcast.operators.verification import evaluate, val_train_ratio
+from fieldcast.session import cut
 
+MAX_STEPS = 100  # of Newton's method; a handful is usual.
+EPOCH = 2451545.0  # Days are counted from here while they are squared.
 MAX_DEPTH = 30  # Spark's limit on tree depth.
 
 
@@ -53,8 +56,7 @@ def training_frame(features_long: DataFrame, response: DataFrame, names: Sequenc
 class BaseRate:
     """Logistic regression of the event on the standardised date: the trend in base rate.
 
-    The penalty ``1 / (C n)`` on the mean loss equals a unit L2 penalty against ``C`` times
-    the summed loss, with a free intercept.
+    A unit L2 penalty on the slope against ``C`` times the summed loss, with a free intercept, solved by Newton's method.
     """
 
     C: float = 1.0
@@ -64,17 +66,7 @@ class BaseRate:
     intercept: float = 0.0
 
     def fit(self, rows: DataFrame) -> BaseRate:
-        dated = rows.select("y", julian_date("time").alias("_j"))
-        n, mean, scale = dated.agg(F.count("y"), F.avg("_j"), F.stddev_pop("_j")).first()
-        scale = scale or 1.0
-        z = dated.select("y", ((F.col("_j") - mean) / scale).alias("z"))
-        vectors = VectorAssembler(inputCols=["z"], outputCol="features").transform(z)
-        fitted = LogisticRegression(
-            labelCol="y", regParam=1 / (self.C * n), elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=200
-        ).fit(vectors)
-        if fitted.summary.totalIterations >= 200:
-            raise RuntimeError("the base rate has not converged after 200 iterations")
-        return replace(self, mean=mean, scale=scale, slope=float(fitted.coefficients[0]), intercept=float(fitted.intercept))
+        return _newton(self, _by_day(rows.withColumn("fold", F.lit(0))), [-1])[-1]
 
     def predict(self, time: str = "time") -> Column:
         return 1 / (1 + F.exp(-self.log_odds(time)))
@@ -93,6 +85,69 @@ class BaseRate:
         return rows.select("time", (self.log_odds() - centre).alias("shap"), centre.alias("expected"))
 
 
+def _by_day(rows: DataFrame) -> DataFrame:
+    """Rows and events per fold and day: as many rows as the calendar has days."""
+    days = rows.where(F.col("y").isNotNull()).groupBy("fold", (julian_date("time") - EPOCH).alias("j"))
+    return cut(days.agg(F.count("y").alias("n"), F.sum(F.col("y").cast("double")).alias("events")))
+
+
+def _newton(base: BaseRate, days: DataFrame, left_out: Sequence[int]) -> dict[int, BaseRate]:
+    """The base rate without each of the folds ``left_out``; a step of all of them is one aggregation with a row a fold."""
+
+    def moments(fits: Column, *sums: Column) -> dict[int, tuple]:
+        spread = days.select("*", F.explode(fits).alias("m")).where(F.col("fold") != F.col("m.k"))
+        spread = spread.withColumn("z", (F.col("j") - F.col("m.mean")) / F.col("m.scale"))
+        spread = spread.withColumn("p", 1 / (1 + F.exp(-(F.col("m.b0") + F.col("m.b1") * F.col("z")))))
+        return {r[0]: tuple(r)[1:] for r in spread.groupBy("m.k").agg(*sums).collect()}
+
+    def told(state: dict[int, tuple]) -> Column:
+        names = ("mean", "scale", "b0", "b1")
+        return F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(v)).alias(c) for c, v in zip(names, row)]) for k, row in state.items()])
+
+    n, j = F.col("n"), F.col("j")
+    found = moments(told({k: (0, 1, 0, 0) for k in left_out}), F.sum(n), F.sum(n * j), F.sum(n * j * j), F.sum("events"))
+    if set(found) != set(left_out):
+        raise ValueError("a base rate needs rows to be fitted to")
+    state, open_fits, done = {}, set(left_out), {}
+    for k, (rows, first, second, events) in found.items():
+        mean = first / rows
+        state[k] = (mean, math.sqrt(max(second / rows - mean * mean, 0.0)) or 1.0, 0.0, 0.0)
+        if events in (0, rows):  # nothing to weigh: the chance is 0 or 1 on all days
+            done[k] = (*state[k][:2], math.inf if events else -math.inf, 0.0)
+            open_fits.discard(k)
+    off, w = n * F.col("p") - F.col("events"), n * F.col("p") * (1 - F.col("p"))
+    z = F.col("z")
+    sums = (F.sum(off), F.sum(off * z), F.sum(w), F.sum(w * z), F.sum(w * z * z))
+    for _ in range(MAX_STEPS):
+        if not open_fits:
+            break
+        for k, (g0, g1, h00, h01, h11) in moments(told({k: state[k] for k in sorted(open_fits)}), *sums).items():
+            mean, scale, b0, b1 = state[k]
+            g1, h11 = g1 + b1 / base.C, h11 + 1 / base.C
+            det = h00 * h11 - h01 * h01
+            d0, d1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+            short = min(1.0, 4 / max(abs(d0), abs(d1), 1e-300))  # steps from a flat part would overshoot
+            state[k] = (mean, scale, b0 - short * d0, b1 - short * d1)
+            if max(abs(d0), abs(d1)) < 1e-10:
+                done[k] = state[k]
+                open_fits.discard(k)
+    if open_fits:
+        raise RuntimeError(f"the base rate has not converged after {MAX_STEPS} steps")
+    return {k: replace(base, mean=m + EPOCH, scale=s, intercept=b0, slope=b1) for k, (m, s, b0, b1) in done.items()}
+
+
+def fold_bases(model, data: DataFrame, n_folds: int, balance_training: str | None = None) -> dict[int, BaseRate]:
+    """The base of a hybrid model per validation fold, all fitted together; empty where each fold has to fit its own.
+
+    A greedy base is fitted to all rows, so the folds share it.  Balanced rows differ from fold to fold.
+    """
+    if not isinstance(model, Hybrid) or (balance_training and not model.greedy_base):
+        return {}
+    if model.greedy_base:
+        return dict.fromkeys(range(n_folds), model.base.fit(data))
+    return _newton(model.base, _by_day(data), list(range(n_folds)))
+
+
 @dataclass(frozen=True)
 class Hybrid:
     """Base rate, plus a forest on what it leaves: ``clip(base + forest(features), 0, 1)``."""
@@ -108,11 +163,12 @@ class Hybrid:
     base: BaseRate = field(default_factory=BaseRate)
     forest: object = None
 
-    def fit(self, train: DataFrame, everything: DataFrame | None = None) -> Hybrid:
-        """``everything`` (training plus validation rows) feeds the base only when greedy."""
-        if self.greedy_base and everything is None:
-            raise ValueError("a greedy base needs the full data")
-        base = self.base.fit(everything if self.greedy_base else train)
+    def fit(self, train: DataFrame, everything: DataFrame | None = None, base: BaseRate | None = None) -> Hybrid:
+        """``everything`` (training plus validation rows) feeds the base only when greedy; a fitted ``base`` stays as it is."""
+        if base is None:
+            if self.greedy_base and everything is None:
+                raise ValueError("a greedy base needs the full data")
+            base = self.base.fit(everything if self.greedy_base else train)
         if self.base_only:
             return replace(self, base=base)
         residual = train.withColumn("_target", F.col("y") - base.predict())
@@ -190,8 +246,10 @@ def balance(train: DataFrame, how: str, seed: int = 7) -> DataFrame:
     raise ValueError("how should be oversample or undersample")
 
 
-def _fit(model, train: DataFrame, val: DataFrame, how: str | None):
+def _fit(model, train: DataFrame, val: DataFrame, how: str | None, base: BaseRate | None = None):
     rows = balance(train, how) if how else train
+    if base is not None:
+        return model.fit(rows, base=base)
     return model.fit(rows, train.unionByName(val)) if model.greedy_base else model.fit(rows)
 
 
@@ -219,8 +277,11 @@ def cached(data: DataFrame) -> DataFrame:
 def fit_predict(model, data: DataFrame, n_folds: int, balance_training: str | None = None) -> DataFrame:
     """Out-of-fold predictions ``(fold, time, y, base, p)`` of every row; sort by ``time`` where order matters."""
 
+    data = cached(data)
+    bases = fold_bases(model, data, n_folds, balance_training)
+
     def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
-        out = _fit(model, train, val, balance_training).predict(val)
+        out = _fit(model, train, val, balance_training, bases.get(k)).predict(val)
         return out.select(*[c for c in ("fold", "time", "y", "base", "p") if c in out.columns])
 
     return each_fold(data, n_folds, work)
@@ -242,8 +303,11 @@ def fit_predict_evaluate(model, data: DataFrame, n_folds: int, scores: Sequence[
                          balance_training: str | None = None) -> DataFrame:
     """Scores per fold on unseen rows, optionally with their ratio to scores on seen rows."""
 
+    data = cached(data)
+    bases = fold_bases(model, data, n_folds, balance_training)
+
     def work(k: int, train: DataFrame, val: DataFrame) -> DataFrame:
-        fitted = _fit(model, train, val, balance_training)
+        fitted = _fit(model, train, val, balance_training, bases.get(k))
         unseen = evaluate(fitted.predict(val), scores, ["fold"])
         if compare_val_train:
             seen = evaluate(fitted.predict(train).withColumn("fold", F.lit(k)), scores, ["fold"])

@@ -917,17 +917,20 @@ STEP = """SELECT k + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1
     FROM (SELECT MAX(k) AS k, MAX(b0) AS b0, MAX(b1) AS b1, SUM(q - y) AS g0, SUM((q - y) * z) + MAX(b1) AS g1,
         SUM(q * (1 - q)) AS h00, SUM(q * (1 - q) * z) AS h01, SUM(q * (1 - q) * z * z) + 1 AS h11
         FROM (SELECT i.k, i.b0, i.b1, s.z, s.y, 1 / (1 + exp(-(i.b0 + i.b1 * s.z))) AS q FROM newton i CROSS JOIN scaled s)) WHERE k < 25"""
+MODELLED = dict(
+    target="SELECT 0 AS cell, time, y AS value FROM response",
+    inputs=W7_FLAG,
+    complete="""SELECT i.time - l.lag AS time FROM inputs i CROSS JOIN (SELECT unnest([-7, -14, -22]) AS lag) l
+        GROUP BY 1 HAVING COUNT(*) = 9""",
+    weekly=f"SELECT * FROM ({W7_ALL}) WHERE {JJA}",
+    events="SELECT time, CASE WHEN value > (SELECT quantile_cont(value, 0.666) FROM weekly) THEN 1 ELSE 0 END AS y FROM weekly",
+    rows_in="SELECT * FROM events WHERE time IN (SELECT time FROM complete)",
+    **year_groups("rows_in", 4),
+)
 ORACLE["base_rate_forecast"] = (
     "WITH RECURSIVE " + using(
         "flag_field response", "",
-        target="SELECT 0 AS cell, time, y AS value FROM response",
-        inputs=W7_FLAG,
-        complete="""SELECT i.time - l.lag AS time FROM inputs i CROSS JOIN (SELECT unnest([-7, -14, -22]) AS lag) l
-            GROUP BY 1 HAVING COUNT(*) = 9""",
-        weekly=f"SELECT * FROM ({W7_ALL}) WHERE {JJA}",
-        events="SELECT time, CASE WHEN value > (SELECT quantile_cont(value, 0.666) FROM weekly) THEN 1 ELSE 0 END AS y FROM weekly",
-        rows_in="SELECT * FROM events WHERE time IN (SELECT time FROM complete)",
-        **year_groups("rows_in", 4),
+        **MODELLED,
         dated="SELECT time, y, (time - DATE '1970-01-01') + 2440587.5::DOUBLE AS j FROM rows_in",
         scaled="SELECT time, y, (j - AVG(j) OVER ()) / STDDEV_POP(j) OVER () AS z FROM dated",
         newton=f"SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 UNION ALL {STEP}",
@@ -937,6 +940,25 @@ ORACLE["base_rate_forecast"] = (
         JOIN numbered y ON y.year = year(s.time) JOIN groups g ON g.grp = y.grp"""
 )
 
+#: The same steps for every fold, on the rows outside it.
+FOLD_STEP = """SELECT k + 1, fold, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM (SELECT k, fold, MAX(b0) AS b0, MAX(b1) AS b1, SUM(q - y) AS g0, SUM((q - y) * z) + MAX(b1) AS g1,
+        SUM(q * (1 - q)) AS h00, SUM(q * (1 - q) * z) AS h01, SUM(q * (1 - q) * z * z) + 1 AS h11
+        FROM (SELECT i.k, i.fold, i.b0, i.b1, s.y, (s.j - m.mean) / m.sd AS z, 1 / (1 + exp(-(i.b0 + i.b1 * (s.j - m.mean) / m.sd))) AS q
+            FROM newton i JOIN folded s ON s.fold <> i.fold JOIN moments m ON m.fold = i.fold) GROUP BY k, fold) WHERE k < 25"""
+ORACLE["base_rate_folds"] = (
+    "WITH RECURSIVE " + using(
+        "flag_field response", "", **MODELLED,
+        folded="""SELECT r.time, r.y, (r.time - DATE '1970-01-01') + 2440587.5::DOUBLE AS j, g.fold FROM rows_in r
+            JOIN numbered y ON y.year = year(r.time) JOIN groups g ON g.grp = y.grp""",
+        moments="""SELECT k.fold, AVG(j) AS mean, STDDEV_POP(j) AS sd FROM folded f JOIN (SELECT DISTINCT fold FROM folded) k ON k.fold <> f.fold
+            GROUP BY 1""",
+        newton=f"SELECT 0 AS k, fold, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM moments UNION ALL {FOLD_STEP}",
+    )[5:]
+    + """SELECT s.fold, s.time, s.y, ROUND(1 / (1 + exp(-(n.b0 + n.b1 * (s.j - m.mean) / m.sd))), 6) AS p FROM folded s
+        JOIN moments m ON m.fold = s.fold JOIN newton n ON n.fold = s.fold AND n.k = 25"""
+)
+
 # --- plot data -----------------------------------------------------------------------
 register(
     "scatter_data", "region_field response",

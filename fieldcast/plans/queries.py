@@ -727,6 +727,12 @@ def base_rate_forecast(spark, d):
     return out.select("fold", "time", F.col("y").cast("int").alias("y"), F.round("p", 4).alias("p"))
 
 
+@query
+def base_rate_folds(spark, d):
+    out = models.fit_predict(models.Hybrid(base_only=True), model_rows(spark, d), 4)
+    return out.select("fold", "time", F.col("y").cast("int").alias("y"), F.round("p", 6).alias("p"))
+
+
 @query
 def hybrid_forecast(spark, d):
     return models.fit_predict(models.Hybrid(greedy_base=True, **FOREST), model_rows(spark, d), 4)

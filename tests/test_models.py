@@ -44,6 +44,33 @@ def test_base_rate_solves_the_penalised_likelihood(data):
     assert not fit.negative_trend
 
 
+def test_bases_of_all_folds_are_fitted_together(data):
+    together = models.fold_bases(models.Hybrid(base=models.BaseRate(C=0.2)), data, 4)
+    for k in range(4):
+        alone = models.BaseRate(C=0.2).fit(data.where(F.col("fold") != k))
+        assert (together[k].mean, together[k].scale, together[k].slope, together[k].intercept) == pytest.approx(
+            (alone.mean, alone.scale, alone.slope, alone.intercept), abs=1e-8
+        )
+    assert len({round(b.slope, 6) for b in together.values()}) == 4
+    greedy = models.fold_bases(models.Hybrid(greedy_base=True), data, 4)
+    assert set(greedy.values()) == {models.BaseRate().fit(data)}
+    assert models.fold_bases(models.Hybrid(), data, 4, "oversample") == {} == models.fold_bases(models.Classifier(), data, 4)
+
+
+def test_base_rate_of_odd_rows(data):
+    for y in (0.0, 1.0):
+        same = models.BaseRate().fit(data.withColumn("y", F.lit(y)))
+        assert data.select(same.predict().alias("p")).distinct().first().p == y
+    one_day = data.where(F.col("time") == dt.date(1990, 6, 1)).select("time", "features", "fold")
+    both = one_day.withColumn("y", F.explode(F.array(F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(None).cast("double"))))
+    flat = models.BaseRate().fit(both)
+    assert flat.slope == 0 and flat.intercept == pytest.approx(np.log(2), abs=1e-9)
+    steep = data.withColumn("y", (F.year("time") >= 1994).cast("double"))  # told apart by the day alone
+    assert models.BaseRate(C=100.0).fit(steep).slope > 5
+    with pytest.raises(ValueError):
+        models.BaseRate().fit(data.limit(0))
+
+
 def test_hybrid_beats_its_base_and_stays_in_range(data):
     model = models.Hybrid(n_estimators=20, max_depth=4, max_features=3)
     out = models.fit_predict(model, data, 4).cache()

@@ -9,7 +9,7 @@ from fieldcast.plans.queries import REGISTRY
 SF = "/root/testdata/sf0.001"
 # Three or four pairs per series at the smallest scale make residual ranks a matter of rounding.
 # No summer day is complete there, and too few cells are left by the mask.
-NEEDS_MORE_DATA = {"partial_spearman", "base_rate_forecast", "mask_cells"}
+NEEDS_MORE_DATA = {"partial_spearman", "base_rate_forecast", "base_rate_folds", "mask_cells"}
 LARGER = "/root/testdata/sf0.01"
 
 
