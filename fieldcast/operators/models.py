@@ -16,7 +16,6 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +24,7 @@ from pyspark.storagelevel import StorageLevel
 
 from fieldcast.functions.dates import julian_date
 from fieldcast.operators.folds import with_year_fold
-from fieldcast.operators.reduction import wide
+from fieldcast.operators.reduction import feature_arrays, listed
 from fieldcast.operators.verification import evaluate, val_train_ratio
 from fieldcast.session import cut
 
@@ -40,16 +39,20 @@ def allowed_depth(depth: int) -> int:
     return depth
 
 
-def training_frame(features_long: DataFrame, response: DataFrame, names: Sequence[str], n_folds: int,
+def training_frame(features_long: DataFrame, response: DataFrame, names: Sequence[str] | DataFrame, n_folds: int,
                    days: DataFrame | None = None) -> DataFrame:
-    """Wide, complete rows joined with the 0/1 response and their validation fold.
+    """Complete feature vectors joined with the 0/1 response and their validation fold.
 
-    ``days`` are the days whose years make the folds, by default the rows' own.  Frames of one
-    forecast share them, so that a fold means the same years whichever features a frame has.
+    ``names`` are the features in the order of the vector: a list, or the table of
+    :func:`fieldcast.operators.reduction.numbered`, which takes any number of them.  ``days`` are the days whose years
+    make the folds, by default the rows' own.  Frames of one forecast share them, so that a fold means the same years
+    whichever features a frame has.
     """
-    joined = wide(features_long, names).na.drop("any").join(response, "time")
-    assembled = VectorAssembler(inputCols=list(names), outputCol="features").transform(joined)
-    return with_year_fold(assembled.select("time", F.col("y").cast("double").alias("y"), "features"), n_folds, days)
+    numbers = names if isinstance(names, DataFrame) else listed(features_long, names)
+    arrays = feature_arrays(features_long, numbers)
+    vector = array_to_vector(F.col("values").cast("array<double>"))
+    rows = arrays.join(response, "time").select("time", F.col("y").cast("double").alias("y"), vector.alias("features"))
+    return with_year_fold(rows, n_folds, days)
 
 
 @dataclass(frozen=True)

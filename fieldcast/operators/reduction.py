@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast.functions.dates import lagged
@@ -119,6 +119,50 @@ def complete_rows(features_long: DataFrame, n_features: int | None = None, keys:
     return present.join(counts.where(F.col("_k") == F.col("_all")).select(*keys), list(keys), "left_semi")
 
 
+def numbered(features_long: DataFrame, feature: str = "feature") -> DataFrame:
+    """``(feature, index)``: features with a value, numbered from 0 by name.
+
+    A table of one row per feature.  A day's vector has as many entries, so what one row can hold one task can sort.
+    """
+    names = features_long.where(F.col("value").isNotNull()).select(feature).distinct()
+    return names.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(feature)) - 1)
+
+
+def feature_arrays(features_long: DataFrame, numbers: DataFrame, complete: bool = True, keys: Sequence[str] = ("time",),
+                   feature: str = "feature", alias: str = "values") -> DataFrame:
+    """One array of values per day, the value of feature ``index`` at that place; no column per feature.
+
+    ``complete`` keeps the days on which all features have a value, else missing ones are NULL.  Rows of features that
+    are not numbered only keep their day; of repeated values of a feature and day the least counts.  One shuffle by
+    ``keys``, whatever the number of features.
+    """
+    kind = dict(features_long.dtypes)["value"]
+    n = numbers.agg(F.count(F.lit(1)).cast("int")).scalar()
+    entry = F.when(F.col("index").isNotNull() & F.col("value").isNotNull(), F.struct("index", "value"))
+    days = features_long.join(numbers, feature, "left").groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+
+    def before(k: Column) -> Column:
+        return F.coalesce(F.get("_e", k - 1)["index"], F.lit(-1))
+
+    days = days.withColumn("_e", F.filter("_e", lambda e, k: e["index"] > before(k))).withColumn("_n", n)
+    if complete:
+        return days.where(F.size("_e") == F.col("_n")).select(*keys, F.col("_e.value").alias(alias))
+    nothing = F.lit(None).cast(kind)
+    filled = F.flatten(
+        F.transform("_e", lambda e, k: F.concat(F.array_repeat(nothing, e["index"] - before(k) - 1), F.array(e["value"])))
+    )
+    last = before(F.size("_e"))
+    return days.select(*keys, F.concat(filled, F.array_repeat(nothing, F.col("_n") - last - 1)).alias(alias))
+
+
+def listed(features_long: DataFrame, names: Sequence[str], feature: str = "feature") -> DataFrame:
+    """``(feature, index)`` of a given list of names."""
+    kind = dict(features_long.dtypes)[feature]
+    rows = [(name, i) for i, name in enumerate(names)]
+    return features_long.sparkSession.createDataFrame(rows, f"{feature} {kind}, index int")
+
+
 def wide(features_long: DataFrame, names: Sequence[str], feature: str = "feature") -> DataFrame:
-    """Pivot to one column per feature; names are given, so no pass is spent finding them."""
-    return features_long.groupBy("time").pivot(feature, list(names)).agg(F.first("value"))
+    """One column per feature, for a few given names; many features go into :func:`feature_arrays`."""
+    arrays = feature_arrays(features_long, listed(features_long, names, feature), complete=False, feature=feature, alias="_v")
+    return arrays.select("time", *[F.get("_v", F.lit(i)).alias(str(name)) for i, name in enumerate(names)])

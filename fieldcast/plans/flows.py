@@ -137,7 +137,7 @@ def fold_training_years(events: DataFrame, n_folds: int) -> DataFrame:
 
 def fold_frames(features: DataFrame, response: DataFrame, timeagg: int, separation: int, quantile: float, n_folds: int,
                 work: Callable[[int, DataFrame, list[str]], DataFrame | None]) -> DataFrame | None:
-    """Union of ``work(fold, rows, feature names)`` over the models of one target aggregation and lead time.
+    """Union of ``work(fold, rows, numbered features)`` over the models of one target aggregation and lead time.
 
     Features of a fold were selected on that fold's training rows, so the model of a fold
     sees its own features only.  One table of folds, made from the days that are modelled,
@@ -154,10 +154,10 @@ def fold_frames(features: DataFrame, response: DataFrame, timeagg: int, separati
 
     def one(k: int) -> DataFrame | None:
         mine = named.where(F.col("_model") == k)
-        names = [r.feature for r in mine.select("feature").distinct().orderBy("feature").collect()]
-        if names:
-            return work(k, models.cached(models.training_frame(mine, events, names, n_folds, events)), names)
-        return work(k, models.cached(folds.with_year_fold(events.withColumn("y", F.col("y").cast("double")), n_folds)), names)
+        if not mine.isEmpty():
+            numbers = cut(reduction.numbered(mine))
+            return work(k, models.cached(models.training_frame(mine, events, numbers, n_folds, events)), numbers)
+        return work(k, models.cached(folds.with_year_fold(events.withColumn("y", F.col("y").cast("double")), n_folds)), None)
 
     with ThreadPool(min(4, n_folds)) as pool:  # threads submit jobs only
         parts = pool.map(inheritable_thread_target(features.sparkSession)(one), range(n_folds))
@@ -173,8 +173,8 @@ def forecast(features: DataFrame, response: DataFrame, timeagg: int, separation:
     """
     model = model or models.Hybrid(greedy_base=True)
 
-    def work(k: int, rows: DataFrame, names: list[str]) -> DataFrame:
-        return models.one_fold(model if names else models.Hybrid(greedy_base=True, base_only=True), rows, k)
+    def work(k: int, rows: DataFrame, numbers: DataFrame | None) -> DataFrame:
+        return models.one_fold(model if numbers is not None else models.Hybrid(greedy_base=True, base_only=True), rows, k)
 
     return fold_frames(features, response, timeagg, separation, quantile, n_folds, work)
 
@@ -210,9 +210,10 @@ def importance_grid(features: DataFrame, response: DataFrame, timeaggs: Sequence
     """
     model = model or models.Hybrid(greedy_base=True)
 
-    def work(k: int, rows: DataFrame, names: list[str]) -> DataFrame | None:
-        if not names:
+    def work(k: int, rows: DataFrame, numbers: DataFrame | None) -> DataFrame | None:
+        if numbers is None:
             return None
+        names = [r.feature for r in numbers.orderBy("index").collect()]  # candidates of the selection, one fit each
         train, val = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         found = models.fold_importance(model, train, val, names, k, **kw)
         return restore(found, "feature", [key for key in FEATURE_KEYS if key != "fold"], "|")
