@@ -79,6 +79,26 @@ register(
     f"""SELECT cell, SUM(value)::BIGINT AS total, COUNT(value) AS ndays FROM supplier_field
         WHERE cell IN (SELECT cell FROM supplier_points WHERE {BOX}) GROUP BY cell""",
 )
+ORACLE["region_cells"] = ORACLE["region_scan"]
+register(
+    "appended_days", "supplier_field",
+    """SELECT cell, time, value + CASE WHEN cell % 3 = 0 AND month(time) = 6 THEN 1 ELSE 0 END AS value
+        FROM supplier_field WHERE NOT (cell % 7 = 0 AND year(time) = 1995)""",
+)
+register(
+    "compacted_days", "region_field",
+    """SELECT cell, time, CASE WHEN cell = 4 AND month(time) = 1 THEN 0 WHEN cell >= 2 THEN value * 2 ELSE value END AS value
+        FROM region_field""",
+)
+register(
+    "append_manifest", "",
+    """SELECT a.number, a.time, a.first, a.last, a.n, COUNT(b.number) > 0 AS clash FROM parts a LEFT JOIN parts b
+        ON b.time = a.time AND b.number <> a.number AND b.first <= a.last AND b.last >= a.first GROUP BY ALL""",
+    supplier_field=VIEWS["supplier_field"],
+    appends="""SELECT CAST(0 AS INT) AS number, * FROM supplier_field WHERE cell <= 40 UNION ALL SELECT 1, * FROM supplier_field
+        WHERE cell > 40 UNION ALL SELECT 2, * FROM supplier_field WHERE cell % 10 = 0""",
+    parts="SELECT number, time, MIN(cell) AS first, MAX(cell) AS last, COUNT(*) AS n FROM appends GROUP BY 1, 2",
+)
 register(
     "field_info", "supplier_field",
     """SELECT COUNT(DISTINCT cell) AS ncells, COUNT(value) AS nvalues, MIN(time) AS first, MAX(time) AS last,
@@ -336,6 +356,17 @@ register(
     """SELECT time, MAX(value) FILTER (cell = 'A') AS "A", MAX(value) FILTER (cell = 'N') AS "N",
         MAX(value) FILTER (cell = 'R') AS "R" FROM flag_field GROUP BY time""",
 )
+register(
+    "feature_vectors", "supplier_field",
+    """SELECT t.time, CAST(COUNT(*) AS INT) AS n, string_agg(COALESCE(CAST(value AS VARCHAR), '-'), ',' ORDER BY c.cell) AS vector
+        FROM (SELECT DISTINCT time FROM supplier_field) t CROSS JOIN (SELECT DISTINCT cell FROM supplier_field) c
+        LEFT JOIN supplier_field f ON f.time = t.time AND f.cell = c.cell GROUP BY t.time""",
+)
+register(
+    "complete_vectors", "region_field",
+    """SELECT time, string_agg(CAST(value AS VARCHAR), ',' ORDER BY cell) AS vector FROM region_field GROUP BY time
+        HAVING COUNT(*) = (SELECT COUNT(DISTINCT cell) FROM region_field)""",
+)
 register(
     "collapsed_keys", "importances",
     """SELECT respagg, separation, fold, variable, timeagg, lag, clustid, metric, rank,

@@ -19,7 +19,8 @@ from fieldcast.operators import association as assoc
 from fieldcast.operators import climate, clustering, distances, folds, hierarchy, inspection, models, owen, reduction, shapley, temporal, trends, verification
 from fieldcast.plans import flows
 from fieldcast.sources import adapters as src
-from fieldcast.sources import fields, ingest
+from fieldcast.session import shared_folder
+from fieldcast.sources import fields, ingest, layout, store
 from fieldcast.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,16 @@ def query(func: Query) -> Query:
 
 @query
 def region_scan(spark, d):
+    """The field written along the curve and read back inside a box."""
+    path = shared_folder(spark, "field")
+    layout.write_by_place(src.supplier_field(spark, d).join(src.supplier_points(spark, d), "cell"), path)
+    inside = fields.read_field(spark, path, "natlantic", ["cell", "value", "lat", "lon"])
+    return inside.groupBy("cell").agg(F.sum("value").alias("total"), F.count("value").alias("ndays"))
+
+
+@query
+def region_cells(spark, d):
+    """The same box by a semi join on its cells, for fields without coordinates."""
     inside = fields.region_subset(src.supplier_field(spark, d), src.supplier_points(spark, d), "natlantic")
     return inside.groupBy("cell").agg(F.sum("value").alias("total"), F.count("value").alias("ndays"))
 
@@ -80,6 +91,42 @@ def new_feature_keys(spark, d):
     return fields.new_keys(imp.select(*keys).distinct(), stored, keys)
 
 
+@query
+def appended_days(spark, d):
+    """Cells of a day added by two appends, a third that corrects some, and one that takes a year of a few cells back."""
+    path = shared_folder(spark, "store")
+    field = src.supplier_field(spark, d)
+    store.append_days(field.where("cell % 2 = 0"), path)
+    store.append_days(field.where("cell % 2 = 1"), path)
+    store.append_days(field.where("cell % 3 = 0 and month(time) = 6").withColumn("value", F.col("value") + 1), path)
+    store.append_days(field.where("cell % 7 = 0 and year(time) = 1995").withColumn("value", F.lit(None).cast("bigint")), path)
+    store.append_new(field.where("cell % 7 <> 0"), path)  # all there
+    return store.read_days(spark, path)
+
+
+@query
+def compacted_days(spark, d):
+    path = shared_folder(spark, "store")
+    field = src.region_field(spark, d)
+    store.append_days(field.where("cell < 3"), path)
+    store.append_days(field.where("cell >= 2").withColumn("value", F.col("value") * 2), path)
+    store.compact(spark, path)
+    store.append_new(field.withColumn("value", F.lit(-1).cast("bigint")), path)
+    store.append_days(field.where("cell = 4 and month(time) = 1").withColumn("value", F.lit(0).cast("bigint")), path)
+    return store.read_days(spark, path)
+
+
+@query
+def append_manifest(spark, d):
+    """Committed parts of a store after appends of cells below and above a limit."""
+    path = shared_folder(spark, "store")
+    field = src.supplier_field(spark, d)
+    for part in ("cell <= 40", "cell > 40", "cell % 10 = 0"):
+        store.append_days(field.where(part), path)
+    marked = store.clashes(store.manifest(spark, path))
+    return marked.select(F.substring("commit", 1, 10).cast("int").alias("number"), "time", "first", "last", "n", "clash")
+
+
 @query
 def common_columns_union(spark, d):
     a = src.flag_field(spark, d).withColumn("only_here", F.lit(1))
@@ -311,6 +358,21 @@ def wide_features(spark, d):
     return reduction.wide(field, ["A", "N", "R"])
 
 
+@query
+def feature_vectors(spark, d):
+    """Every supplier is a feature; a day's values in one array, printed with gaps."""
+    field = src.supplier_field(spark, d).withColumnRenamed("cell", "feature")
+    arrays = reduction.feature_arrays(field, reduction.numbered(field), complete=False)
+    return arrays.select("time", F.size("values").alias("n"), F.array_join("values", ",", "-").alias("vector"))
+
+
+@query
+def complete_vectors(spark, d):
+    field = src.region_field(spark, d).withColumnRenamed("cell", "feature")
+    arrays = reduction.feature_arrays(field, reduction.numbered(field))
+    return arrays.select("time", F.array_join("values", ",").alias("vector"))
+
+
 @query
 def collapsed_keys(spark, d):
     imp = src.importances(spark, d)

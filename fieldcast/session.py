@@ -54,6 +54,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """Name of a fresh folder inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{prefix}-{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from the files.
 
@@ -61,7 +67,6 @@ def cut(df: DataFrame) -> DataFrame:
     late round is read as one partition and joined by broadcast, a large one is not.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4()}"
+    path = shared_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

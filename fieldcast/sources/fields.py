@@ -104,15 +104,6 @@ def write_field(df: DataFrame, path: str, mode: str = "overwrite", attrs: dict |
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def append_days(days: DataFrame, path: str) -> None:
-    """Add day partitions; a field partitioned by day is pruned by date on reading.
-
-    A day that is there already is replaced as a whole, so a repeated append leaves one copy.
-    """
-    writer = days.repartition("time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("time").parquet(path)
-
-
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or nothing where no write has published a file yet."""
     try:
