@@ -888,6 +888,17 @@ register(
     GROUP BY 1, 2 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM hourly)""",
 )
 register("stream_hour_slice", "hourly", "SELECT cell, CAST(ts AS DATE) AS time, value FROM hourly WHERE hour(ts) = 12")
+register("stream_midnight_slice", "hourly", "SELECT cell, CAST(ts AS DATE) - 1 AS time, value FROM hourly WHERE hour(ts) = 0")
+register(
+    "stream_days_with_gaps", "",
+    """SELECT cell, time, value FROM islands WHERE island = 0
+        OR first + INTERVAL 5 DAY <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM events)""",
+    days="""SELECT user_id AS cell, CAST(ts AS DATE) AS time, CAST(MIN(CAST(ROUND(value * 100) AS BIGINT)) AS DOUBLE) AS value
+        FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2""",
+    numbered="""SELECT *, time - (SELECT CAST(MIN(ts) AS DATE) FROM events)
+        - (row_number() OVER (PARTITION BY cell ORDER BY time) - 1) AS island FROM days""",
+    islands="SELECT *, MIN(time) OVER (PARTITION BY cell, island) AS first FROM numbered",
+)
 register(
     "stream_ordered_days", "hourly",
     """SELECT cell, time, 1.0::DOUBLE AS value FROM (SELECT DISTINCT cell, CAST(ts AS DATE) AS time FROM hourly)

@@ -22,6 +22,7 @@ from fieldcast.sources import adapters as src
 from fieldcast.session import shared_folder
 from fieldcast.sources import fields, ingest, layout, store
 from fieldcast.streaming import ingest as streams
+from fieldcast.streaming import ordering
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -960,6 +961,22 @@ def stream_hour_slice(spark, d):
     return streams.materialise(streams.slice_stream(_event_stream(spark, d), 12)).select("cell", "time", "value")
 
 
+@query
+def stream_midnight_slice(spark, d):
+    return streams.materialise(streams.slice_stream(_event_stream(spark, d), 24)).select("cell", "time", "value")
+
+
+@query
+def stream_days_with_gaps(spark, d):
+    """Every user's days in order; a gap is given up when the watermark is five days past it."""
+    raw = streams.raw_stream(spark, d, EVENT_SCHEMA, "events.parquet")
+    rows = streams.event_time(raw.select(F.col("user_id").alias("cell"), "ts", src.cents("value").alias("value")))
+    start = src.table(spark, d, "events", "ts").agg(F.to_date(F.min("ts"))).first()[0]
+    folder = streams.working_folder(spark)
+    ordering.run_ordered(ordering.ordered_days(rows, start, max_wait=5), folder)
+    return ordering.results(spark, folder)
+
+
 @query
 def stream_ordered_days(spark, d):
     days = streams.unique_days(_event_stream(spark, d)).withColumn("value", F.lit(1))

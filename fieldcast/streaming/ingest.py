@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,9 @@ def daily_stream(hourly: DataFrame, operation: str = "mean", value: str = "value
 
 
 def slice_stream(hourly: DataFrame, hour: int) -> DataFrame:
-    """The values of one hour of the day; needs no state."""
-    return hourly.where(F.hour("ts") == hour).withColumn("time", F.to_date("ts"))
+    """The values of one hour of the day; needs no state.  Hour 24 is midnight and belongs to the day that it ends."""
+    day = F.to_date("ts")
+    return hourly.where(F.hour("ts") == hour % 24).withColumn("time", F.date_sub(day, 1) if hour == 24 else day)
 
 
 def unique_days(days: DataFrame, ts: str = "ts") -> DataFrame:
@@ -100,7 +102,23 @@ def consecutive_days(days: DataFrame, start: dt.date, max_wait_ms: int | None =
     )
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append", partition_by: tuple[str, ...] = ()) -> None:
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str | None) -> Iterator[None]:
+    """A setting that only what starts inside takes over; a started stream keeps its own copy of the session."""
+    before = spark.conf.get(key, None)
+    if value:
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if value and before is None:
+            spark.conf.unset(key)
+        elif value:
+            spark.conf.set(key, before)
+
+
+def run_available(stream: DataFrame, folder: str, mode: str = "append", partition_by: tuple[str, ...] = (),
+                  state_store: str | None = None) -> None:
     """Process everything that has arrived, then stop.
 
     Each micro-batch overwrites its own ``batch=`` directory, so a batch that is replayed
@@ -111,13 +129,14 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append", partitio
         name = f"{folder}/data/batch={number if mode != 'complete' else 0}"
         batch.write.mode("overwrite").partitionBy(*partition_by).parquet(name)
 
-    query = (
+    writer = (
         stream.writeStream.foreachBatch(write)
         .outputMode(mode)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
+    with _setting(stream.sparkSession, "spark.sql.streaming.stateStore.providerClass", state_store):
+        query = writer.start()
     query.awaitTermination()
 
 
