@@ -97,7 +97,8 @@ register(
     supplier_field=VIEWS["supplier_field"],
     appends="""SELECT CAST(0 AS INT) AS number, * FROM supplier_field WHERE cell <= 40 UNION ALL SELECT 1, * FROM supplier_field
         WHERE cell > 40 UNION ALL SELECT 2, * FROM supplier_field WHERE cell % 10 = 0""",
-    parts="SELECT number, time, MIN(cell) AS first, MAX(cell) AS last, COUNT(*) AS n FROM appends GROUP BY 1, 2",
+    parts="""SELECT CAST(dense_rank() OVER (ORDER BY number) - 1 AS INT) AS number, time, MIN(cell) AS first, MAX(cell) AS last,
+        COUNT(*) AS n FROM appends GROUP BY appends.number, time""",  # an append without rows takes no number
 )
 register(
     "field_info", "supplier_field",

@@ -54,6 +54,7 @@ def append_days(days: DataFrame, path: str) -> str:
     """Add ``(cell, time, value, …)`` as one commit and return its name.
 
     A row without a cell or a day is an error.  Of repeated rows of a cell and day within one append the greatest counts.
+    An append without rows commits nothing and takes no number.
     """
     missing = F.raise_error(F.lit("an append has rows without a cell or a day"))
     known = days.where(F.when(F.col("cell").isNull() | F.col("time").isNull(), missing.cast("boolean")).otherwise(True))
