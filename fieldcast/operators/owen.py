@@ -9,7 +9,8 @@ Shapley values.
 
 What is joined are three tables: leaves, the patterns that rows show at a leaf, and the patterns that the background
 shows there with their counts.  Equal patterns are computed once, all rows of the background count, and no row meets
-another row.  A leaf has at most ``2^depth`` patterns, whatever the number of rows.
+another row.  A leaf has at most ``2^depth`` patterns, whatever the number of rows.  Rows that lie between the same limits
+of the leaves in every feature fulfil the same conditions everywhere, so they are one kind, and each kind is worked off once.
 """
 
 from __future__ import annotations
@@ -115,6 +116,23 @@ def patterns(rows: DataFrame, keys: Sequence[str], leaves: DataFrame) -> DataFra
     return met.select(*keys, F.col("_l.leaf").alias("leaf"), mask.alias("mask"))
 
 
+def with_kind(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Adds ``kind``: per feature how many of the leaves' limits its value exceeds; -1 for NULL, and NaN exceeds them all.
+
+    Rows of one kind fulfil the same conditions at every leaf, which tests ``low < x <= high``.
+    """
+    bounds = leaves.select(F.explode(F.arrays_zip("features", "low", "high")).alias("_c"))
+    limits = bounds.select(F.col("_c.features").alias("f"), F.explode(F.array("_c.low", "_c.high")).alias("c")).distinct()
+    found = {r.f: r.c for r in limits.groupBy("f").agg(F.sort_array(F.collect_list("c")).alias("c")).collect()}  # the model's own numbers
+
+    def above(f: int, cuts: list[float]) -> Column:
+        x = F.get("x", F.lit(f))
+        # NULL exceeds nothing and is told apart from the least values, which do not either.
+        return F.when(x.isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: x > c)))
+
+    return rows.withColumn("kind", F.array(*[above(f, cuts) for f, cuts in sorted(found.items())]).cast("array<int>"))
+
+
 def _players(leaves: DataFrame, tree: Tree) -> DataFrame:
     """Per leaf its features as ``(bit, feature, levels)``; a level is the masks of the sibling branches that the leaf asks."""
     spark = leaves.sparkSession
@@ -159,13 +177,15 @@ def owen_values(rows: DataFrame, keys: Sequence[str], background: DataFrame, lea
     keys, n = list(keys), len(names)
     if sorted(features_of(tree)) != list(range(n)):
         raise ValueError("the tree holds each feature once")
-    rows = cut(rows.select(*keys, "x"))  # read twice, and both readings must show the same patterns
-    counted = cut(patterns(background, [], leaves).groupBy("leaf", "mask").agg(F.count(F.lit(1)).alias("n")))
+    rows = cut(with_kind(rows.select(*keys, "x"), leaves).select(*keys, "x", "kind"))  # read twice, and both readings must show the same kinds
+    kinds = cut(rows.groupBy("kind").agg(F.first("x").alias("x")))
+    there = cut(with_kind(background.select("x"), leaves).groupBy("kind").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n")))
+    counted = cut(patterns(there, ["n"], leaves).groupBy("leaf", "mask").agg(F.sum("n").alias("n")))
     total = counted.where("leaf = 0").agg(F.sum("n").cast("double")).head()[0]
     if not total:
         raise ValueError("the background has no rows")
     players = cut(_players(leaves, tree).join(leaves.select("leaf", "value"), "leaf"))
-    shown = patterns(rows, keys, leaves)
+    shown = patterns(kinds, ["kind"], leaves)
 
     # The row's and the background's pattern must together fulfil the whole leaf, or no coalition reaches it.
     mine, theirs = F.col("mask"), F.col("other")
@@ -183,12 +203,18 @@ def owen_values(rows: DataFrame, keys: Sequence[str], background: DataFrame, lea
         .select("leaf", "mask", F.col("_p.feature").alias("_f"), F.when(in_gain, share).otherwise(-share).alias("shap"))
         .groupBy("leaf", "mask", "_f").agg(F.sum("shap").alias("shap"))
     )
-    found = shown.join(parts, ["leaf", "mask"]).select(*keys, "_f", "shap")
+    found = shown.join(parts, ["leaf", "mask"]).groupBy("kind", "_f").agg(F.sum("shap").alias("shap"))
+    # One number per feature, in their order; features that no leaf of a kind moves have none.
+    moved = found.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("_f", "shap"))).alias("_shap"))
 
     reached = counted.join(players, "leaf").where("mask = full").select(F.col("value") * F.col("n"))
     stumps = leaves.where(F.size("features") == 0).select(F.col("value") * F.lit(total))  # trees without a split
     expected = reduce(DataFrame.union, [reached, stumps]).toDF("_v").agg(F.coalesce(F.sum("_v"), F.lit(0.0)) / total).head()[0]
-    own = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda f: F.struct(f.alias("_f"), F.when(f == n, expected).otherwise(0.0).alias("shap")))
-    filled = found.unionByName(rows.select(*keys, F.inline(own)))
-    label = F.get(F.array(*[F.lit(name) for name in [*names, "expected_value"]]), F.col("_f"))
-    return filled.groupBy(*keys, "_f").agg(F.sum("shap").alias("shap")).select(*keys, label.alias("feature"), "shap")
+    label = F.array(*[F.lit(name) for name in [*names, "expected_value"]])
+    own = F.transform(
+        F.sequence(F.lit(0), F.lit(n)),
+        lambda f: F.struct(
+            F.get(label, f).alias("feature"), F.when(f == n, F.lit(expected)).otherwise(F.coalesce(F.element_at("_shap", f), F.lit(0.0))).alias("shap")
+        ),
+    )
+    return rows.join(moved, "kind", "left").select(*keys, F.inline(own))

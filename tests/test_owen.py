@@ -103,3 +103,19 @@ def test_related_features_share_a_branch(spark):
             branches.append(sorted(owen.features_of(node)))
             open_nodes += node
     assert [0, 2] in branches and [1, 4] in branches and [0, 1, 2, 3, 4] in branches
+
+
+def test_rows_of_one_kind_are_worked_off_once(spark):
+    """Rows between the same limits share a kind, however many; NULL, NaN and infinities have kinds of their own."""
+    leaves = [shapley.leaf_of(((0, left, 1.0), (1, side, 5.0)), 1.0 + left + 2 * side) for left in (True, False) for side in (True, False)]
+    table = owen.leaf_table(spark, leaves)
+    x = np.random.default_rng(5).normal(size=(3000, 2)) * 6
+    kinds = owen.with_kind(frame(spark, x), table)
+    assert kinds.select("kind").distinct().count() == 4
+    assert owen.patterns(kinds.dropDuplicates(["kind"]), ["kind"], table).count() == 4 * len(leaves)
+    odd = [[None, 0.0], [math.nan, 0.0], [math.inf, 0.0], [-math.inf, 0.0], [1.0, 0.0], [1.5, 0.0]]
+    masks = owen.patterns(owen.with_kind(frame(spark, odd), table), ["kind"], table).collect()
+    shown = {}
+    for r in masks:
+        shown.setdefault((tuple(r.kind), r.leaf), set()).add(r.mask)
+    assert all(len(found) == 1 for found in shown.values())
