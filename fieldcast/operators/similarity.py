@@ -7,18 +7,25 @@ all the days they share; what can still follow behind the last of these bounds t
 the threshold are checked on their whole sets.  No pair is lost.
 
 Cells with equal days form one class and take part as one.  A day's list longer than ``LIST`` is dealt over several tasks.
+Where days are so common that cells meet more than ``MEETINGS`` others each in the index, it would write nearly all pairs
+several times over.  Then all pairs are compared in tiles of one bit a day, and only those near enough are written.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.functions.dates import day_number
+from fieldcast.operators.tiles import STRIP, packed_rows, range_pairs
 from fieldcast.session import cut
 
 #: Entries of one day's list that a task holds.
 LIST = 2048
+#: Meetings a cell in the index, beyond which all pairs are compared in tiles.
+MEETINGS = 256
 #: Bounds are taken this much lower than the threshold, so that rounding loses no pair.
 SLACK = 1e-9
 
@@ -55,12 +62,62 @@ def _least_overlap(t: float, a: Column, b: Column) -> Column:
     return F.ceil((a + b) * (t / (1 + t)))
 
 
+def _entries(sets: DataFrame, t: float) -> DataFrame:
+    """``(cell, n, at, day)``: the index of rare days."""
+    prefix = (F.col("n") - F.ceil(F.col("n") * t) + 1).cast("int")
+    return sets.where("n > 0").select("cell", "n", F.posexplode(F.slice("days", F.lit(1), F.least(prefix, F.col("n")))).alias("at", "day"))
+
+
+def meetings(sets: DataFrame, max_dist: float) -> tuple[int, int]:
+    """Pairs that would meet in the lists of the index, and the number of sets."""
+    lists = _entries(sets, max(1.0 - max_dist - SLACK, 0.0)).groupBy("day").agg(F.count(F.lit(1)).alias("_k"))
+    met = lists.agg(F.sum(F.col("_k").cast("double") * (F.col("_k") - 1) / 2)).first()[0]
+    return int(met or 0), sets.count()
+
+
+def tiled_sets(sets: DataFrame, max_dist: float) -> DataFrame:
+    """``(i, j, dist)``, i < j, of different sets at most ``max_dist`` (below 1) apart, from all pairs as bits in tiles."""
+    days = [r[0] for r in sets.select(F.explode("days").alias("d")).distinct().orderBy("d").collect()]  # bounded by the calendar
+    calendar = np.array(days, np.int64)
+    cell_type = sets.schema["cell"].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("days"))
+            rows, at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), np.searchsorted(calendar, lists.flatten().to_numpy())
+            bits = np.zeros((len(lists), len(calendar)), bool)
+            bits[rows, at] = True
+            packed = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["cell", "bits"])
+
+    def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        found = []
+        if len(a) and len(b):
+            names = a["cell"].combine_chunks(), b["cell"].combine_chunks()
+            left, right = (packed_rows(x["bits"], np.uint8) for x in (a, b))
+            right = np.unpackbits(right, axis=1, count=len(calendar)).astype(np.float32)
+            of_right = right.sum(1, dtype=float)
+            for at in range(0, len(left), STRIP):
+                part = np.unpackbits(left[at : at + STRIP], axis=1, count=len(calendar)).astype(np.float32)
+                both = part @ right.T  # whole numbers up to the days of the calendar: exact
+                either = part.sum(1, dtype=float)[:, None] + of_right[None, :] - both
+                rows, cols = np.nonzero((both > 0) & (1 - both / either <= max_dist))
+                if same:
+                    rows, cols = rows[rows + at < cols], cols[rows + at < cols]
+                dist = 1 - both[rows, cols].astype(float) / either[rows, cols]
+                found.append((names[0].take(pa.array(rows + at)), names[1].take(pa.array(cols)), pa.array(dist, pa.float64())))
+        kinds = (a.schema.field("cell").type, a.schema.field("cell").type, pa.float64())
+        return pa.table([pa.chunked_array([f[k] for f in found], kinds[k]) for k in range(3)], ["x", "y", "dist"])
+
+    rows = sets.where("n > 0").select("cell", "days").mapInArrow(pack, f"cell {cell_type}, bits binary")
+    met = range_pairs(rows, kernel, f"x {cell_type}, y {cell_type}, dist double")
+    return met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "dist")
+
+
 def candidate_pairs(sets: DataFrame, max_dist: float) -> DataFrame:
     """``(i, j)``, i < j, of the sets that size, prefix and position cannot rule out."""
     t = max(1.0 - max_dist - SLACK, 0.0)
-    prefix = (F.col("n") - F.ceil(F.col("n") * t) + 1).cast("int")
-    entries = sets.where("n > 0").select("cell", "n", F.posexplode(F.slice("days", F.lit(1), F.least(prefix, F.col("n")))).alias("at", "day"))
-    first, second = dealt(entries.withColumn("at", F.col("at") + 1), ["day"])
+    first, second = dealt(_entries(sets, t).withColumn("at", F.col("at") + 1), ["day"])
     left = first.select("day", "_part", F.col("cell").alias("i"), F.col("n").alias("ni"), F.col("at").alias("pi"))
     right = second.select("day", "_part", F.col("cell").alias("j"), F.col("n").alias("nj"), F.col("at").alias("pj"))
     small, large = F.least("ni", "nj"), F.greatest("ni", "nj")
@@ -77,6 +134,9 @@ def root_pairs(sets: DataFrame, max_dist: float) -> DataFrame:
     """``(i, j, dist)``, i < j, of different sets at most ``max_dist`` (below 1) apart, checked on the whole sets."""
     if not 0 <= max_dist < 1:
         raise ValueError("sets without a common day are 1 apart: max_dist lies below that")
+    met, n = meetings(sets, max_dist)
+    if met > MEETINGS * n:
+        return tiled_sets(sets, max_dist)
     sides = [sets.select(F.col("cell").alias(c), F.col("days").alias(f"_{c}")) for c in "ij"]
     met = candidate_pairs(sets, max_dist).join(sides[0], "i").join(sides[1], "j")
     both = F.size(F.array_intersect("_i", "_j"))

@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pytest
 
-from fieldcast.operators import distances, similarity
+from fieldcast.operators import distances, similarity, tiles
 
 ORIGIN = dt.date(1990, 1, 1)
 
@@ -78,3 +78,17 @@ def test_bounds_and_empty_tables(spark):
     for wrong in (-0.1, 1.0):
         with pytest.raises(ValueError):
             similarity.root_pairs(similarity.day_sets(none), wrong)
+
+
+@pytest.mark.parametrize("max_dist", [0.0, 0.3, 0.65, 0.96])
+def test_common_days_are_compared_in_tiles(spark, monkeypatch, max_dist):
+    """With a quarter of 90 days each, cells meet nearly all others; nothing but near pairs is written."""
+    monkeypatch.setattr(similarity, "MEETINGS", -1)
+    monkeypatch.setattr(tiles, "LEAST", 9)
+    monkeypatch.setattr(similarity, "candidate_pairs", None)  # the index is not asked
+    rng = np.random.default_rng(3)
+    sets = {k: set(rng.choice(90, 22, replace=False).tolist()) for k in range(40)}
+    sets |= {40 + k: (sets[k] | {91 + k}) - {min(sets[k])} for k in range(10)} | {50: set(), 51: set(), 52: set(sets[3])}
+    found = distances.jaccard_distances(marked(spark, sets), max_dist=max_dist).collect()
+    assert len({(r.i, r.j) for r in found}) == len(found)
+    assert {(r.i, r.j): r.dist for r in found} == pytest.approx(near(sets, max_dist), abs=1e-12)
