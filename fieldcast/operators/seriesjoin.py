@@ -4,26 +4,40 @@ Deviations divided by their norm are vectors of length one, and two of them are
 coefficients on some waves of a Fourier basis of the days can only lie nearer than that.  So pairs within a limit are
 found by an equi-join on cubes of the three coefficients that differ most from cell to cell, thinned by the distance of
 all coefficients, and what is left is checked on the whole series.  No pair is lost.
+
+Cells of equal series form one class and take part as one.  Series without such waves in common, as noise is, are near each
+other in every few coefficients, so the cubes rule out next to nothing.  Then all pairs of classes are multiplied in tiles
+of one byte a day, and a bound on the rounding keeps every pair that can reach the limit.  What is left, about the result,
+meets again in blocks of few cells for the exact products.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast.functions.dates import day_number
 from fieldcast.operators.similarity import LIST
 from fieldcast.operators.temporal import lag_field
+from fieldcast.operators.tiles import STRIP, packed_rows, range_pairs
 from fieldcast.session import cut
 
 #: Coefficients whose cubes are joined.
 AXES = 3
 #: The bound is taken this much wider, so that rounding loses no pair.
 SLACK = 1e-9
+#: Cells in a row that are checked together.
+BLOCK = 64
+#: Cells on which the waves are tried, and the share of pairs up to which they are worth it.
+SOME, SHARE = 128, 0.05
 
 
 def unit_series(field: DataFrame, lags: Sequence[int]) -> DataFrame:
@@ -90,8 +104,8 @@ def candidate_series(packed: DataFrame, max_dist: float) -> DataFrame:
     return met.where(apart <= 2 * max_dist + SLACK).select("i", "j", "lag")
 
 
-def correlation_join(field: DataFrame, lags: Sequence[int], max_dist: float) -> DataFrame:
-    """``(i, j, dist)``, i < j, with ``1 - max over lags`` of the correlation of cell i with cell j lagged at most ``max_dist``."""
+def wave_join(field: DataFrame, lags: Sequence[int], max_dist: float) -> DataFrame:
+    """:func:`correlation_join` by cubes of wave coefficients."""
     packed = cut(packed_series(unit_series(field, lags)))
     whole = packed.select("cell", "lag", "first", "u")
     left = whole.where("lag = 0").select(F.col("cell").alias("i"), F.col("first").alias("_fi"), F.col("u").alias("_ui"))
@@ -103,3 +117,184 @@ def correlation_join(field: DataFrame, lags: Sequence[int], max_dist: float) ->
     corr = F.aggregate(product, F.lit(0.0), lambda s, v: s + v)
     best = met.select("i", "j", corr.alias("_corr")).groupBy("i", "j").agg((1 - F.max("_corr")).alias("dist"))
     return best.where(F.col("dist") <= max_dist)
+
+
+def waves_tell_apart(field: DataFrame, lags: Sequence[int], max_dist: float) -> bool:
+    """Whether wave coefficients rule out most pairs: tried on some cells, as only the way depends on it, not the result."""
+    some = field.select("cell").distinct().orderBy(F.xxhash64("cell")).limit(SOME)
+    packed = cut(packed_series(unit_series(field.join(F.broadcast(some), "cell", "left_semi"), lags)))
+    n = packed.select("cell").distinct().count()
+    return candidate_series(packed, max_dist).select("i", "j").distinct().count() <= SHARE * n * (n - 1) / 2
+
+
+class Lagged:
+    """One cell's series on the days of the field: its deviations at every lag, each divided by its norm."""
+
+    def __init__(self, days: np.ndarray, values: np.ndarray, first: int, axis: np.ndarray, lags: Sequence[int]):
+        self.u: dict[int, np.ndarray | None] = {}
+        for lag in lags:
+            at = days - lag - first
+            kept = (at >= 0) & (at < len(axis))
+            kept[kept] = axis[at[kept]]
+            own = values[kept].astype(float)
+            dev = own - own.sum() / max(len(own), 1)
+            norm = math.sqrt(float(dev @ dev))
+            row = None
+            if norm > 0:
+                row = np.zeros(len(axis))
+                row[at[kept]] = dev / norm
+            self.u[lag] = row
+
+
+def whole_series(field: DataFrame) -> DataFrame:
+    """``(cell, days, values)``: the days with a value, in order; bounded by the calendar."""
+    known = field.where(F.col("value").isNotNull())
+    packed = known.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(day_number("time").alias("d"), F.col("value").alias("v")))).alias("_s"))
+    return packed.select("cell", F.col("_s.d").alias("days"), F.col("_s.v").alias("values"))
+
+
+def rounded_series(series: DataFrame, first: int, axis: np.ndarray, lags: Sequence[int]) -> DataFrame:
+    """``(cell, same, q, scale, off, more, less)``: series that vary, as one byte a day and what rounding and lags may change.
+
+    ``same`` is a digest of the series.  ``q * scale`` lies at most ``off`` from the unit vector ``u`` of the unlagged series.  A
+    lagged vector is ``u`` moved, less the days that leave the record: its product with any unit vector is at most ``more``
+    times that of the moved ``u``, with ``less`` added before.
+    """
+    cell_type = series.schema["cell"].dataType.simpleString()
+
+    def one(days: np.ndarray, values: np.ndarray):
+        values = values.astype(float)
+        dev = values - values.sum() / len(values)
+        norm = math.sqrt(float(dev @ dev))
+        lagged = Lagged(days, values, first, axis, lags).u
+        if not any(row is not None for row in lagged.values()):
+            return None
+        q, scale, off, more, less = np.zeros(len(axis), np.int8), 0.0, 0.0, 1.0, 0.0
+        if norm > 0:
+            u = np.zeros(len(axis))
+            u[days - first] = dev / norm
+            scale = float(np.abs(u).max()) / 127
+            q = np.rint(u / scale).astype(np.int8)
+            off = float(np.linalg.norm(u - q * scale))
+            for lag, row in lagged.items():
+                if row is None:
+                    continue
+                at = days - lag - first
+                kept = (at >= 0) & (at < len(axis))
+                kept[kept] = axis[at[kept]]
+                d = dev[kept]
+                shift = abs(float(d.sum())) / len(d)
+                d = d - d.sum() / len(d)
+                more = max(more, norm / math.sqrt(float(d @ d)))
+                less = max(less, shift * math.sqrt(len(d)) / norm)
+        return hashlib.blake2b(days.tobytes() + values.tobytes(), digest_size=16).digest(), q.tobytes(), scale, off, more, less
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k, (days, values) in enumerate(zip(batch.column("days"), batch.column("values"))):
+                row = one(days.values.to_numpy(zero_copy_only=False).astype(np.int64), values.values.to_numpy(zero_copy_only=False))
+                if row:
+                    found.append((k, *row))
+            columns = list(zip(*found)) or [()] * 7
+            cells = batch.column("cell").take(pa.array(columns[0], pa.int64()))
+            kinds = (pa.binary(), pa.binary(), *[pa.float64()] * 4)
+            names = ["cell", "same", "q", "scale", "off", "more", "less"]
+            yield pa.RecordBatch.from_arrays([cells, *[pa.array(c, kind) for c, kind in zip(columns[1:], kinds)]], names)
+
+    return series.mapInArrow(run, f"cell {cell_type}, same binary, q binary, scale double, off double, more double, less double")
+
+
+def tiled_candidates(rounded: DataFrame, width: int, lags: Sequence[int], max_dist: float) -> DataFrame:
+    """``(x, y)`` in any order, each pair once and every cell with itself, that can reach a correlation of ``1 - max_dist`` at some lag."""
+    cell_type = rounded.schema["cell"].dataType.simpleString()
+    rounding = width * 2.0**-23  # of sums of single precision
+
+    def numbers(t: pa.Table) -> tuple[np.ndarray, ...]:
+        scale, off, more, less = (t[c].to_numpy() for c in ("scale", "off", "more", "less"))
+        return scale, off, (1 - max_dist) / more - less
+
+    def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        found = []
+        if len(a) and len(b):
+            names = a["cell"].combine_chunks(), b["cell"].combine_chunks()
+            left, right = packed_rows(a["q"], np.int8), packed_rows(b["q"], np.int8).astype(np.float32)
+            (scale_a, off_a, need_a), (scale_b, off_b, need_b) = numbers(a), numbers(b)
+            for at in range(0, len(left), STRIP):
+                part = slice(at, at + STRIP)
+                strip, best = left[part].astype(np.float32), None
+                for lag in lags:
+                    ahead, behind = max(lag, 0), max(-lag, 0)
+                    product = strip[:, behind : width - ahead] @ right[:, ahead : width - behind].T
+                    best = product if best is None else np.maximum(best, product, out=best)
+                best *= scale_a[part, None].astype(np.float32)
+                best *= scale_b[None, :].astype(np.float32)
+                slack = off_a[part, None] + off_b[None, :] + off_a[part, None] * off_b[None, :] + rounding
+                rows, cols = np.nonzero(best >= np.minimum(need_a[part, None], need_b[None, :]) - slack)
+                if same:
+                    rows, cols = rows[rows + at < cols], cols[rows + at < cols]
+                found.append((names[0].take(pa.array(rows + at)), names[1].take(pa.array(cols))))
+            if same:
+                found.append(names)
+        kind = a.schema.field("cell").type
+        return pa.table([pa.chunked_array([f[k] for f in found], kind) for k in range(2)], ["x", "y"])
+
+    return range_pairs(rounded.select("cell", "q", "scale", "off", "more", "less"), kernel, f"x {cell_type}, y {cell_type}")
+
+
+def checked_pairs(pairs: DataFrame, series: DataFrame, first: int, axis: np.ndarray, lags: Sequence[int], max_dist: float) -> DataFrame:
+    """``(i, j, dist)`` of both directions of each pair, as far as they lie within ``max_dist``: i is the unlagged one.
+
+    Cells are put into blocks of ``BLOCK`` in a row; a series is sent once to each two blocks that have a pair of it.
+    """
+    field = series.schema["cell"]
+    whole = field.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+    def block(c: str) -> Column:
+        return F.floor(F.col(c) / BLOCK) if whole else F.pmod(F.xxhash64(c), F.lit(1 << 12))
+
+    placed = cut(pairs.withColumns({"_a": block("x").cast("long"), "_b": block("y").cast("long")}))
+    ends = placed.select("_a", "_b", F.col("x").alias("cell")).union(placed.select("_a", "_b", "y")).distinct()
+    asked = ends.join(series, "cell").select(F.col("_a").alias("_ka"), F.col("_b").alias("_kb"), "cell", "days", "values")
+
+    def run(key, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        known = {
+            c: Lagged(np.asarray(d, np.int64), np.asarray(v, float), first, axis, lags).u for c, d, v in zip(rows["cell"], rows["days"], rows["values"])
+        }
+        out = []
+        for x, y in zip(pairs["x"], pairs["y"]):
+            for i, j in ((x, y), (y, x))[: 1 if x == y else 2]:
+                base = known[i][0]
+                if base is None:
+                    continue
+                corr = [float(base @ other) for other in known[j].values() if other is not None]
+                if corr and 1 - max(corr) <= max_dist:
+                    out.append((i, j, 1 - max(corr)))
+        return pd.DataFrame(out, columns=["i", "j", "dist"])
+
+    cell = field.dataType.simpleString()
+    return placed.groupBy("_a", "_b").cogroup(asked.groupBy("_ka", "_kb")).applyInPandas(run, f"i {cell}, j {cell}, dist double")
+
+
+def tiled_join(field: DataFrame, lags: Sequence[int], max_dist: float) -> DataFrame:
+    """:func:`correlation_join` by tiles of rounded series and exact products of what they leave."""
+    series = cut(whole_series(field))
+    days = [r[0] for r in field.select(day_number("time")).distinct().collect()]  # bounded by the calendar
+    first = min(days, default=0)
+    axis = np.zeros(max(days, default=0) - first + 1, bool)
+    axis[np.asarray(days, np.int64) - first] = True
+    rounded = cut(rounded_series(series, first, axis, lags))
+    members = cut(rounded.join(rounded.groupBy("same").agg(F.min("cell").alias("root")), "same").select("cell", "root"))
+    roots = members.where("cell = root").select("cell")
+    pairs = tiled_candidates(cut(rounded.join(roots, "cell", "left_semi")), len(axis), lags, max_dist)
+    found = checked_pairs(pairs, series, first, axis, lags, max_dist).select(F.col("i").alias("_i"), F.col("j").alias("_j"), "dist")
+    sides = [members.select(F.col("root").alias(f"_{c}"), F.col("cell").alias(c)) for c in "ij"]
+    return found.join(sides[0], "_i").join(sides[1], "_j").where("i < j").select("i", "j", "dist")
+
+
+def correlation_join(field: DataFrame, lags: Sequence[int], max_dist: float) -> DataFrame:
+    """``(i, j, dist)``, i < j, with ``1 - max over lags`` of the correlation of cell i with cell j lagged at most ``max_dist``."""
+    field = cut(field.select("cell", "time", "value"))  # read several times
+    if waves_tell_apart(field, lags, max_dist):
+        return wave_join(field, lags, max_dist)
+    return tiled_join(field, lags, max_dist)

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from fieldcast.operators import distances, seriesjoin
+from fieldcast.operators import distances, seriesjoin, tiles
 
 ORIGIN = dt.date(2001, 1, 1)
 
@@ -59,3 +59,30 @@ def test_waves_leave_few_candidates(spark):
 def test_empty_and_constant_fields(spark):
     for series in ({}, {0: [None] * 3, 1: [None] * 3}, {0: [1.0] * 9, 1: [2.0] * 9}):
         assert distances.max_correlation_distances(field(spark, series), [0], max_dist=0.5).count() == 0
+
+
+@pytest.mark.parametrize("max_dist", [0.02, 0.4, 0.9])
+def test_noise_is_compared_in_tiles(spark, monkeypatch, max_dist):
+    """Sums over runs of noise, as neighbours of the supplier field are: waves tell nothing apart, and tiles lose no pair."""
+    monkeypatch.setattr(seriesjoin, "candidate_series", None)  # the cubes are not asked
+    monkeypatch.setattr(seriesjoin, "BLOCK", 4)
+    monkeypatch.setattr(tiles, "LEAST", 7)
+    rng = np.random.default_rng(7)
+    noise = rng.integers(0, 10**6, (30, 300)).astype(float)
+    series = {k: list(noise[k : k + 5].sum(0)) for k in range(20)}
+    series |= {20: list(series[3]), 21: list(series[3]), 22: series[8][4:] + [None] * 4, 23: [None] * 2 + [v if rng.random() < 0.7 else None for v in series[9][2:]]}
+    series |= {24: [7.0] * 300, 25: [None] * 299 + [3.0], 26: [5.0] * 299 + [9.0], 27: [None] * 297 + [1.0, 2.0, 9.0]}
+    rows = field(spark, series)
+    every = {(r.i, r.j): r.dist for r in distances.max_correlation_distances(rows, [-4, 0, 4]).collect()}
+    near = {k: v for k, v in every.items() if v is not None and v <= max_dist}
+    found = seriesjoin.tiled_join(rows, [-4, 0, 4], max_dist).collect()
+    assert len({(r.i, r.j) for r in found}) == len(found)
+    assert {(r.i, r.j): r.dist for r in found} == pytest.approx(near, abs=1e-9)
+    assert len(near) >= 4
+
+
+def test_noise_goes_by_tiles_and_waves_by_cubes(spark):
+    rng = np.random.default_rng(1)
+    noise = {k: list(rng.normal(size=300)) for k in range(12)}
+    assert not seriesjoin.waves_tell_apart(field(spark, noise), [-4, 0, 4], 0.4)
+    assert seriesjoin.waves_tell_apart(field(spark, waves(rng, 20, 2, noise=0.02)), [0], 0.02)
