@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.functions.dates import doy_targets
+from fieldcast.session import cut, dealt_by_size
 
 
 def climatology(
@@ -38,5 +39,14 @@ def anomaly(field: DataFrame, clim: DataFrame, value: str = "value") -> DataFram
 
 
 def daily_anomaly(field: DataFrame, **kw) -> DataFrame:
-    """Climatology of the field itself and the anomalies from it."""
-    return anomaly(field, climatology(field, **kw))
+    """Climatology of the field itself and the anomalies from it.
+
+    The field is written once, so its rows are known before they are shuffled: tasks become more with them, not larger.
+    """
+    field = cut(field)
+    rows = field.count()
+    clim = climatology(dealt_by_size(field, 2 * rows, "cell"), **kw)
+    value = kw.get("value", "value")
+    keyed = dealt_by_size(field.withColumn("doy", F.dayofyear("time")), rows, "cell", "doy")
+    joined = keyed.join(dealt_by_size(clim, rows, "cell", "doy"), ["cell", "doy"])
+    return joined.select("cell", "time", (F.col(value) - F.col("clim")).alias(value))

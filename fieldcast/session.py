@@ -70,3 +70,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a shuffle that one task should sort, join or aggregate.
+ROWS = 1 << 21
+
+
+def dealt_by_size(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` into as many partitions as ``rows`` rows ask for, so that a task's memory does not grow with them.
+
+    Where the session's own number of partitions is enough it is left to that, and AQE may lower it.
+    """
+    wanted = -(-rows // ROWS)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(wanted, *keys) if wanted > usual else df.repartition(*keys)
