@@ -21,7 +21,7 @@ from fieldcast.functions.stats import (
 )
 from fieldcast.operators.folds import training_copies, with_year_fold
 from fieldcast.operators.temporal import lag_field, past_value
-from fieldcast.session import cut
+from fieldcast.session import cut, dealt_by_size
 
 GROUP = ["cell", "lag", "fold"]
 
@@ -61,11 +61,12 @@ def lag_pairs(field: DataFrame, response: DataFrame, lags: Sequence[int], n_fold
               partial: int | None = None) -> DataFrame:
     """Detrended training pairs ``(cell, lag, fold, time, x, y)``: the input of any measure.
 
-    The field is shuffled once, by cell; fanning out lags and folds and all later windows
+    The field is written and shuffled once, by cell, into tasks that become more with its rows, lags and folds; fanning out lags and folds and all later windows
     and aggregations keyed by cell reuse that partitioning.  Folds are numbered along time
     (``fieldfold``), which :func:`fieldcast.plans.flows.forecast` maps to those of the models.
     """
-    rows = field.where(F.col("value").isNotNull()).repartition("cell")
+    known = cut(field.where(F.col("value").isNotNull()))  # its rows are known before the shuffle
+    rows = dealt_by_size(known, known.count() * len(lags) * max(1, (n_folds or 1) - 1), "cell")
     # A constant cell has no correlation; without values its result is NULL, not noise.
     whole = Window.partitionBy("cell")
     varies = F.min("value").over(whole) < F.max("value").over(whole)
