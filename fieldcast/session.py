@@ -76,11 +76,14 @@ def cut(df: DataFrame) -> DataFrame:
 ROWS = 1 << 21
 
 
+def more_than_usual(spark: SparkSession, rows: int) -> bool:
+    """Whether ``rows`` rows ask for more tasks than the session's number of shuffle partitions."""
+    return -(-rows // ROWS) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def dealt_by_size(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """``df`` shuffled by ``keys`` into as many partitions as ``rows`` rows ask for, so that a task's memory does not grow with them.
 
     Where the session's own number of partitions is enough it is left to that, and AQE may lower it.
     """
-    wanted = -(-rows // ROWS)
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(wanted, *keys) if wanted > usual else df.repartition(*keys)
+    return df.repartition(-(-rows // ROWS), *keys) if more_than_usual(df.sparkSession, rows) else df.repartition(*keys)

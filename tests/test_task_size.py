@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldcast import session
 from fieldcast.operators import association, climate
+from fieldcast.sources import adapters
 
 
 def days(spark, cells, n):
@@ -29,3 +30,12 @@ def test_anomalies_and_pairs_are_dealt_by_size(spark, monkeypatch):
     pairs = association.lag_pairs(field, association.prepare_response(target), [-7, -15])
     assert parts(pairs) > 16
     assert parts(association.spearman(pairs)) > 16
+
+
+def test_supplier_field_is_dealt_by_size(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    usual = sorted(tuple(r) for r in adapters.supplier_field(spark, folder).collect())
+    monkeypatch.setattr(session, "ROWS", 200)
+    found = adapters.supplier_field(spark, folder)
+    assert parts(found) > 16
+    assert sorted(tuple(r) for r in found.collect()) == usual
