@@ -16,37 +16,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast.functions.geo import EARTH_RADIUS_KM
-from fieldcast.operators.distances import neighbours
+from fieldcast.operators.distances import meetings, near_places
 from fieldcast.session import cut
 
 HALF_EARTH_KM = 20100.0  # Fixed value: no two points are farther apart.
+#: Sites that one meets in its own and the adjoining cubes at the first radius, and where halving ends.
+MEET, LEAST_KM = 64, 1e-3
+
+
+def fitting(sites: DataFrame, km: float, keys: Sequence[str] = ()) -> float:
+    """``km``, halved until the cubes of that side let a site meet ``MEET`` others on average at most."""
+    rows = sites.count()
+    while km > LEAST_KM:
+        met = near_places(sites, km, keys).agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0
+        if met <= MEET * rows:
+            break
+        km /= 2
+    return km
 
 
 def core_distances(points: DataFrame, min_samples: int, keys: Sequence[str] = (), start_km: float = 300.0) -> DataFrame:
     """``(keys, cell, core)``: distance in km to the ``min_samples``-th other point.
 
-    Points with too few neighbours inside the search radius are searched again at twice
-    the radius, until every point is settled.  Fields with too few points have NULL.
+    Points of one place are one weighted site.  Sites with too few neighbours inside the search radius are searched again at twice
+    the radius, until every one is settled; only pairs with an open site are made.  Fields with too few points have NULL.
     """
     keys = list(keys)
-    radius, open_points, done = start_km, points, None
-    while True:
-        # Only open points search, among all points of their field.
-        pairs = neighbours(points, radius, keys)
-        both = pairs.select(*keys, F.col("i").alias("cell"), "km").unionByName(
-            pairs.select(*keys, F.col("j").alias("cell"), "km")
-        )
-        mine = both.join(open_points.select(*keys, "cell"), [*keys, "cell"], "left_semi")
-        place = F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("km"))
-        found = cut(
-            mine.withColumn("_r", place).where(F.col("_r") == min_samples).select(*keys, "cell", F.col("km").alias("core"))
-        )
-        done = found if done is None else done.unionByName(found)
-        open_points = cut(open_points.join(found, [*keys, "cell"], "left_anti"))
-        if radius >= HALF_EARTH_KM or open_points.isEmpty():
+    place = [*keys, "lat", "lon"]
+    located = points.where("lat is not null and lon is not null")
+    sites = cut(located.groupBy(*place).agg(F.min("cell").alias("cell"), F.count(F.lit(1)).alias("_n")))
+    radius = fitting(sites, start_km, keys)
+    needed = F.lit(min_samples) - F.col("_n") + 1
+    done = sites.where(needed <= 0).select(*place, F.lit(0.0).alias("core"))
+    searched = cut(sites.withColumn("open", needed > 0))
+    while not searched.where("open").isEmpty():
+        met = meetings(searched, radius, keys)
+        seen = [
+            met.where(f"{x}_open").select(*keys, *(F.col(f"{x}_{c}").alias(c) for c in ("cell", "lat", "lon", "_n")), "km", F.col(f"{y}__n").alias("_near"))
+            for x, y in ("lr", "rl")
+        ]
+        # Every site holds a point at least, so the nearest min_samples sites are enough.
+        own = Window.partitionBy(*keys, "cell").orderBy("km")
+        nearest = seen[0].unionByName(seen[1]).withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= min_samples)
+        summed = nearest.withColumn("_sum", F.sum("_near").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+        found = cut(summed.where(F.col("_sum") >= needed).groupBy(*place).agg(F.min("km").alias("core")))
+        done = done.unionByName(found)
+        if radius >= HALF_EARTH_KM:
             break
+        settled = found.select(*place, F.lit(True).alias("_found"))
+        searched = cut(searched.join(settled, place, "left").withColumn("open", F.col("open") & F.isnull("_found")).drop("_found"))
         radius = min(radius * 2, HALF_EARTH_KM)
-    return points.select(*keys, "cell").join(done, [*keys, "cell"], "left")
+    return points.select(*place, "cell").join(done, place, "left").select(*keys, "cell", "core")
 
 
 def _follow(hooks: DataFrame) -> DataFrame:
@@ -78,53 +98,49 @@ def spanning_tree(points: DataFrame, cores: DataFrame, keys: Sequence[str] = (),
     Rounds of Boruvka: every component takes its lightest outgoing edge, then components
     contract.  Edges up to a radius hold every reachability up to that radius, so the tree
     is final below it; the radius doubles for what is still apart, and then only pairs of
-    different components are kept.
+    different components meet, of each two components the lightest edge is written.  Points of one place hang on the one
+    with the least core distance, as no edge to elsewhere is lighter than their own core distance.
     """
     keys = list(keys)
-    named = [*keys, "cell"]
-    known = cores.where(F.col("core").isNotNull())
-    settled = points.join(known, named)
-    labels = cut(settled.select(F.struct(*named).alias("node"), F.struct(*named).alias("root")))
-    # No edge is lighter than the core distances at its ends, so a search below the largest
-    # one would only be repeated.
-    widest = known.agg(F.max("core")).first()[0] or start_km
-    tree, radius = None, min(max(start_km, widest), HALF_EARTH_KM)
-
-    def relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            table = labels.select(F.col("node").alias(end), F.col("root").alias(f"c{end}"))
-            edges = edges.drop(f"c{end}").join(table, end)
-        return edges.where("ca <> cb")
+    named, place = [*keys, "cell"], [*keys, "lat", "lon"]
+    settled = points.join(cores.where(F.col("core").isNotNull()), named)
+    head = F.min(F.struct("core", "cell")).alias("_h")
+    sites = cut(settled.groupBy(*place).agg(head).select(*place, "_h.cell", "_h.core"))
+    labels = cut(sites.select(F.struct(*named).alias("node"), F.struct(*named).alias("root")))
+    heads = sites.select(*place, F.col("cell").alias("_h"))
+    hung = settled.join(heads, place).where(F.col("cell") != F.col("_h"))
+    tree = hung.select(*keys, F.least("cell", "_h").alias("a"), F.greatest("cell", "_h").alias("b"), F.col("core").alias("w"))
+    # No edge is lighter than the core distances at its ends, so where sites are few a search
+    # below the largest one would only be repeated.
+    widest = sites.agg(F.max("core")).first()[0] or start_km
+    radius = fitting(sites, min(max(start_km, widest), HALF_EARTH_KM), keys)
+
+    def lightest(edges: DataFrame) -> DataFrame:
+        """Of each two components ``ca, cb`` the least edge ``e``; minima are combined before the shuffle."""
+        ends = edges.where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "e")
+        return cut(ends.groupBy("ca", "cb").agg(F.min("e").alias("e")))
 
     while True:
-        pairs = neighbours(settled, radius, keys)
-        for end in ("i", "j"):
-            table = known.select(*keys, F.col("cell").alias(end), F.col("core").alias(f"_{end}"))
-            pairs = pairs.join(table, [*keys, end])
-        edges = pairs.select(
-            F.struct(*keys, F.col("i").alias("cell")).alias("a"),
-            F.struct(*keys, F.col("j").alias("cell")).alias("b"),
-            F.greatest("km", "_i", "_j").alias("w"),
-        ).where(F.col("w") <= radius)
-        edges = cut(relabel(edges, labels))
+        rooted = sites.where(F.col("core") <= radius).join(labels.select("node.*", "root"), named)
+        met = meetings(cut(rooted), radius, keys)
+        w = F.greatest("km", "l_core", "r_core")
+        e = F.struct(w.alias("w"), *keys, F.least("l_cell", "r_cell").alias("a"), F.greatest("l_cell", "r_cell").alias("b"))
+        edges = lightest(met.where(w <= radius).select(F.col("l_root").alias("ca"), F.col("r_root").alias("cb"), e.alias("e")))
         while not edges.isEmpty():
-            best = F.struct("w", "a", "b")
-            offers = edges.select(F.explode(F.array("ca", "cb")).alias("c"), best.alias("e"), "ca", "cb")
+            offers = edges.select(F.explode(F.array("ca", "cb")).alias("c"), "e", "ca", "cb")
             offers = offers.withColumn("to", F.when(F.col("c") == F.col("ca"), F.col("cb")).otherwise(F.col("ca")))
             chosen = cut(offers.groupBy("c").agg(F.min("e").alias("e"), F.min_by("to", "e").alias("to")))
-            taken = chosen.select("e.*").distinct()
-            tree = taken if tree is None else tree.unionByName(taken)
+            tree = tree.unionByName(chosen.select("e.*").distinct().select(*keys, "a", "b", "w"))
             parts = _follow(chosen.select("c", "to"))
             moved = labels.join(parts.select(F.col("c").alias("root"), F.col("to").alias("_new")), "root", "left")
             labels = cut(moved.select("node", F.coalesce("_new", "root").alias("root")))
-            edges = cut(relabel(edges, labels))
+            for end in ("ca", "cb"):
+                edges = edges.join(parts.select(F.col("c").alias(end), F.col("to").alias("_to")), end).drop(end).withColumnRenamed("_to", end)
+            edges = lightest(edges)
         apart = labels.groupBy(*[F.col(f"node.{k}").alias(k) for k in keys]).agg(F.count_distinct("root").alias("_n"))
         if radius >= HALF_EARTH_KM or apart.where("_n > 1").isEmpty():
-            break
+            return tree
         radius = min(radius * 2, HALF_EARTH_KM)
-    if tree is None:  # fields of single points have no edge
-        return settled.select(*keys, F.col("cell").alias("a"), F.col("cell").alias("b"), F.lit(0.0).alias("w")).where("false")
-    return tree.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.cell").alias("a"), F.col("b.cell").alias("b"), "w")
 
 
 class _Tree:

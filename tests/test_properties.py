@@ -466,3 +466,26 @@ def test_packed_values_unpack(spark):
 def test_math_of_skill():
     assert math.isclose(1e-4 * 5, assoc.varying_alpha(1))
     assert assoc.precursor_lags(7)[:3] == [0, -7, -8]
+
+
+def test_hdbscan_writes_no_pairs_of_a_crowd(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    crowd = [(40 + a, 10 + b) for a, b in rng.normal(0, 0.05, (300, 2))]
+    xy = [*crowd, *crowd[:30], *crowd[:5], *crowd[:5], *crowd[:5], *crowd[:5], (40.0, 30.0), (40.2, 30.0), (41.0, 31.0), (-35.0, -100.0)]
+    pts = _points(spark, xy).withColumn("fold", F.lit(1))
+    core, edges = _mutual_tree(xy, 4)
+    written, plain = [], hierarchy.cut
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    for module in (hierarchy, distances):
+        monkeypatch.setattr(module, "cut", counted, raising=False)
+    cores = hierarchy.core_distances(pts, 4, ["fold"])
+    got = {r.cell: r.core for r in cores.collect()}
+    assert [got[i] for i in range(len(xy))] == pytest.approx(core, rel=1e-9, abs=1e-9)
+    tree = hierarchy.spanning_tree(pts, plain(cores), ["fold"]).collect()
+    assert sorted(r.w for r in tree) == pytest.approx([e[2] for e in edges], rel=1e-9, abs=1e-9)
+    assert max(written) < 40 * len(xy)
