@@ -5,9 +5,10 @@ near-identity, so the general rule, ``near_duplicates``, is another one: texts w
 similarity of ``SIMILAR`` = 0.8 at least.  One SimHash of 64 bits would need a radius of some 17 bits for it, beyond any blocks, so the
 fingerprints there are ``BANDS`` keys of ``DEPTH`` least hashes each: a pair at 0.8 shares none of them once in 65,000 times, a more
 similar one less often.  Candidates are verified by their whole shingle sets.  In a band that many texts share each is compared
-to one centre, another one in each band.  Texts of bands that these links leave in different components are then joined by their rarest
-shingles: two sets at 0.8 share one of the fifth that is rarest in either, so no candidate is lost, and texts that have only a passage in
-common, however many, do not meet.
+to one centre, another one in each band; in a band of ``FEW`` texts at most all are compared.  Texts of larger bands that these links leave
+in different components are then joined by their rarest shingles: two sets at 0.8 share one of the fifth that is rarest in either, so no
+candidate is lost, and texts that have only a passage in common, however many, do not meet.  Nor do copies of one text with so many changes
+of their own that no two of them can be at 0.8: shingles that a text has alone bound its similarity to every other.
 
 A fingerprint has a bit set where over half of the text's shingle hashes have it.  Two fingerprints at most ``DISTANCE`` = 2 bits
 apart agree in at least three of five blocks of bits, so they share one of ten keys made of three blocks (some 38 bits).  Equal
@@ -51,6 +52,11 @@ BANDS, DEPTH = 28, 5
 #: deviations under what a similarity of ``SIMILAR`` gives.
 SKETCH = 128
 FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Numbers of 64 such bits for texts that meet by rare shingles, by which fewer pairs are read in vain.
+LONG = 64
+LONG_FACTORS = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 63, 64 * LONG, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of a band that are all compared to each other.
+FEW = 8
 #: Shingle hashes multiplied with all factors at once.
 STRIPE = 1 << 10
 #: Shingle hashes turned into bits at once.
@@ -175,18 +181,29 @@ def with_bands(docs: DataFrame, size: int) -> DataFrame:
     return add_columns(docs, "text", fields, make)
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, own``: the shingle hashes of the ``wanted`` nodes, written once."""
+def long_sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of ``64 * LONG`` least hashes of a set, as signed numbers."""
+    least = np.full(len(LONG_FACTORS), ~np.uint64(0))
+    for at in range(0, len(hashes), STRIPE // 8):
+        np.minimum(least, (hashes[at : at + STRIPE // 8, None] * LONG_FACTORS).min(axis=0), out=least)
+    return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view("<i8")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, sketched: bool = False) -> DataFrame:
+    """``node, own``: the shingle hashes of the ``wanted`` nodes, written once; with ``sketch`` where asked for."""
+    kinds = {"own": pa.list_(pa.int64())} | ({"sketch": pa.list_(pa.int64())} if sketched else {})
+
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:
-            sets = (np.unique(shingles(t.translate(LOWER).split(), size)).view(np.int64) for t in texts.cast(pa.binary()).fill_null(b"").to_pylist())
-            return [pa.array(list(sets), pa.list_(pa.int64()))]
+            sets = [np.unique(shingles(t.translate(LOWER).split(), size)) for t in texts.cast(pa.binary()).fill_null(b"").to_pylist()]
+            rows = {"own": [x.view(np.int64) for x in sets], "sketch": map(long_sketch, sets)}
+            return [pa.array(list(rows[name]), kind) for name, kind in kinds.items()]
 
         return work
 
     hashed = cut(nodes.select("node", "text_hash").join(wanted, "node"))
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(hashed, "text_hash").select("node", "text").dropDuplicates(["node"])
-    return cut(add_columns(texts, "text", [T.StructField("own", T.ArrayType(T.LongType()))], make).drop("text"))
+    return cut(add_columns(texts, "text", [T.StructField(name, T.ArrayType(T.LongType())) for name in kinds], make).drop("text"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -201,10 +218,10 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
-    """``node, shingle``: of each set its rarest shingles, so many that two sets of similarity ``similar`` share one of them.
+    """``node, n, alone, shingle``: of each set its rarest shingles, so many that two sets of similarity ``similar`` share one of them.
 
-    Rare is counted among ``sets``; of n shingles the n - ceil(similar n) + 1 rarest are needed.  Those of one set alone take up places
-    first but meet nothing, so they have no rows.
+    Rare is counted among ``sets``; of n shingles the n - ceil(similar n) + 1 rarest are needed.  The ``alone`` ones of one set alone
+    take up places first but meet nothing, so they have no rows.
     """
     each = sets.select("node", F.size("own").alias("n"), F.explode("own").alias("shingle"))
     shared = each.join(each.groupBy("shingle").agg(F.count("*").alias("in_sets")).where("in_sets > 1"), "shingle")
@@ -212,38 +229,63 @@ def rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
     alone = F.col("n") - F.count("*").over(own)
     places = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1
     ranked = shared.withColumn("place", F.row_number().over(own.orderBy("in_sets", "shingle"))).withColumn("alone", alone)
-    return ranked.where(F.col("alone") + F.col("place") <= places).select("node", "shingle")
+    return ranked.where(F.col("alone") + F.col("place") <= places).select("node", "n", "alone", "shingle")
+
 
+def promising(rare: DataFrame, similar: float) -> DataFrame:
+    """The ``rare`` rows (``rare_shingles`` with ``root``) that can meet one of another root at ``similar``.
 
-def near_links(docs: DataFrame, nodes: DataFrame, size: int, similar: float) -> DataFrame:
+    What two sets share is at most n - alone of either, what they do not share at least alone of both.  So a set whose own alone and the
+    least one among those with its shingle are too many meets nobody there, however many have the shingle.
+    """
+    fits = F.lit(1 - similar) * (F.col("n") - F.col("alone")) + 1e-9 >= F.lit(similar) * (F.col("alone") + F.col("least"))
+    rows = rare
+    for _ in range(2):
+        least = rows.groupBy("shingle").agg(F.min("alone").alias("least"), F.min("root").alias("one"), F.max("root").alias("other"))
+        rows = cut(rows.join(least.where("one <> other").select("shingle", "least"), "shingle").where(fits).drop("least"))
+    return rows
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, size: int, similar: float, few: int = FEW) -> DataFrame:
     """Links ``(a, b)`` of nodes whose components are those of all verified candidates."""
     own = ["node", "many", "low", "high"]
     keys = nodes.select(*own, F.explode("bands").alias("key"))
     centre = F.min(F.struct(F.xxhash64("node", "key").alias("turn"), *own)).alias("centre")
-    met = cut(keys.join(keys.groupBy("key").agg(centre, F.count("*").alias("n")).where("n > 1").drop("n"), "key"))
+    met = cut(keys.join(keys.groupBy("key").agg(centre, F.count("*").alias("n")).where("n > 1"), "key"))
     share = (1 + similar) / 2
-    agree = SKETCH * share - 5 * (SKETCH * share * (1 - share)) ** 0.5
+
+    def most(bits: int) -> float:
+        return bits * (1 - share) + 5 * (bits * share * (1 - share)) ** 0.5
 
     def alike(a: str, b: str) -> Column:
         differ = F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
-        few, many = F.least(f"{a}many", f"{b}many"), F.greatest(f"{a}many", f"{b}many")
-        return (differ <= SKETCH - agree) & (few >= F.lit(similar) * many)
+        less, more = F.least(f"{a}many", f"{b}many"), F.greatest(f"{a}many", f"{b}many")
+        return (differ <= most(SKETCH)) & (less >= F.lit(similar) * more)
 
     def named(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        return cut(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     stars = named(met.where((F.col("node") != F.col("centre.node")) & alike("", "centre.")), "node", "centre.node")
-    near = cut(verified(stars, shingle_sets(docs, nodes, ends(stars), size), similar))
+    small = met.where((F.col("n") > 2) & (F.col("n") <= few))
+    one, two = (small.select("key", *(F.col(c).alias(f"{x}_{c}") for c in own)) for x in "lr")
+    inside = named(one.join(two, "key").where((F.col("l_node") < F.col("r_node")) & alike("l_", "r_")), "l_node", "r_node")
+    pairs = cut(stars.union(inside).distinct())
+    near = cut(verified(pairs, shingle_sets(docs, nodes, ends(pairs), size), similar))
     roots = components(near)
-    rooted = met.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # All pairs of a small band have been compared by now.
+    rooted = met.where(F.col("n") > few).select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
     rest = cut(rooted.join(mixed, "key").select("node", "root").distinct())
-    sets = shingle_sets(docs, nodes, rest.select("node"), size)
+    sets = shingle_sets(docs, nodes, rest.select("node"), size, True)
     told = rest.join(nodes.select(*own), "node")
-    met_again = cut(rare_shingles(sets, similar).join(told, "node"))
-    left, right = (met_again.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in (*own, "root"))) for x in "lr")
-    apart = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("l_root") < F.col("r_root")) & alike("l_", "r_"))
-    return near.union(verified(named(apart, "l_node", "r_node"), sets, similar))
+    met_again = promising(rare_shingles(sets, similar).join(told, "node"), similar).join(sets.select("node", "sketch"), "node")
+    left, right = (met_again.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in (*own, "root", "n", "alone", "sketch"))) for x in "lr")
+    unlike = F.zip_with("l_sketch", "r_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    closely = F.aggregate(unlike, F.lit(0), lambda x, y: x + y) <= most(64 * LONG)
+    shared = F.least(F.col("l_n") - F.col("l_alone"), F.col("r_n") - F.col("r_alone"))
+    possible = F.lit(1 - similar) * shared + 1e-9 >= F.lit(similar) * (F.col("l_alone") + F.col("r_alone"))
+    apart = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("l_root") < F.col("r_root")) & possible & alike("l_", "r_") & closely)
+    return near.union(verified(cut(named(apart, "l_node", "r_node").distinct()), sets, similar))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = WIDE, similar: float = SIMILAR) -> DataFrame:

@@ -132,6 +132,27 @@ def test_stage_finds_near_copies_as_brute_force_does(spark):
     assert sum(bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).count("1") > 2 for i, j in pairs[:200]) > 20
 
 
+def test_copies_with_changes_of_their_own_are_not_paired(spark, monkeypatch):
+    rnd = random.Random(3)
+    base = [prose(rnd, 1) + str(i) for i in range(150)]
+    texts = []
+    for i in range(150):  # any two are at 121 / 171
+        words = list(base)
+        for at in (10, 40, 70, 100, 130):
+            words[at] = f"own{i}at{at}"
+        texts.append(" ".join(words))
+    asked, plain = [], simhash.verified
+
+    def counted(pairs, sets, similar):
+        asked.append(pairs.count())
+        return plain(pairs, sets, similar)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.doc_id == r.component_id for r in simhash.near_duplicates(docs).collect())
+    assert asked[0] > 0 and asked[1] == 0
+
+
 # --- sharding ------------------------------------------------------------------------
 
 
