@@ -470,8 +470,8 @@ def test_math_of_skill():
 
 def test_hdbscan_writes_no_pairs_of_a_crowd(spark, monkeypatch):
     rng = np.random.default_rng(8)
-    crowd = [(40 + a, 10 + b) for a, b in rng.normal(0, 0.05, (300, 2))]
-    xy = [*crowd, *crowd[:30], *crowd[:5], *crowd[:5], *crowd[:5], *crowd[:5], (40.0, 30.0), (40.2, 30.0), (41.0, 31.0), (-35.0, -100.0)]
+    crowd = [(40 + a, 10 + b) for a, b in rng.normal(0, 0.8, (250, 2))]
+    xy = [*crowd, *crowd[:30], *crowd[:5], *crowd[:5], *crowd[:5], *crowd[:5], (46.0, 10.0), (46.1, 10.0)]
     pts = _points(spark, xy).withColumn("fold", F.lit(1))
     core, edges = _mutual_tree(xy, 4)
     written, plain = [], hierarchy.cut
