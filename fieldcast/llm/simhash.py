@@ -1,14 +1,16 @@
-"""Operator 6: SimHash near-duplicates through pigeonhole blocks; near copies by the Jaccard similarity of their shingles.
+"""Operator 6: SimHash near-duplicates through pigeonhole blocks, by the contract and by the general rule.
 
 ``op6_simhash`` keeps to its contract: shingles of ``SHINGLE`` = 3 words, fingerprints at most ``DISTANCE`` = 2 bits apart.  Two bits are
 near-identity, so the general rule, ``near_duplicates``, is another one: texts whose sets of ``WIDE`` = 5 word shingles have a Jaccard
-similarity of ``SIMILAR`` = 0.8 at least.  One SimHash of 64 bits would need a radius of some 17 bits for it, beyond any blocks, so the
-fingerprints there are ``BANDS`` keys of ``DEPTH`` least hashes each: a pair at 0.8 shares none of them once in 65,000 times, a more
-similar one less often.  Candidates are verified by their whole shingle sets.  In a band that many texts share each is compared
-to one centre, another one in each band; in a band of ``FEW`` texts at most all are compared.  Texts of larger bands that these links leave
+similarity of ``SIMILAR`` = 0.8 at least.  The SimHashes of two such texts differ in 15 % of their bits at most on average, beyond any blocks
+of 64 bits, so the fingerprint there has ``64 * LENGTH`` bits, and a key is made of ``DEPTH`` bits of it or more.  There are so many keys that a
+pair at 0.8 shares none of them ``LOST`` times; a more similar one less often.  Sets of fewer than ``SHORT`` shingles have their least hashes
+as further keys, one of which any two at 0.8 share.  Texts that share a key are candidates if their first 64 bits and then 128 are close enough
+(five standard deviations), and are verified by their whole shingle sets.  Of texts that share a key all are
+compared; of a key that more texts share than chance brings together each is compared to one centre, in one of ``CENTRES`` such keys.  Texts of crowded keys that these links leave
 in different components are then joined by their rarest shingles: two sets at 0.8 share one of the fifth that is rarest in either, so no
 candidate is lost, and texts that have only a passage in common, however many, do not meet.  Nor do copies of one text with so many changes
-of their own that no two of them can be at 0.8: shingles that a text has alone bound its similarity to every other.
+of their own that no two of them can be at 0.8: the places of a shingle among those of both sets bound their similarity.
 
 A fingerprint has a bit set where over half of the text's shingle hashes have it.  Two fingerprints at most ``DISTANCE`` = 2 bits
 apart agree in at least three of five blocks of bits, so they share one of ten keys made of three blocks (some 38 bits).  Equal
@@ -27,6 +29,8 @@ copies, and those without words are copies of each other only.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -46,19 +50,28 @@ BLOCKS = (13, 13, 13, 13, 12)
 CROWD = 64
 #: The general rule: words of a shingle, least Jaccard similarity.
 WIDE, SIMILAR = 5, 0.8
-#: Keys of a text and least hashes in each.
-BANDS, DEPTH = 28, 5
-#: Bits of the least hashes by which pairs are told apart before their sets are read, and how many agree at least: five standard
-#: deviations under what a similarity of ``SIMILAR`` gives.
-SKETCH = 128
-FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Numbers of 64 such bits for texts that meet by rare shingles, by which fewer pairs are read in vain.
+#: Words of 64 bits in a fingerprint by the general rule; the first two tell pairs apart, the others make the keys.
+LENGTH = 16
+#: Least bits of a key, and texts without likeness that may share one on average before keys get longer.
+DEPTH, CHANCE = 16, 32
+#: Share of the pairs at ``SIMILAR`` that may have no key in common.
+LOST = 1e-5
+#: Sets of fewer shingles have too few for the bits of a fingerprint to agree as often as those of a large set.
+SHORT = 16
+SALTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, LENGTH, np.uint64)
+#: Numbers of 64 bits, each of a least hash, by which texts that meet by rare shingles are told apart before their sets are read.
 LONG = 64
 LONG_FACTORS = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 63, 64 * LONG, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Texts of a band that are all compared to each other.
-FEW = 8
+#: Texts of one key that are all compared to each other, besides those that chance brings together.
+FEW = 4
+#: One crowded key of so many has a centre; the others only tell which texts are left to the rarest shingles.
+CENTRES = 2
+#: Words of 64 bits in the filter of rows that may be wanted.
+FILTER = 1 << 18
 #: Shingle hashes multiplied with all factors at once.
-STRIPE = 1 << 10
+STRIPE = 1 << 7
+#: Shingles whose bits are counted at once, no more than a byte can count.
+COUNTED = 255
 #: Shingle hashes turned into bits at once.
 HASHES = 1 << 15
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -132,11 +145,10 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def grouped(found: DataFrame, key: str, linked: DataFrame) -> DataFrame:
-    """``found`` (``doc_id``, ``key`` and others) with ``root`` and ``component_id`` by the links ``(a, b)`` of keys."""
+def grouped(found: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """``found`` (``doc_id``, ``key`` and others) with ``root`` and ``component_id`` by the ``roots`` (``node``, ``root``) of keys."""
     least = cut(found.groupBy(key).agg(F.min("doc_id").alias("least")))
-    roots = components(linked).withColumnRenamed("node", key)
-    rooted = least.join(roots, key, "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    rooted = least.join(roots.withColumnRenamed("node", key), key, "left").select(key, "least", F.coalesce("root", key).alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return found.join(rooted.join(named, "root").select(key, "root", "component_id"), key)
 
@@ -144,53 +156,111 @@ def grouped(found: DataFrame, key: str, linked: DataFrame) -> DataFrame:
 def near_prints(docs: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """``doc_id, fp, root, component_id`` for every row by the contract of operator 6; ``root`` is the component's least fingerprint."""
     found = cut(with_fingerprint(docs.select("doc_id", "text"), "fp").drop("text"))
-    return grouped(found, "fp", links(found.select("fp").distinct(), crowd)).select("doc_id", "fp", "root", "component_id")
+    return grouped(found, "fp", components(links(found.select("fp").distinct(), crowd))).select("doc_id", "fp", "root", "component_id")
 
 
-def band_keys(hashes: np.ndarray) -> tuple[list[int], int, int]:
-    """The keys of a set of shingle hashes and the two halves of its sketch, all as signed numbers."""
-    least = np.full(len(FACTORS), ~np.uint64(0))
-    for at in range(0, len(hashes), STRIPE):
-        np.minimum(least, (hashes[at : at + STRIPE, None] * FACTORS).min(axis=0), out=least)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, DEPTH))]
-    bits = np.packbits((least[:SKETCH] >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view("<i8")
-    return np.array(keys, np.uint64).view(np.int64).tolist(), int(bits[0]), int(bits[1])
+def apart(similar: float) -> float:
+    """The share of bits in which the fingerprints of two large sets differ on average: the angle between sets of equal size."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def most(bits: int, share: float) -> float:
+    """Five standard deviations above the mean of ``bits`` of which a ``share`` differs."""
+    return bits * share + 5 * (bits * share * (1 - share)) ** 0.5
+
+
+def long_print(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of ``64 * LENGTH`` bits of a set of shingle hashes, as bytes."""
+    counts = np.zeros(64 * LENGTH, np.int64)
+    for at in range(0, len(hashes), COUNTED):
+        mixed = hashes[at : at + COUNTED, None] + SALTS
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(31)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little")
+
 
+def needed(n: int, similar: float) -> int:
+    """So many shingles of a set of ``n``, the first in any order, of which two sets of similarity ``similar`` share one."""
+    return n - math.ceil(similar * n - 1e-9) + 1
 
-def with_bands(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with ``node`` (a digest of the words), ``many`` (different shingles), ``bands`` and the sketch."""
+
+def with_prints(docs: DataFrame, size: int, similar: float) -> DataFrame:
+    """``docs`` with ``node`` (a digest of the words), ``many`` (different shingles), ``print``, its first words and the least hashes of short sets."""
     fields = [
-        T.StructField("node", T.BinaryType()), T.StructField("many", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("low", T.LongType()), T.StructField("high", T.LongType()),
+        T.StructField("node", T.BinaryType()), T.StructField("many", T.IntegerType()), T.StructField("print", T.BinaryType()),
+        T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("short", T.ArrayType(T.LongType())),
     ]
-    kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def make():
         def row(text: bytes) -> tuple:
             words = text.translate(LOWER).split()
             hashes = np.unique(shingles(words, size))
             node = xxhash.xxh3_128_digest(b" ".join(words), SEED)
-            return (node, len(hashes), *(band_keys(hashes) if len(hashes) else ([], 0, 0)))
+            least = hashes[: needed(len(hashes), similar)] if 0 < len(hashes) < SHORT else hashes[:0]
+            bits = long_print(hashes)
+            return node, len(hashes), bits.tobytes(), *bits.view("<i8")[:2].tolist(), least.view(np.int64)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             columns = list(zip(*map(row, texts.cast(pa.binary()).fill_null(b"").to_pylist()))) or [()] * len(kinds)
-            return [pa.array(c, k) for c, k in zip(columns, kinds)]
+            return [pa.array(list(c), k) for c, k in zip(columns, kinds)]
 
         return work
 
     return add_columns(docs, "text", fields, make)
 
 
+def with_keys(nodes: DataFrame, depth: int, similar: float) -> DataFrame:
+    """``id, many, low, key``: the keys of every node that has shingles, each of ``depth`` bits of its fingerprint."""
+    keys = math.ceil(math.log(LOST) / math.log(1 - (1 - apart(similar)) ** depth))
+    choice = np.random.Generator(np.random.PCG64(SEED))
+    chosen = np.array([128 + choice.choice(64 * LENGTH - 128, depth, replace=False) for _ in range(keys)])
+
+    def make():
+        def work(prints: pa.Array) -> list[pa.Array]:
+            raw = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(-1, 8 * LENGTH)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            found = np.repeat(np.arange(keys)[None] << depth, len(raw), axis=0)
+            for i in range(depth):
+                found |= bits[:, chosen[:, i]].astype(np.int64) << i
+            return [pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * keys, pa.int32()), pa.array(found.ravel()))]
+
+        return work
+
+    rows = nodes.where("many > 0").select("id", "many", "low", "short", "print")
+    keyed = add_columns(rows, "print", [T.StructField("found", T.ArrayType(T.LongType()))], make)
+    return keyed.select("id", "many", "low", F.explode(F.concat("found", "short")).alias("key"))
+
+
 def long_sketch(hashes: np.ndarray) -> np.ndarray:
     """One bit of each of ``64 * LONG`` least hashes of a set, as signed numbers."""
     least = np.full(len(LONG_FACTORS), ~np.uint64(0))
-    for at in range(0, len(hashes), STRIPE // 8):
-        np.minimum(least, (hashes[at : at + STRIPE // 8, None] * LONG_FACTORS).min(axis=0), out=least)
+    for at in range(0, len(hashes), STRIPE):
+        np.minimum(least, (hashes[at : at + STRIPE, None] * LONG_FACTORS).min(axis=0), out=least)
     return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view("<i8")
 
 
+def may_be(rows: DataFrame, hashed: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: false only where the hash in ``hashed`` is not in the one column of ``wanted``.
+
+    A filter of ``64 * FILTER`` bits at most goes to all tasks, so rows that are not wanted need no shuffle.
+    """
+    word, mask = fresh(rows, "filter_word", "filter_mask")
+
+    def place(of: Column) -> tuple[Column, Column]:
+        return of.bitwiseAND(F.lit(FILTER - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(of, 40).bitwiseAND(F.lit(63)).cast("int"))
+
+    at, bit = place(F.col(wanted.columns[0]))
+    masks = cut(wanted.select(at.alias(word), bit.alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask)))
+    at, bit = place(F.col(hashed))
+    tried = rows.withColumn(word, at).join(F.broadcast(masks), word, "left")
+    return tried.withColumn(name, F.coalesce(F.col(mask).bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, name)
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, sketched: bool = False) -> DataFrame:
-    """``node, own``: the shingle hashes of the ``wanted`` nodes, written once; with ``sketch`` where asked for."""
+    """``id, own``: the shingle hashes of the ``wanted`` nodes, written once; with ``sketch`` where asked for."""
     kinds = {"own": pa.list_(pa.int64())} | ({"sketch": pa.list_(pa.int64())} if sketched else {})
 
     def make():
@@ -201,35 +271,36 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int
 
         return work
 
-    hashed = cut(nodes.select("node", "text_hash").join(wanted, "node"))
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(hashed, "text_hash").select("node", "text").dropDuplicates(["node"])
+    hashed = cut(nodes.select("id", "text_hash").join(wanted, "id"))
+    texts = may_be(docs.select(F.xxhash64("text").alias("text_hash"), "text"), "text_hash", hashed.select("text_hash"), "asked").where("asked").drop("asked")
+    texts = texts.join(hashed, "text_hash").select("id", "text").dropDuplicates(["id"])
     return cut(add_columns(texts, "text", [T.StructField(name, T.ArrayType(T.LongType())) for name in kinds], make).drop("text"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose shingle sets have a Jaccard similarity of ``similar`` at least."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("own").alias(f"of_{x}")) for x in "ab")
+    left, right = (sets.select(F.col("id").alias(x), F.col("own").alias(f"of_{x}")) for x in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similar) * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
 def rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
-    """``node, n, alone, shingle``: of each set its rarest shingles, so many that two sets of similarity ``similar`` share one of them.
+    """``id, n, alone, place, shingle``: of each set its rarest shingles, so many that two sets of similarity ``similar`` share one of them.
 
     Rare is counted among ``sets``; of n shingles the n - ceil(similar n) + 1 rarest are needed.  The ``alone`` ones of one set alone
     take up places first but meet nothing, so they have no rows.
     """
-    each = sets.select("node", F.size("own").alias("n"), F.explode("own").alias("shingle"))
+    each = sets.select("id", F.size("own").alias("n"), F.explode("own").alias("shingle"))
     shared = each.join(each.groupBy("shingle").agg(F.count("*").alias("in_sets")).where("in_sets > 1"), "shingle")
-    own = Window.partitionBy("node")
+    own = Window.partitionBy("id")
     alone = F.col("n") - F.count("*").over(own)
     places = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1
-    ranked = shared.withColumn("place", F.row_number().over(own.orderBy("in_sets", "shingle"))).withColumn("alone", alone)
-    return ranked.where(F.col("alone") + F.col("place") <= places).select("node", "n", "alone", "shingle")
+    ranked = shared.withColumn("alone", alone).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("in_sets", "shingle")))
+    return ranked.where(F.col("place") <= places).select("id", "n", "alone", "place", "shingle")
 
 
 def promising(rare: DataFrame, similar: float) -> DataFrame:
@@ -246,70 +317,96 @@ def promising(rare: DataFrame, similar: float) -> DataFrame:
     return rows
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, size: int, similar: float, few: int = FEW) -> DataFrame:
-    """Links ``(a, b)`` of nodes whose components are those of all verified candidates."""
-    own = ["node", "many", "low", "high"]
-    keys = nodes.select(*own, F.explode("bands").alias("key"))
-    centre = F.min(F.struct(F.xxhash64("node", "key").alias("turn"), *own)).alias("centre")
-    met = cut(keys.join(keys.groupBy("key").agg(centre, F.count("*").alias("n")).where("n > 1"), "key"))
-    share = (1 + similar) / 2
+def near_roots(docs: DataFrame, nodes: DataFrame, size: int, similar: float, few: int = FEW) -> DataFrame:
+    """``node, root``: the component of every node that has a link, by all verified candidates."""
+    total = nodes.count()
+    depth = max(DEPTH, math.ceil(math.log2(max(1, total) / CHANCE)))
+    few += 3 * math.ceil(total / 2**depth)
+    own = ["id", "many", "low"]
+    by = Window.partitionBy("key")
+    centre = F.min(F.struct(F.col("id").bitwiseXOR(F.xxhash64("key")).alias("turn"), *own)).over(by)
+    keys = with_keys(nodes, depth, similar)
+    met = keys.withColumn("n", F.count("*").over(by)).withColumn("centre", centre).where("n > 1")
+    share = apart(similar)
+
+    def fits(a: str, b: str) -> Column:
+        return F.least(f"{a}many", f"{b}many") >= F.lit(similar) * F.greatest(f"{a}many", f"{b}many")
 
-    def most(bits: int) -> float:
-        return bits * (1 - share) + 5 * (bits * share * (1 - share)) ** 0.5
+    def differ(a: str, b: str, *parts: str) -> Column:
+        return reduce(Column.__add__, (F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in parts))
 
     def alike(a: str, b: str) -> Column:
-        differ = F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
-        less, more = F.least(f"{a}many", f"{b}many"), F.greatest(f"{a}many", f"{b}many")
-        return (differ <= most(SKETCH)) & (less >= F.lit(similar) * more)
+        return (differ(a, b, "low") <= most(64, share)) & fits(a, b)
 
-    def named(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    def named(pairs: DataFrame, a: str, b: str, *more: Column) -> DataFrame:
+        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *more)
 
-    stars = named(met.where((F.col("node") != F.col("centre.node")) & alike("", "centre.")), "node", "centre.node")
-    small = met.where((F.col("n") > 2) & (F.col("n") <= few))
+    # The rows of crowded keys go along with the pairs, so that the keys are shuffled once.
+    lone, crowded = F.lit(None).cast("long").alias("key"), F.col("n") > few
+    central = ~crowded | (F.pmod(F.shiftright("key", depth), F.lit(CENTRES)) == 0)
+    linked = central & (F.col("id") != F.col("centre.id")) & alike("", "centre.")
+    stars = met.where(crowded | (F.col("n") == 2) & linked).withColumn("other", F.when(linked, F.col("centre.id")).otherwise(F.col("id")))
+    small = met.where(~crowded & (F.col("n") > 2))
     one, two = (small.select("key", *(F.col(c).alias(f"{x}_{c}") for c in own)) for x in "lr")
-    inside = named(one.join(two, "key").where((F.col("l_node") < F.col("r_node")) & alike("l_", "r_")), "l_node", "r_node")
-    pairs = cut(stars.union(inside).distinct())
-    near = cut(verified(pairs, shingle_sets(docs, nodes, ends(pairs), size), similar))
-    roots = components(near)
-    # All pairs of a small band have been compared by now.
-    rooted = met.where(F.col("n") > few).select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inside = named(one.join(two, "key").where((F.col("l_id") < F.col("r_id")) & alike("l_", "r_")), "l_id", "r_id", lone)
+    stars = named(stars, "id", "other", F.when(crowded, F.col("key")).alias("key"), F.col("id"))
+    told = cut(stars.union(inside.withColumn("id", F.lit(None).cast("long"))))
+    left, right = (nodes.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", "low", "high"))) for x in "lr")
+    both = told.where("a < b").select("a", "b").distinct().join(left, F.col("a") == F.col("l_id")).join(right, F.col("b") == F.col("r_id"))
+    pairs = cut(both.where(differ("l_", "r_", "low", "high") <= most(128, share)).select("a", "b"))
+    roots = cut(components(verified(pairs, shingle_sets(docs, nodes, ends(pairs), size), similar)).withColumnRenamed("node", "id"))
+    # All pairs of a key that is not crowded have been compared by now.
+    rooted = told.where("key is not null").select("id", "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
-    rest = cut(rooted.join(mixed, "key").select("node", "root").distinct())
-    sets = shingle_sets(docs, nodes, rest.select("node"), size, True)
-    told = rest.join(nodes.select(*own), "node")
-    met_again = promising(rare_shingles(sets, similar).join(told, "node"), similar).join(sets.select("node", "sketch"), "node")
-    left, right = (met_again.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in (*own, "root", "n", "alone", "sketch"))) for x in "lr")
+    rest = cut(rooted.join(mixed, "key").select("id", "root").distinct())
+    sets = shingle_sets(docs, nodes, rest.select("id"), size, True)
+    met_again = promising(rare_shingles(sets, similar).join(rest, "id"), similar).join(sets.select("id", "sketch"), "id")
+    left, right = (met_again.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "root", "n", "alone", "place", "sketch"))) for x in "lr")
     unlike = F.zip_with("l_sketch", "r_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    closely = F.aggregate(unlike, F.lit(0), lambda x, y: x + y) <= most(64 * LONG)
+    closely = F.aggregate(unlike, F.lit(0), lambda x, y: x + y) <= most(64 * LONG, (1 - similar) / 2)
     shared = F.least(F.col("l_n") - F.col("l_alone"), F.col("r_n") - F.col("r_alone"))
     possible = F.lit(1 - similar) * shared + 1e-9 >= F.lit(similar) * (F.col("l_alone") + F.col("r_alone"))
-    apart = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("l_root") < F.col("r_root")) & possible & alike("l_", "r_") & closely)
-    return near.union(verified(cut(named(apart, "l_node", "r_node").distinct()), sets, similar))
+    # The first shingle that two sets share leaves them no more than those after it.
+    after = F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place")) + 1
+    enough = F.lit(1 + similar) * after + 1e-9 >= F.lit(similar) * (F.col("l_n") + F.col("r_n"))
+    meet = (left["shingle"] == right["shingle"]) & (F.col("l_root") < F.col("r_root"))
+    again = left.join(right, meet & possible & enough & closely)
+    late = verified(cut(named(again, "l_id", "r_id").distinct()), sets, similar)
+    of_a, of_b = (rest.select(F.col("id").alias(x), F.col("root").alias(f"of_{x}")) for x in "ab")
+    tops = components(late.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    joined = roots.select(F.col("id").alias("node"), "root").union(rest.join(roots, "id", "left_anti").select("id", "root"))
+    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return joined.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = WIDE, similar: float = SIMILAR) -> DataFrame:
     """``doc_id, text_hash, root, component_id`` for every row by the general rule.
 
-    ``root`` is the component's least node, ``text_hash`` tells rows with the same doc_id apart.
+    ``root`` is the number of the component's first node, ``text_hash`` tells rows with the same doc_id apart.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = cut(with_bands(rows, size).drop("text"))
-    firsts = (F.first(c).alias(c) for c in ("many", "bands", "low", "high"))
-    nodes = cut(found.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *firsts))
-    linked = near_links(docs, nodes, size, similar)
-    return grouped(found.select("doc_id", "text_hash", "node"), "node", linked).select("doc_id", "text_hash", "root", "component_id")
+    found = cut(with_prints(rows, size, similar).drop("text"))
+    firsts = (F.first(c).alias(c) for c in ("many", "print", "low", "high", "short"))
+    nodes = found.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *firsts)
+    nodes = cut(nodes.select("*", F.monotonically_increasing_id().alias("id")))
+    numbered = found.select("doc_id", "text_hash", "node").join(nodes.select("node", "id"), "node").drop("node")
+    return grouped(numbered, "id", near_roots(docs, nodes, size, similar)).select("doc_id", "text_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the row with the least doc_id (of equal rows one)."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    number, missing, mixed = fresh(docs, "kept_id", "kept_null", "kept_hash")
-    chosen = cut(found.groupBy("root").agg(F.first("component_id").alias("id"), F.min("text_hash").alias(mixed)))
+    found = cut(near_duplicates(docs))
+    number, missing, mixed, several = fresh(docs, "kept_id", "kept_null", "kept_hash", "kept_several")
+    least = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))
+    chosen = cut(found.groupBy("root").agg(F.first("component_id").alias("id"), F.min(least).alias(mixed), F.count("*").alias(several)))
+    crowd = found.join(chosen.where(F.col(several) > 1).select("root"), "root", "left_semi").select("text_hash")
     chosen = chosen.select(F.coalesce("id", F.lit(0)).alias(number), F.isnull("id").alias(missing), mixed)
     keys = [number, missing, mixed]
     rows = docs.withColumn(number, F.coalesce("doc_id", F.lit(0))).withColumn(missing, F.isnull("doc_id")).withColumn(mixed, F.xxhash64("text"))
-    return rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    rows = may_be(rows, mixed, crowd, several)
+    # A row that is a component of its own stays as it is.
+    alone = rows.where(~F.col(several)).select(*docs.columns)
+    return alone.union(rows.where(several).join(chosen, keys, "left_semi").dropDuplicates(keys).select(*docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,33 @@ def test_copies_with_changes_of_their_own_are_not_paired(spark, monkeypatch):
     assert asked[0] > 0 and asked[1] == 0
 
 
+def test_near_copies_share_keys_of_their_fingerprints(spark):
+    rnd = random.Random(5)
+    texts = []
+    for n in (8, 9, 12, 40, 200, 600) * 8:  # pairs at 0.8 or just above, unlike all others
+        words = [prose(rnd, 1) + str(rnd.random()) for _ in range(n)]
+        common = max(1, n - 4)
+        texts += [" ".join(words), " ".join(words + [f"more{i}" for i in range(common // 4)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    nodes = simhash.with_prints(docs, 5, 0.8).cache()
+    keys, prints = {}, {r.id: int.from_bytes(r["print"], "little") for r in nodes.collect()}
+    for r in simhash.with_keys(nodes, simhash.DEPTH, 0.8).collect():
+        keys.setdefault(r.id, set()).add(r.key)
+    for a in range(0, len(texts), 2):
+        assert jaccard(plain_shingles(texts[a]), plain_shingles(texts[a + 1])) >= 0.8 and keys[a] & keys[a + 1]
+    large = [a for a in range(0, len(texts), 2) if len(texts[a].split()) >= 40]
+    differ = [(prints[a] ^ prints[a + 1]).bit_count() / (64 * simhash.LENGTH) for a in large]
+    assert max(differ) < 0.2 and all(0.4 < (prints[a] ^ prints[b]).bit_count() / (64 * simhash.LENGTH) < 0.6 for a in large for b in large if a < b)
+    assert sum(len(keys[a] & keys[b]) for a in large for b in large if a < b) < len(large) ** 2 / 20
+
+
+def test_filter_loses_no_wanted_row(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("hash"), "id")
+    told = simhash.may_be(rows, "hash", rows.where("id % 50 = 0").select("hash"), "asked")
+    assert told.columns == ["hash", "id", "asked"] and told.count() == 20_000
+    assert told.where("id % 50 = 0 and asked").count() == 400 and told.where("asked").count() < 600
+
+
 # --- sharding ------------------------------------------------------------------------
 
 
