@@ -60,12 +60,12 @@ LOST = 1e-5
 SHORT = 16
 SALTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, LENGTH, np.uint64)
 #: Numbers of 64 bits, each of a least hash, by which texts that meet by rare shingles are told apart before their sets are read.
-LONG = 64
+LONG = 16
 LONG_FACTORS = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 63, 64 * LONG, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Texts of one key that are all compared to each other, besides those that chance brings together.
 FEW = 4
-#: One crowded key of so many has a centre; the others only tell which texts are left to the rarest shingles.
-CENTRES = 2
+#: One crowded key of so many has a centre; the others only tell that a text is left to the rarest shingles.
+CENTRES = 4
 #: Words of 64 bits in the filter of rows that may be wanted.
 FILTER = 1 << 18
 #: Shingle hashes multiplied with all factors at once.
@@ -260,7 +260,7 @@ def may_be(rows: DataFrame, hashed: str, wanted: DataFrame, name: str) -> DataFr
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, sketched: bool = False) -> DataFrame:
-    """``id, own``: the shingle hashes of the ``wanted`` nodes, written once; with ``sketch`` where asked for."""
+    """``own``: the shingle hashes of the ``wanted`` nodes (``id`` and others), written once; with ``sketch`` where asked for."""
     kinds = {"own": pa.list_(pa.int64())} | ({"sketch": pa.list_(pa.int64())} if sketched else {})
 
     def make():
@@ -273,7 +273,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int
 
     hashed = cut(nodes.select("id", "text_hash").join(wanted, "id"))
     texts = may_be(docs.select(F.xxhash64("text").alias("text_hash"), "text"), "text_hash", hashed.select("text_hash"), "asked").where("asked").drop("asked")
-    texts = texts.join(hashed, "text_hash").select("id", "text").dropDuplicates(["id"])
+    texts = texts.join(hashed, "text_hash").select(*wanted.columns, "text").dropDuplicates(["id"])
     return cut(add_columns(texts, "text", [T.StructField(name, T.ArrayType(T.LongType())) for name in kinds], make).drop("text"))
 
 
@@ -289,22 +289,23 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
-    """``id, n, alone, place, shingle``: of each set its rarest shingles, so many that two sets of similarity ``similar`` share one of them.
+    """``id, root, n, alone, place, shingle``: of each set its rarest shingles, so many that two sets of similarity ``similar`` and of different roots share one.
 
-    Rare is counted among ``sets``; of n shingles the n - ceil(similar n) + 1 rarest are needed.  The ``alone`` ones of one set alone
-    take up places first but meet nothing, so they have no rows.
+    Rare is counted among ``sets``; of n shingles the n - ceil(similar n) + 1 rarest are needed.  The ``alone`` ones that no other root
+    has take up places first but meet nothing, so they have no rows.
     """
-    each = sets.select("id", F.size("own").alias("n"), F.explode("own").alias("shingle"))
-    shared = each.join(each.groupBy("shingle").agg(F.count("*").alias("in_sets")).where("in_sets > 1"), "shingle")
+    each = sets.select("id", "root", F.size("own").alias("n"), F.explode("own").alias("shingle"))
+    known = each.groupBy("shingle").agg(F.count("*").alias("in_sets"), F.min("root").alias("one"), F.max("root").alias("other"))
+    shared = each.join(known.where("one <> other").select("shingle", "in_sets"), "shingle")
     own = Window.partitionBy("id")
     alone = F.col("n") - F.count("*").over(own)
     places = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1
     ranked = shared.withColumn("alone", alone).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("in_sets", "shingle")))
-    return ranked.where(F.col("place") <= places).select("id", "n", "alone", "place", "shingle")
+    return ranked.where(F.col("place") <= places).select("id", "root", "n", "alone", "place", "shingle")
 
 
 def promising(rare: DataFrame, similar: float) -> DataFrame:
-    """The ``rare`` rows (``rare_shingles`` with ``root``) that can meet one of another root at ``similar``.
+    """The ``rare`` rows that can meet one of another root at ``similar``.
 
     What two sets share is at most n - alone of either, what they do not share at least alone of both.  So a set whose own alone and the
     least one among those with its shingle are too many meets nobody there, however many have the shingle.
@@ -322,45 +323,37 @@ def near_roots(docs: DataFrame, nodes: DataFrame, size: int, similar: float, few
     total = nodes.count()
     depth = max(DEPTH, math.ceil(math.log2(max(1, total) / CHANCE)))
     few += 3 * math.ceil(total / 2**depth)
-    own = ["id", "many", "low"]
-    by = Window.partitionBy("key")
-    centre = F.min(F.struct(F.col("id").bitwiseXOR(F.xxhash64("key")).alias("turn"), *own)).over(by)
-    keys = with_keys(nodes, depth, similar)
-    met = keys.withColumn("n", F.count("*").over(by)).withColumn("centre", centre).where("n > 1")
     share = apart(similar)
 
-    def fits(a: str, b: str) -> Column:
-        return F.least(f"{a}many", f"{b}many") >= F.lit(similar) * F.greatest(f"{a}many", f"{b}many")
-
     def differ(a: str, b: str, *parts: str) -> Column:
         return reduce(Column.__add__, (F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in parts))
 
-    def alike(a: str, b: str) -> Column:
-        return (differ(a, b, "low") <= most(64, share)) & fits(a, b)
-
-    def named(pairs: DataFrame, a: str, b: str, *more: Column) -> DataFrame:
-        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *more)
-
-    # The rows of crowded keys go along with the pairs, so that the keys are shuffled once.
-    lone, crowded = F.lit(None).cast("long").alias("key"), F.col("n") > few
-    central = ~crowded | (F.pmod(F.shiftright("key", depth), F.lit(CENTRES)) == 0)
-    linked = central & (F.col("id") != F.col("centre.id")) & alike("", "centre.")
-    stars = met.where(crowded | (F.col("n") == 2) & linked).withColumn("other", F.when(linked, F.col("centre.id")).otherwise(F.col("id")))
-    small = met.where(~crowded & (F.col("n") > 2))
-    one, two = (small.select("key", *(F.col(c).alias(f"{x}_{c}") for c in own)) for x in "lr")
-    inside = named(one.join(two, "key").where((F.col("l_id") < F.col("r_id")) & alike("l_", "r_")), "l_id", "r_id", lone)
-    stars = named(stars, "id", "other", F.when(crowded, F.col("key")).alias("key"), F.col("id"))
-    told = cut(stars.union(inside.withColumn("id", F.lit(None).cast("long"))))
+    def alike(a: Column, b: Column) -> Column:
+        fits = F.least(a["many"], b["many"]) >= F.lit(similar) * F.greatest(a["many"], b["many"])
+        return (F.bit_count(a["low"].bitwiseXOR(b["low"])) <= most(64, share)) & fits
+
+    # All that a key needs comes from its rows in one place, so that the keys are shuffled once.
+    by = Window.partitionBy("key")
+    own = [F.col(c) for c in ("id", "many", "low")]
+    centre = F.min(F.struct(F.col("id").bitwiseXOR(F.xxhash64("key")).alias("turn"), *own)).over(by)
+    met = with_keys(nodes, depth, similar).withColumn("n", F.count("*").over(by)).withColumn("centre", centre).where("n > 1")
+    crowded = F.col("n") > few
+    earlier = F.collect_list(F.when(~crowded, F.struct(*own))).over(by.orderBy("id").rowsBetween(-few, -1))
+    central = F.when(F.pmod(F.shiftright("key", depth), F.lit(CENTRES)) == 0, F.array(F.struct("centre.id", "centre.many", "centre.low")))
+    asked = F.filter(F.when(crowded, central).otherwise(F.col("earlier")), lambda x: (x["id"] != F.col("id")) & alike(F.struct(*own), x))
+    rows = met.withColumn("earlier", earlier).select("id", crowded.alias("crowded"), F.transform(asked, lambda x: x["id"]).alias("others"))
+    # One row a text, however many keys it has, is joined from here on.
+    others = F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")
+    told = cut(rows.where("crowded or size(others) > 0").groupBy("id").agg(F.max("crowded").alias("crowded"), others))
+    candidates = told.select("id", F.explode("others").alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     left, right = (nodes.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", "low", "high"))) for x in "lr")
-    both = told.where("a < b").select("a", "b").distinct().join(left, F.col("a") == F.col("l_id")).join(right, F.col("b") == F.col("r_id"))
+    both = candidates.join(left, F.col("a") == F.col("l_id")).join(right, F.col("b") == F.col("r_id"))
     pairs = cut(both.where(differ("l_", "r_", "low", "high") <= most(128, share)).select("a", "b"))
     roots = cut(components(verified(pairs, shingle_sets(docs, nodes, ends(pairs), size), similar)).withColumnRenamed("node", "id"))
     # All pairs of a key that is not crowded have been compared by now.
-    rooted = told.where("key is not null").select("id", "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
-    rest = cut(rooted.join(mixed, "key").select("id", "root").distinct())
-    sets = shingle_sets(docs, nodes, rest.select("id"), size, True)
-    met_again = promising(rare_shingles(sets, similar).join(rest, "id"), similar).join(sets.select("id", "sketch"), "id")
+    rest = cut(told.where("crowded").select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    sets = shingle_sets(docs, nodes, rest, size, True)
+    met_again = promising(rare_shingles(sets, similar), similar).join(sets.select("id", "sketch"), "id")
     left, right = (met_again.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "root", "n", "alone", "place", "sketch"))) for x in "lr")
     unlike = F.zip_with("l_sketch", "r_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     closely = F.aggregate(unlike, F.lit(0), lambda x, y: x + y) <= most(64 * LONG, (1 - similar) / 2)
@@ -371,7 +364,7 @@ def near_roots(docs: DataFrame, nodes: DataFrame, size: int, similar: float, few
     enough = F.lit(1 + similar) * after + 1e-9 >= F.lit(similar) * (F.col("l_n") + F.col("r_n"))
     meet = (left["shingle"] == right["shingle"]) & (F.col("l_root") < F.col("r_root"))
     again = left.join(right, meet & possible & enough & closely)
-    late = verified(cut(named(again, "l_id", "r_id").distinct()), sets, similar)
+    late = verified(cut(again.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()), sets, similar)
     of_a, of_b = (rest.select(F.col("id").alias(x), F.col("root").alias(f"of_{x}")) for x in "ab")
     tops = components(late.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
     joined = roots.select(F.col("id").alias("node"), "root").union(rest.join(roots, "id", "left_anti").select("id", "root"))

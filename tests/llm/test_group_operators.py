@@ -153,6 +153,43 @@ def test_copies_with_changes_of_their_own_are_not_paired(spark, monkeypatch):
     assert asked[0] > 0 and asked[1] == 0
 
 
+def rows_made(spark, since):
+    """Rows made by the joins and generators of all executions from the number ``since``, by their descriptions."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    store, made = spark._jsparkSession.sharedState().statusStore(), {}
+    for number in range(since, store.executionsCount()):
+        run = store.executionsList(number, 1).apply(0).executionId()
+        graph, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (graph.apply(i) for i in range(graph.size())):
+            found = node.metrics()
+            counts = [found.apply(i).accumulatorId() for i in range(found.size()) if found.apply(i).name() == "number of output rows"]
+            if counts and ("Join" in node.name() or "Generate" in node.name()) and values.contains(counts[0]):
+                made[node.desc()] = made.get(node.desc(), 0) + int(values.apply(counts[0]).replace(",", ""))
+    return made
+
+
+def test_crowded_keys_cost_few_rows_a_text(spark):
+    rnd = random.Random(8)
+    base = [prose(rnd, 1) + str(i) for i in range(300)]
+    texts = []
+    for i in range(200):  # near the limit, so that a crowded key holds a part of them
+        words = list(base)
+        for at in rnd.sample(range(300), 3):
+            words[at] = f"own{i}at{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    sets = [plain_shingles(t) for t in texts]
+    want = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    assert [found[i] for i in range(len(texts))] == want
+    made = rows_made(spark, since)
+    keys = [n for what, n in made.items() if "found#" in what]
+    joins = [n for what, n in made.items() if "Join" in what and "shingle#" not in what]
+    assert 0 < sum(keys) < 160 * len(texts)  # once
+    assert 0 < max(joins) < 100 * len(texts)
+
+
 def test_near_copies_share_keys_of_their_fingerprints(spark):
     rnd = random.Random(5)
     texts = []
