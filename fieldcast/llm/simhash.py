@@ -338,10 +338,10 @@ def near_roots(docs: DataFrame, nodes: DataFrame, size: int, similar: float, few
     centre = F.min(F.struct(F.col("id").bitwiseXOR(F.xxhash64("key")).alias("turn"), *own)).over(by)
     met = with_keys(nodes, depth, similar).withColumn("n", F.count("*").over(by)).withColumn("centre", centre).where("n > 1")
     crowded = F.col("n") > few
-    earlier = F.collect_list(F.when(~crowded, F.struct(*own))).over(by.orderBy("id").rowsBetween(-few, -1))
+    members = F.collect_list(F.when(~crowded, F.struct(*own))).over(by)
     central = F.when(F.pmod(F.shiftright("key", depth), F.lit(CENTRES)) == 0, F.array(F.struct("centre.id", "centre.many", "centre.low")))
-    asked = F.filter(F.when(crowded, central).otherwise(F.col("earlier")), lambda x: (x["id"] != F.col("id")) & alike(F.struct(*own), x))
-    rows = met.withColumn("earlier", earlier).select("id", crowded.alias("crowded"), F.transform(asked, lambda x: x["id"]).alias("others"))
+    asked = F.filter(F.when(crowded, central).otherwise(F.col("members")), lambda x: ((x["id"] < F.col("id")) | crowded & (x["id"] > F.col("id"))) & alike(F.struct(*own), x))
+    rows = met.withColumn("members", members).select("id", crowded.alias("crowded"), F.transform(asked, lambda x: x["id"]).alias("others"))
     # One row a text, however many keys it has, is joined from here on.
     others = F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")
     told = cut(rows.where("crowded or size(others) > 0").groupBy("id").agg(F.max("crowded").alias("crowded"), others))
