@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from fieldcast.functions.dates import day_number
 from fieldcast.operators.similarity import LIST
 from fieldcast.operators.temporal import lag_field
-from fieldcast.operators.tiles import STRIP, packed_rows, range_pairs
-from fieldcast.session import cut
+from fieldcast.operators.tiles import packed_rows, range_pairs, strips, wanted
+from fieldcast.session import cut, dealt_by_size
 
 #: Coefficients whose cubes are joined.
 AXES = 3
@@ -36,6 +36,11 @@ AXES = 3
 SLACK = 1e-9
 #: Cells in a row that are checked together.
 BLOCK = 64
+#: Rows of the field that a task packs at once.
+PACKED = 1 << 22
+#: Kinds of numbers in a piece of a series by their bytes, and its columns.
+KINDS = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.float64}
+PIECE = "first int, bits boolean, known binary, values binary, same binary"
 #: Cells on which the waves are tried, and the share of pairs up to which they are worth it.
 SOME, SHARE = 128, 0.05
 
@@ -146,24 +151,162 @@ class Lagged:
             self.u[lag] = row
 
 
+def piece(days: np.ndarray, values: np.ndarray) -> tuple[int, bool, bytes, bytes]:
+    """A series in few bytes: its first day, whether its days come as bits, the days, the values in the shortest kind that holds all exactly."""
+    at = days - days[0]
+    if bits := bool(at[-1] < 32 * len(at) and (np.diff(at) > 0).all()):
+        known = np.zeros(at[-1] + 1, bool)
+        known[at] = True
+        at = np.packbits(known)
+    with np.errstate(invalid="ignore"):
+        short = next((v for kind in KINDS.values() if np.array_equal(v := values.astype(kind), values)), values)
+    return int(days[0]), bits, (at if bits else at.astype(np.int32)).tobytes(), short.tobytes()
+
+
+def piece_days(first: int, bits: bool, known: bytes) -> np.ndarray:
+    return first + (np.flatnonzero(np.unpackbits(np.frombuffer(known, np.uint8))) if bits else np.frombuffer(known, np.int32).astype(np.int64))
+
+
+def piece_series(first: int, bits: bool, known: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Days and values of a piece."""
+    days = piece_days(first, bits, known)
+    return days, np.frombuffer(values, KINDS[len(values) // len(days)] if values else np.float64).astype(float)
+
+
+def digest(first: int, bits: bool, known: bytes, values: bytes) -> bytes:
+    """The same for equal series only."""
+    return hashlib.blake2b(b"%d %d %d " % (first, bits, len(known)) + known + values, digest_size=16).digest()
+
+
+def in_order(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Order of the rows by key, those of one key by value."""
+    order = np.argsort(keys, kind="stable")
+    return order if (np.diff(keys[order]) > 0).all() else np.lexsort((values, keys))
+
+
+def _piece_rows(cells: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    """``found`` holds the place of the cell (None for no cell) and its piece."""
+    at, *columns = zip(*((at, *one, digest(*one)) for at, one in found))
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    arrays = [cells.take(pa.array(at, pa.int64())), *[pa.array(c, kind) for c, kind in zip(columns, kinds)]]
+    return pa.RecordBatch.from_arrays(arrays, ["cell", "first", "bits", "known", "values", "same"])
+
+
+def pieces(field: DataFrame) -> DataFrame:
+    """``(cell, first, bits, known, values, same)``: the series of every cell as far as its rows lie together, and its digest.
+
+    Days that have rows, but none with a cell and a value, come as pieces without cell and values.
+    """
+    cell_type = field.schema["cell"].dataType.simpleString()
+
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        cells = rows["cell"].combine_chunks().dictionary_encode()
+        codes, days, values = cells.indices.fill_null(-1).to_numpy().astype(np.int64), rows["day"].to_numpy().astype(np.int64), rows["value"].to_numpy()
+        known = (codes >= 0) & rows["value"].is_valid().to_numpy()
+        found, bare = [], np.unique(days[~known])
+        if len(bare):
+            found.append((None, piece(bare, np.zeros(0))))
+        codes, days, values = codes[known], days[known], values[known]
+        if len(codes):
+            low = days.min()
+            order = in_order(codes * (days.max() - low + 1) + days - low, values)
+            codes, days, values = codes[order], days[order], values[order]
+            ends = [*np.flatnonzero(np.diff(codes)) + 1, len(codes)]
+            found += [(codes[a], piece(days[a:b], values[a:b])) for a, b in zip([0, *ends], ends)]
+        return _piece_rows(cells.dictionary, found)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= PACKED:
+                yield packed(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield packed(pa.Table.from_batches(held))
+
+    rows = field.where(F.col("time").isNotNull()).select("cell", day_number("time").alias("day"), F.col("value").cast("double").alias("value"))
+    return rows.mapInArrow(run, f"cell {cell_type}, {PIECE}")
+
+
+def merged_pieces(found: DataFrame) -> DataFrame:
+    """:func:`pieces` with one of each cell."""
+    size = found.agg(F.sum(F.length("known") + F.length("values"))).first()[0]
+    parts = F.collect_list(F.struct("first", "bits", "known", "values")).alias("_p")
+    listed = dealt_by_size(found, (size or 0) // 16, "cell").groupBy("cell").agg(parts)  # a value takes 16 bytes or less
+    cell_type = found.schema["cell"].dataType.simpleString()
+
+    def one(cell, parts: list[dict]) -> tuple:
+        if cell is None:
+            days = np.unique(np.concatenate([piece_days(p["first"], p["bits"], p["known"]) for p in parts]))
+            return piece(days, np.zeros(0))
+        days, values = (np.concatenate(c) for c in zip(*(piece_series(**p) for p in parts)))
+        order = in_order(days, values)
+        return piece(days[order], values[order])
+
+    def run(batches):
+        for batch in batches:
+            cells = batch.column("cell")
+            if len(batch):
+                rows = zip(cells.is_valid().to_pylist(), cells, batch.column("_p"))
+                yield _piece_rows(cells, [(k if known else None, one(k if known else None, p.as_py())) for k, (known, _, p) in enumerate(rows)])
+
+    return listed.mapInArrow(run, f"cell {cell_type}, {PIECE}")
+
+
 def whole_series(field: DataFrame) -> DataFrame:
-    """``(cell, days, values)``: the days with a value, in order; bounded by the calendar."""
-    known = field.where(F.col("value").isNotNull())
-    packed = known.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(day_number("time").alias("d"), F.col("value").alias("v")))).alias("_s"))
-    return packed.select("cell", F.col("_s.d").alias("days"), F.col("_s.v").alias("values"))
+    """:func:`pieces` as a table with one of each cell; bounded by the calendar.
+
+    Where the rows of a cell come from one task, as they do from a shuffle by cells or blocks of cells, nothing is shuffled.
+    """
+    found = cut(pieces(field))
+    most = found.where(F.col("cell").isNotNull()).groupBy("cell").count().agg(F.max("count")).first()[0]
+    return found if (most or 1) == 1 else cut(merged_pieces(found))
+
+
+def series_rows(series: DataFrame) -> DataFrame:
+    """``(cell, time, value)`` from pieces; days without cell and value come once."""
+    cell_type = series.schema["cell"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for k, one in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "bits", "known", "values")))):
+                days, values = piece_series(*one)
+                cells = batch.column("cell").take(pa.array(np.full(len(days), k)))
+                numbers = pa.array(values) if len(values) else pa.nulls(len(days), pa.float64())
+                yield pa.RecordBatch.from_arrays([cells, pa.array(days, pa.int32()), numbers], ["cell", "day", "value"])
+
+    rows = series.mapInArrow(run, f"cell {cell_type}, day int, value double")
+    return rows.select("cell", F.date_add(F.lit("1970-01-01").cast("date"), "day").alias("time"), "value")
+
+
+def calendar(series: DataFrame) -> tuple[int, np.ndarray]:
+    """The first day that has a row, and for each day from it to the last one whether it has."""
+
+    def run(batches):
+        seen = [np.unique(np.concatenate([piece_days(*one) for one in zip(*(b.column(c).to_pylist() for c in range(3)))])) for b in batches if len(b)]
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)), pa.int32())], ["day"])
+
+    found = series.select("first", "bits", "known").mapInArrow(run, "day int")
+    days = [r[0] for r in found.distinct().collect()]  # bounded by the calendar
+    first = min(days, default=0)
+    axis = np.zeros(max(days, default=0) - first + 1, bool)
+    axis[np.asarray(days, np.int64) - first] = True
+    return first, axis
 
 
 def rounded_series(series: DataFrame, first: int, axis: np.ndarray, lags: Sequence[int]) -> DataFrame:
-    """``(cell, same, q, scale, off, more, less)``: series that vary, as one byte a day and what rounding and lags may change.
+    """``(cell, q, scale, off, more, less)``: series that vary, as one byte a day and what rounding and lags may change.
 
-    ``same`` is a digest of the series.  ``q * scale`` lies at most ``off`` from the unit vector ``u`` of the unlagged series.  A
+    ``q * scale`` lies at most ``off`` from the unit vector ``u`` of the unlagged series.  A
     lagged vector is ``u`` moved, less the days that leave the record: its product with any unit vector is at most ``more``
     times that of the moved ``u``, with ``less`` added before.
     """
     cell_type = series.schema["cell"].dataType.simpleString()
 
     def one(days: np.ndarray, values: np.ndarray):
-        values = values.astype(float)
         dev = values - values.sum() / len(values)
         norm = math.sqrt(float(dev @ dev))
         lagged = Lagged(days, values, first, axis, lags).u
@@ -187,26 +330,26 @@ def rounded_series(series: DataFrame, first: int, axis: np.ndarray, lags: Sequen
                 d = d - d.sum() / len(d)
                 more = max(more, norm / math.sqrt(float(d @ d)))
                 less = max(less, shift * math.sqrt(len(d)) / norm)
-        return hashlib.blake2b(days.tobytes() + values.tobytes(), digest_size=16).digest(), q.tobytes(), scale, off, more, less
+        return q.tobytes(), scale, off, more, less
 
     def run(batches):
         for batch in batches:
             found = []
-            for k, (days, values) in enumerate(zip(batch.column("days"), batch.column("values"))):
-                row = one(days.values.to_numpy(zero_copy_only=False).astype(np.int64), values.values.to_numpy(zero_copy_only=False))
+            for k, series in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "bits", "known", "values")))):
+                row = one(*piece_series(*series))
                 if row:
                     found.append((k, *row))
-            columns = list(zip(*found)) or [()] * 7
+            columns = list(zip(*found)) or [()] * 6
             cells = batch.column("cell").take(pa.array(columns[0], pa.int64()))
-            kinds = (pa.binary(), pa.binary(), *[pa.float64()] * 4)
-            names = ["cell", "same", "q", "scale", "off", "more", "less"]
+            kinds = (pa.binary(), *[pa.float64()] * 4)
+            names = ["cell", "q", "scale", "off", "more", "less"]
             yield pa.RecordBatch.from_arrays([cells, *[pa.array(c, kind) for c, kind in zip(columns[1:], kinds)]], names)
 
-    return series.mapInArrow(run, f"cell {cell_type}, same binary, q binary, scale double, off double, more double, less double")
+    return series.mapInArrow(run, f"cell {cell_type}, q binary, scale double, off double, more double, less double")
 
 
 def tiled_candidates(rounded: DataFrame, width: int, lags: Sequence[int], max_dist: float) -> DataFrame:
-    """``(x, y)`` in any order, each pair once and every cell with itself, that can reach a correlation of ``1 - max_dist`` at some lag."""
+    """``(x, y)`` in any order, each pair once, that can reach a correlation of ``1 - max_dist`` at some lag."""
     cell_type = rounded.schema["cell"].dataType.simpleString()
     rounding = width * 2.0**-23  # of sums of single precision
 
@@ -214,32 +357,27 @@ def tiled_candidates(rounded: DataFrame, width: int, lags: Sequence[int], max_di
         scale, off, more, less = (t[c].to_numpy() for c in ("scale", "off", "more", "less"))
         return scale, off, (1 - max_dist) / more - less
 
-    def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+    def kernel(a: pa.Table, b: pa.Table, after: np.ndarray | None) -> pa.Table:
         found = []
         if len(a) and len(b):
             names = a["cell"].combine_chunks(), b["cell"].combine_chunks()
             left, right = packed_rows(a["q"], np.int8), packed_rows(b["q"], np.int8).astype(np.float32)
             (scale_a, off_a, need_a), (scale_b, off_b, need_b) = numbers(a), numbers(b)
-            for at in range(0, len(left), STRIP):
-                part = slice(at, at + STRIP)
+            for part, begin in strips(len(a), len(b), after):
                 strip, best = left[part].astype(np.float32), None
                 for lag in lags:
                     ahead, behind = max(lag, 0), max(-lag, 0)
-                    product = strip[:, behind : width - ahead] @ right[:, ahead : width - behind].T
+                    product = strip[:, behind : width - ahead] @ right[begin:, ahead : width - behind].T
                     best = product if best is None else np.maximum(best, product, out=best)
                 best *= scale_a[part, None].astype(np.float32)
-                best *= scale_b[None, :].astype(np.float32)
-                slack = off_a[part, None] + off_b[None, :] + off_a[part, None] * off_b[None, :] + rounding
-                rows, cols = np.nonzero(best >= np.minimum(need_a[part, None], need_b[None, :]) - slack)
-                if same:
-                    rows, cols = rows[rows + at < cols], cols[rows + at < cols]
-                found.append((names[0].take(pa.array(rows + at)), names[1].take(pa.array(cols))))
-            if same:
-                found.append(names)
+                best *= scale_b[None, begin:].astype(np.float32)
+                slack = off_a[part, None] + off_b[None, begin:] + off_a[part, None] * off_b[None, begin:] + rounding
+                rows, cols = wanted(best >= np.minimum(need_a[part, None], need_b[None, begin:]) - slack, part, begin, after)
+                found.append((names[0].take(pa.array(rows)), names[1].take(pa.array(cols))))
         kind = a.schema.field("cell").type
         return pa.table([pa.chunked_array([f[k] for f in found], kind) for k in range(2)], ["x", "y"])
 
-    return range_pairs(rounded.select("cell", "q", "scale", "off", "more", "less"), kernel, f"x {cell_type}, y {cell_type}")
+    return range_pairs(rounded, kernel, f"x {cell_type}, y {cell_type}")
 
 
 def checked_pairs(pairs: DataFrame, series: DataFrame, first: int, axis: np.ndarray, lags: Sequence[int], max_dist: float) -> DataFrame:
@@ -254,13 +392,11 @@ def checked_pairs(pairs: DataFrame, series: DataFrame, first: int, axis: np.ndar
         return F.floor(F.col(c) / BLOCK) if whole else F.pmod(F.xxhash64(c), F.lit(1 << 12))
 
     placed = cut(pairs.withColumns({"_a": block("x").cast("long"), "_b": block("y").cast("long")}))
-    ends = placed.select("_a", "_b", F.col("x").alias("cell")).union(placed.select("_a", "_b", "y")).distinct()
-    asked = ends.join(series, "cell").select(F.col("_a").alias("_ka"), F.col("_b").alias("_kb"), "cell", "days", "values")
+    ends = cut(placed.select("_a", "_b", F.col("x").alias("cell")).union(placed.select("_a", "_b", "y")).distinct())  # small beside the series
+    asked = ends.join(series, "cell").select(F.col("_a").alias("_ka"), F.col("_b").alias("_kb"), "cell", "first", "bits", "known", "values")
 
     def run(key, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        known = {
-            c: Lagged(np.asarray(d, np.int64), np.asarray(v, float), first, axis, lags).u for c, d, v in zip(rows["cell"], rows["days"], rows["values"])
-        }
+        known = {c: Lagged(*piece_series(*one), first, axis, lags).u for c, *one in zip(*(rows[c] for c in ("cell", "first", "bits", "known", "values")))}
         out = []
         for x, y in zip(pairs["x"], pairs["y"]):
             for i, j in ((x, y), (y, x))[: 1 if x == y else 2]:
@@ -278,23 +414,27 @@ def checked_pairs(pairs: DataFrame, series: DataFrame, first: int, axis: np.ndar
 
 def tiled_join(field: DataFrame, lags: Sequence[int], max_dist: float) -> DataFrame:
     """:func:`correlation_join` by tiles of rounded series and exact products of what they leave."""
-    series = cut(whole_series(field))
-    days = [r[0] for r in field.select(day_number("time")).distinct().collect()]  # bounded by the calendar
-    first = min(days, default=0)
-    axis = np.zeros(max(days, default=0) - first + 1, bool)
-    axis[np.asarray(days, np.int64) - first] = True
-    rounded = cut(rounded_series(series, first, axis, lags))
-    members = cut(rounded.join(rounded.groupBy("same").agg(F.min("cell").alias("root")), "same").select("cell", "root"))
+    return tiled_series(whole_series(field), lags, max_dist)
+
+
+def tiled_series(series: DataFrame, lags: Sequence[int], max_dist: float) -> DataFrame:
+    """:func:`tiled_join` from the series."""
+    first, axis = calendar(series)
+    series = series.where(F.col("cell").isNotNull())
+    members = cut(series.select("cell", "same").join(series.groupBy("same").agg(F.min("cell").alias("root")), "same").select("cell", "root"))
     roots = members.where("cell = root").select("cell")
-    pairs = tiled_candidates(cut(rounded.join(roots, "cell", "left_semi")), len(axis), lags, max_dist)
-    found = checked_pairs(pairs, series, first, axis, lags, max_dist).select(F.col("i").alias("_i"), F.col("j").alias("_j"), "dist")
+    rounded = rounded_series(series.join(roots, "cell", "left_semi"), first, axis, lags)
+    pairs = tiled_candidates(rounded, len(axis), lags, max_dist)
+    shared = members.where("cell <> root").select(F.col("root").alias("x"), F.col("root").alias("y")).distinct()
+    found = checked_pairs(pairs.union(shared), series, first, axis, lags, max_dist).select(F.col("i").alias("_i"), F.col("j").alias("_j"), "dist")
     sides = [members.select(F.col("root").alias(f"_{c}"), F.col("cell").alias(c)) for c in "ij"]
     return found.join(sides[0], "_i").join(sides[1], "_j").where("i < j").select("i", "j", "dist")
 
 
 def correlation_join(field: DataFrame, lags: Sequence[int], max_dist: float) -> DataFrame:
     """``(i, j, dist)``, i < j, with ``1 - max over lags`` of the correlation of cell i with cell j lagged at most ``max_dist``."""
-    field = cut(field.select("cell", "time", "value"))  # read several times
-    if waves_tell_apart(field, lags, max_dist):
-        return wave_join(field, lags, max_dist)
-    return tiled_join(field, lags, max_dist)
+    series = whole_series(field)  # read several times
+    some = series.where(F.col("cell").isNotNull()).select("cell").orderBy(F.xxhash64("cell")).limit(SOME)
+    if waves_tell_apart(series_rows(series.join(F.broadcast(some), "cell", "left_semi")), lags, max_dist):
+        return wave_join(series_rows(series), lags, max_dist)
+    return tiled_series(series, lags, max_dist)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.functions.dates import day_number
-from fieldcast.operators.tiles import STRIP, packed_rows, range_pairs
+from fieldcast.operators.tiles import packed_rows, range_pairs, strips, wanted
 from fieldcast.session import cut
 
 #: Entries of one day's list that a task holds.
@@ -90,22 +90,21 @@ def tiled_sets(sets: DataFrame, max_dist: float) -> DataFrame:
             packed = np.packbits(bits, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["cell", "bits"])
 
-    def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+    def kernel(a: pa.Table, b: pa.Table, after: np.ndarray | None) -> pa.Table:
         found = []
         if len(a) and len(b):
             names = a["cell"].combine_chunks(), b["cell"].combine_chunks()
             left, right = (packed_rows(x["bits"], np.uint8) for x in (a, b))
             right = np.unpackbits(right, axis=1, count=len(calendar)).astype(np.float32)
             of_right = right.sum(1, dtype=float)
-            for at in range(0, len(left), STRIP):
-                part = np.unpackbits(left[at : at + STRIP], axis=1, count=len(calendar)).astype(np.float32)
-                both = part @ right.T  # whole numbers up to the days of the calendar: exact
-                either = part.sum(1, dtype=float)[:, None] + of_right[None, :] - both
-                rows, cols = np.nonzero((both > 0) & (1 - both / either <= max_dist))
-                if same:
-                    rows, cols = rows[rows + at < cols], cols[rows + at < cols]
-                dist = 1 - both[rows, cols].astype(float) / either[rows, cols]
-                found.append((names[0].take(pa.array(rows + at)), names[1].take(pa.array(cols)), pa.array(dist, pa.float64())))
+            for strip, begin in strips(len(a), len(b), after):
+                part = np.unpackbits(left[strip], axis=1, count=len(calendar)).astype(np.float32)
+                both = part @ right[begin:].T  # whole numbers up to the days of the calendar: exact
+                either = part.sum(1, dtype=float)[:, None] + of_right[None, begin:] - both
+                rows, cols = wanted((both > 0) & (1 - both / either <= max_dist), strip, begin, after)
+                at = rows - strip.start, cols - begin
+                dist = 1 - both[at].astype(float) / either[at]
+                found.append((names[0].take(pa.array(rows)), names[1].take(pa.array(cols)), pa.array(dist, pa.float64())))
         kinds = (a.schema.field("cell").type, a.schema.field("cell").type, pa.float64())
         return pa.table([pa.chunked_array([f[k] for f in found], kinds[k]) for k in range(3)], ["x", "y", "dist"])
 

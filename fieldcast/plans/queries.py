@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldcast import session
 from fieldcast.catalog import REGIONS, SOIL_LAYER_WEIGHTS, TIMEAGGS
 from fieldcast.functions.dates import in_season, input_window, season
 from fieldcast.functions.keys import collapse, restore
@@ -19,7 +20,7 @@ from fieldcast.operators import association as assoc
 from fieldcast.operators import climate, clustering, distances, folds, hierarchy, inspection, models, owen, reduction, shapley, temporal, trends, verification
 from fieldcast.plans import flows
 from fieldcast.sources import adapters as src
-from fieldcast.session import shared_folder
+from fieldcast.session import dealt_by_size, more_than_usual, shared_folder
 from fieldcast.sources import fields, ingest, layout, store
 from fieldcast.streaming import ingest as streams
 from fieldcast.streaming import ordering
@@ -881,12 +882,29 @@ def jaccard(spark, d):
     return _rounded(distances.jaccard_distances(_marked(spark, d)), "dist", digits=9)
 
 
+#: Cells of one block of the smooth field, as a power of two.
+SMOOTH_BITS = 6
+
+
 def _smooth_field(spark, d):
-    """Sums over eight suppliers in a row, so that neighbours have most of their value in common."""
-    spread = src.supplier_field(spark, d).select(
-        F.explode(F.sequence(F.col("cell") - 7, F.col("cell"))).alias("cell"), "time", "value"
-    )
-    return spread.groupBy("cell", "time").agg(F.sum("value").alias("value"))
+    """Sums over eight suppliers in a row, so that neighbours have most of their value in common.
+
+    Rows are dealt by blocks of cells, those of a supplier that counts in the block before to that one too, and summed there: each
+    is shuffled about once, not once for each of the eight cells it counts in.
+    """
+    own, before = F.shiftright("cell", SMOOTH_BITS), F.shiftright(F.col("cell") - 7, SMOOTH_BITS)
+    field = src.supplier_rows(spark, d)
+    rows = field.count()  # from the files' footers
+    if more_than_usual(spark, rows):
+        crowd = field.groupBy(own.alias("_block")).count().agg(F.max("count")).first()[0]
+        if crowd > session.ROWS:  # a crowded block would keep one task busy, so its days are summed before
+            field = src.supplier_field(spark, d)
+    placed = field.withColumn("_block", F.explode(F.sequence(before, own)))
+    summed = dealt_by_size(placed, 8 * rows, "_block").groupBy("_block", "cell", "time").agg(F.sum("value").alias("value"))
+    low = F.shiftleft("_block", SMOOTH_BITS)
+    cells = F.sequence(F.greatest(F.col("cell") - 7, low), F.least(F.col("cell"), low + ((1 << SMOOTH_BITS) - 1)))
+    spread = summed.select("_block", F.explode(cells).alias("cell"), "time", "value")
+    return spread.groupBy("_block", "cell", "time").agg(F.sum("value").alias("value")).drop("_block")
 
 
 @query

@@ -31,18 +31,23 @@ def flag_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.sum(cents("l_extendedprice")).alias("value"))
 
 
+def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(cell, time, value)``: the cents of every line item, by its supplier; several rows a cell and day."""
+    return table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice").select(
+        F.col("l_suppkey").alias("cell"), F.to_date("l_shipdate").alias("time"), cents("l_extendedprice").alias("value")
+    )
+
+
 def supplier_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many gappy cells, growing with the data: one per supplier.
 
     Nearly every row is a cell and day of its own, so a large table is dealt over tasks by its rows before it is summed.
     """
-    items = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice").select(
-        F.col("l_suppkey").alias("cell"), F.to_date("l_shipdate").alias("time"), cents("l_extendedprice").alias("_c")
-    )
+    items = supplier_rows(spark, sf_dir)
     rows = items.count()  # from the files' footers
     if more_than_usual(spark, rows):
         items = dealt_by_size(items, rows, "cell", "time")
-    return items.groupBy("cell", "time").agg(F.sum("_c").alias("value"))
+    return items.groupBy("cell", "time").agg(F.sum("value").alias("value"))
 
 
 def region_field(spark: SparkSession, sf_dir: str) -> DataFrame:
