@@ -7,16 +7,17 @@ all coefficients, and what is left is checked on the whole series.  No pair is l
 
 Cells of equal series form one class and take part as one.  Series without such waves in common, as noise is, are near each
 other in every few coefficients, so the cubes rule out next to nothing.  Then all pairs of classes are multiplied in tiles
-of one byte a day, and a bound on the rounding keeps every pair that can reach the limit.  What is left, about the result,
-meets again in blocks of few cells for the exact products.
+of one byte a day, and a bound on the rounding keeps every pair that can reach the limit; most are ruled out by about half of the days and the
+norms of the rest.  What is left, about the result, meets again in blocks of few cells for the exact products.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldcast import session
 from fieldcast.functions.dates import day_number
 from fieldcast.operators.similarity import LIST
 from fieldcast.operators.temporal import lag_field
@@ -41,6 +43,9 @@ PACKED = 1 << 22
 #: Kinds of numbers in a piece of a series by their bytes, and its columns.
 KINDS = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.float64}
 PIECE = "first int, bits boolean, known binary, values binary, same binary"
+#: How far below the limit the rest of the days should lie before pairs are ruled out by the first ones, and the share of pairs left
+#: up to which each is worked out by itself.
+MARGIN, DENSE = 0.12, 0.005
 #: Cells on which the waves are tried, and the share of pairs up to which they are worth it.
 SOME, SHARE = 128, 0.05
 
@@ -351,28 +356,45 @@ def rounded_series(series: DataFrame, first: int, axis: np.ndarray, lags: Sequen
 def tiled_candidates(rounded: DataFrame, width: int, lags: Sequence[int], max_dist: float) -> DataFrame:
     """``(x, y)`` in any order, each pair once, that can reach a correlation of ``1 - max_dist`` at some lag."""
     cell_type = rounded.schema["cell"].dataType.simpleString()
-    rounding = width * 2.0**-23  # of sums of single precision
+    rounding = (width + 8) * 2.0**-23  # of sums of single precision
 
     def numbers(t: pa.Table) -> tuple[np.ndarray, ...]:
         scale, off, more, less = (t[c].to_numpy() for c in ("scale", "off", "more", "less"))
         return scale, off, (1 - max_dist) / more - less
 
+    def overlaps(a: np.ndarray, b: np.ndarray, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Days of both that meet at each lag, from the ``begin``th of them up to the ``end``th."""
+        for lag in lags:
+            stop = max(0, min(end, width - abs(lag)))
+            days, ahead, behind = slice(min(begin, stop), stop), max(lag, 0), max(-lag, 0)
+            yield a[:, days.start + behind : days.stop + behind], b[:, days.start + ahead : days.stop + ahead]
+
     def kernel(a: pa.Table, b: pa.Table, after: np.ndarray | None) -> pa.Table:
         found = []
         if len(a) and len(b):
             names = a["cell"].combine_chunks(), b["cell"].combine_chunks()
             left, right = packed_rows(a["q"], np.int8), packed_rows(b["q"], np.int8).astype(np.float32)
             (scale_a, off_a, need_a), (scale_b, off_b, need_b) = numbers(a), numbers(b)
+            # The rest of the days adds no more than the product of their norms, so once that is small the first days rule out most pairs.
+            behind = np.cumsum((np.square(scale_b) @ np.square(right) / len(b))[::-1])[::-1]
+            first = int(np.argmax(np.append(behind, 0.0) <= max(0.0, 1 - max_dist - MARGIN)))
+            rest_b = np.sqrt(np.square(right[:, first:]).sum(1, dtype=float)) * scale_b
             for part, begin in strips(len(a), len(b), after):
-                strip, best = left[part].astype(np.float32), None
-                for lag in lags:
-                    ahead, behind = max(lag, 0), max(-lag, 0)
-                    product = strip[:, behind : width - ahead] @ right[begin:, ahead : width - behind].T
-                    best = product if best is None else np.maximum(best, product, out=best)
-                best *= scale_a[part, None].astype(np.float32)
-                best *= scale_b[None, begin:].astype(np.float32)
+                strip, other = left[part].astype(np.float32), right[begin:]
+                rest = (np.sqrt(np.square(strip[:, first:]).sum(1, dtype=float)) * scale_a[part])[:, None] * rest_b[None, begin:]
+                scale = (scale_a[part, None] * scale_b[None, begin:]).astype(np.float32)
                 slack = off_a[part, None] + off_b[None, begin:] + off_a[part, None] * off_b[None, begin:] + rounding
-                rows, cols = wanted(best >= np.minimum(need_a[part, None], need_b[None, begin:]) - slack, part, begin, after)
+                least = np.minimum(need_a[part, None], need_b[None, begin:]) - slack
+                products = [x @ y.T for x, y in overlaps(strip, other, 0, first)]
+                near = functools.reduce(np.maximum, products) * scale >= least - rest
+                if first < width and near.mean() > DENSE:
+                    products = [p + x @ y.T for p, (x, y) in zip(products, overlaps(strip, other, first, width))]
+                    near = functools.reduce(np.maximum, products) * scale >= least
+                elif first < width:
+                    at = rows, cols = np.nonzero(near)
+                    whole = [p[at] + np.einsum("ij,ij->i", x[rows], y[cols]) for p, (x, y) in zip(products, overlaps(strip, other, first, width))]
+                    near[at] = functools.reduce(np.maximum, whole) * scale[at] >= least[at]
+                rows, cols = wanted(near, part, begin, after)
                 found.append((names[0].take(pa.array(rows)), names[1].take(pa.array(cols))))
         kind = a.schema.field("cell").type
         return pa.table([pa.chunked_array([f[k] for f in found], kind) for k in range(2)], ["x", "y"])
@@ -391,7 +413,7 @@ def checked_pairs(pairs: DataFrame, series: DataFrame, first: int, axis: np.ndar
     def block(c: str) -> Column:
         return F.floor(F.col(c) / BLOCK) if whole else F.pmod(F.xxhash64(c), F.lit(1 << 12))
 
-    placed = cut(pairs.withColumns({"_a": block("x").cast("long"), "_b": block("y").cast("long")}))
+    placed = pairs.withColumns({"_a": block("x").cast("long"), "_b": block("y").cast("long")})
     ends = cut(placed.select("_a", "_b", F.col("x").alias("cell")).union(placed.select("_a", "_b", "y")).distinct())  # small beside the series
     asked = ends.join(series, "cell").select(F.col("_a").alias("_ka"), F.col("_b").alias("_kb"), "cell", "first", "bits", "known", "values")
 
@@ -425,10 +447,17 @@ def tiled_series(series: DataFrame, lags: Sequence[int], max_dist: float) -> Dat
     roots = members.where("cell = root").select("cell")
     rounded = rounded_series(series.join(roots, "cell", "left_semi"), first, axis, lags)
     pairs = tiled_candidates(rounded, len(axis), lags, max_dist)
-    shared = members.where("cell <> root").select(F.col("root").alias("x"), F.col("root").alias("y")).distinct()
-    found = checked_pairs(pairs.union(shared), series, first, axis, lags, max_dist).select(F.col("i").alias("_i"), F.col("j").alias("_j"), "dist")
+    crowds = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    pairs = pairs.union(crowds.select(F.col("root").alias("x"), F.col("root").alias("y")))
+    found = checked_pairs(pairs, series, first, axis, lags, max_dist).select(F.col("i").alias("_i"), F.col("j").alias("_j"), "dist")
     sides = [members.select(F.col("root").alias(f"_{c}"), F.col("cell").alias(c)) for c in "ij"]
-    return found.join(sides[0], "_i").join(sides[1], "_j").where("i < j").select("i", "j", "dist")
+    begun = found.join(sides[0], "_i")
+    # A few pairs of roots make many pairs of cells, so tasks are counted by these.
+    many = functools.reduce(lambda t, c: t.join(crowds.select(F.col("root").alias(c), F.col("_n").alias(f"_{c}")), c, "left"), "xy", pairs)
+    rows = many.agg(F.sum(F.coalesce("_x", F.lit(1)) * F.coalesce("_y", F.lit(1)))).first()[0] or 0
+    if rows > session.ROWS:
+        begun = begun.repartition(-(-rows // session.ROWS), "i", "_j")
+    return begun.join(sides[1], "_j").where("i < j").select("i", "j", "dist")
 
 
 def correlation_join(field: DataFrame, lags: Sequence[int], max_dist: float) -> DataFrame:

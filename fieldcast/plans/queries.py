@@ -900,7 +900,8 @@ def _smooth_field(spark, d):
         if crowd > session.ROWS:  # a crowded block would keep one task busy, so its days are summed before
             field = src.supplier_field(spark, d)
     placed = field.withColumn("_block", F.explode(F.sequence(before, own)))
-    summed = dealt_by_size(placed, 8 * rows, "_block").groupBy("_block", "cell", "time").agg(F.sum("value").alias("value"))
+    # A task fans its rows out to eight, sums and may pack them; blocks are few, so some tasks get twice the usual number.
+    summed = dealt_by_size(placed, 16 * rows, "_block").groupBy("_block", "cell", "time").agg(F.sum("value").alias("value"))
     low = F.shiftleft("_block", SMOOTH_BITS)
     cells = F.sequence(F.greatest(F.col("cell") - 7, low), F.least(F.col("cell"), low + ((1 << SMOOTH_BITS) - 1)))
     spread = summed.select("_block", F.explode(cells).alias("cell"), "time", "value")

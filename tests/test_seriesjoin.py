@@ -165,3 +165,35 @@ def test_smooth_field_is_shuffled_once(spark, monkeypatch, tmp_path, rows):
     plan = smooth._jdf.queryExecution().executedPlan().toString()
     after, shuffled, _ = plan.partition("Exchange hashpartitioning(_block")  # the last steps stand first
     assert shuffled and "greatest(" in after and "Exchange" not in after
+
+
+@pytest.mark.parametrize("dense", [0.0, 1.0])
+def test_first_days_lose_no_pair(spark, monkeypatch, dense):
+    """Series that vary early, late or all the time, with lags longer than some records: whether the pairs left are worked out singly or together."""
+    monkeypatch.setattr(seriesjoin, "DENSE", dense)
+    monkeypatch.setattr(tiles, "LEAST", 9)
+    monkeypatch.setattr(tiles, "MOST", 25)
+    rng = np.random.default_rng(12)
+    noise = rng.integers(0, 10**6, (40, 200)).astype(float)
+    series = {k: list(noise[k : k + 5].sum(0)) for k in range(30)}
+    for k in range(30, 40):  # nearly constant but for a stretch of their own
+        begin = 150 * (k % 2)
+        series[k] = [1000.0 * v if begin <= t < begin + 50 else v for t, v in enumerate(noise[30 + k // 4 % 2] + rng.integers(0, 5 * 10**4, 200))]
+    rows = field(spark, series)
+    every = {(r.i, r.j): r.dist for r in distances.max_correlation_distances(rows, [-6, 0, 6]).collect()}
+    near = {k: v for k, v in every.items() if v is not None and v <= 0.4}
+    found = seriesjoin.tiled_join(rows, [-6, 0, 6], 0.4).collect()
+    assert len({(r.i, r.j) for r in found}) == len(found)
+    assert {(r.i, r.j): r.dist for r in found} == pytest.approx(near, abs=1e-9)
+    assert len(near) > 60
+    short = field(spark, {k: [1.0 * k, 2.0, 2.0 * k, 7.0] for k in range(4)})
+    assert seriesjoin.tiled_join(short, [-6, 0, 6], 0.4).count() == seriesjoin.tiled_join(short, [0], 0.4).count() > 0
+
+
+def test_pairs_of_equal_cells_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 100)
+    rng = np.random.default_rng(5)
+    base = list(rng.normal(size=60))
+    found = seriesjoin.tiled_join(field(spark, {k: base for k in range(60)} | {60: list(rng.normal(size=60))}), [0], 0.1)
+    assert found.groupBy(F.spark_partition_id()).count().count() > 16  # the session has 8
+    assert {(r.i, r.j) for r in found.collect()} == set(itertools.combinations(range(60), 2)) and found.count() == 60 * 59 // 2
