@@ -178,6 +178,12 @@ def piece_series(first: int, bits: bool, known: bytes, values: bytes) -> tuple[n
     return days, np.frombuffer(values, KINDS[len(values) // len(days)] if values else np.float64).astype(float)
 
 
+def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows one after the other: a batch of long series is not turned into Python values as a whole."""
+    columns = [batch.column(name) for name in names]
+    return (tuple(c[k].as_py() for c in columns) for k in range(len(batch)))
+
+
 def digest(first: int, bits: bool, known: bytes, values: bytes) -> bytes:
     """The same for equal series only."""
     return hashlib.blake2b(b"%d %d %d " % (first, bits, len(known)) + known + values, digest_size=16).digest()
@@ -276,7 +282,7 @@ def series_rows(series: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k, one in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "bits", "known", "values")))):
+            for k, one in enumerate(rows_of(batch, "first", "bits", "known", "values")):
                 days, values = piece_series(*one)
                 cells = batch.column("cell").take(pa.array(np.full(len(days), k)))
                 numbers = pa.array(values) if len(values) else pa.nulls(len(days), pa.float64())
@@ -290,9 +296,11 @@ def calendar(series: DataFrame) -> tuple[int, np.ndarray]:
     """The first day that has a row, and for each day from it to the last one whether it has."""
 
     def run(batches):
-        seen = [np.unique(np.concatenate([piece_days(*one) for one in zip(*(b.column(c).to_pylist() for c in range(3)))])) for b in batches if len(b)]
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)), pa.int32())], ["day"])
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            for one in rows_of(batch, "first", "bits", "known"):
+                seen = np.union1d(seen, piece_days(*one))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32())], ["day"])
 
     found = series.select("first", "bits", "known").mapInArrow(run, "day int")
     days = [r[0] for r in found.distinct().collect()]  # bounded by the calendar
@@ -340,7 +348,7 @@ def rounded_series(series: DataFrame, first: int, axis: np.ndarray, lags: Sequen
     def run(batches):
         for batch in batches:
             found = []
-            for k, series in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "bits", "known", "values")))):
+            for k, series in enumerate(rows_of(batch, "first", "bits", "known", "values")):
                 row = one(*piece_series(*series))
                 if row:
                     found.append((k, *row))
